@@ -239,7 +239,7 @@ def test_chat_markers():
 
 
 def test_toxic_letters():
-    assert toxicity.letters("ab") == ["\x02a", "\x02ab", "\x02ab\x02"]
+    assert toxicity.letters("ab") == ["\x02a", "\x02ab", "\x02ab\x02"] and len(toxicity.letters("abcdefghij")[-1]) == toxicity.ORDER
 
 
 def test_pipeline_stages(spark):
