@@ -1,2 +1,152 @@
+"""Metrics along lines and profiles."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..plans.iterate import relax
+from ..sources.derived import load, sql
+from .vector import to_lines
+
+
+def line_z_slope(verts: DataFrame) -> DataFrame:
+    """Vertices (fid, pos, x, y, z) with z replaced by the upstream-positive slope: centred differences over planar length, ends as their neighbours; 0 on lines of two vertices or fewer."""
+    order = Window.partitionBy("fid").orderBy("pos")
+    step = F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order))
+    rows = verts.withColumns({"d0": step, "z0": F.lag("z").over(order), "z1": F.lead("z").over(order), "n": F.count("*").over(Window.partitionBy("fid"))})
+    rows = rows.withColumn("d1", F.lead("d0").over(order)).withColumn("s", (F.col("z0") - F.col("z1")) / (F.col("d0") + F.col("d1")))
+    value = F.when(F.col("n") <= 2, 0.0).otherwise(F.coalesce("s", F.when(F.col("z0").isNull(), F.lead("s").over(order)).otherwise(F.lag("s").over(order))))
+    return rows.withColumn("z", value).drop("d0", "d1", "z0", "z1", "n", "s")
+
+
+def knick_points(lines: DataFrame, min_dz: float = 5.0, min_rse: float = 2.0, min_total: float = 1.0, nodata: float = -99999.0) -> DataFrame:
+    """(fid, x, y, z, dz, rse): vertices of profiles where relative slope extension reaches min_rse.
+
+    A fold over each line keeps the last vertex retained: a vertex less than min_dz below it is passed over.
+    """
+    first, last = F.element_at("geom", 1), F.element_at("geom", -1)
+    rset = (first["z"] - last["z"]) / F.greatest(F.lit(1e-4), F.log(g.length(F.col("geom"))))
+    rows = lines.withColumn("rset", rset).where(F.col("rset") >= min_total)
+    none = F.array().cast("array<struct<x:double,y:double,z:double,dz:double,hgi:double>>")
+    zero = F.struct(first.alias("v"), F.lit(0.0).alias("far"), none.alias("out"))
+
+    def step(acc: Column, v: Column) -> Column:
+        dz, dl = acc["v"]["z"] - v["z"], g.distance(acc["v"], v)
+        skip = F.coalesce((v["z"] == nodata) | (dz < min_dz) | (dl <= 0), F.lit(True))
+        far = acc["far"] + dl
+        point = F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"), dz.alias("dz"), (dz / dl * far).alias("hgi"))
+        return F.when(skip, acc).otherwise(F.struct(v.alias("v"), far.alias("far"), F.array_append(acc["out"], point).alias("out")))
+
+    inner = F.slice("geom", F.lit(2), F.greatest(F.size("geom") - 2, F.lit(0)))
+    found = rows.select("fid", "rset", F.inline(F.aggregate(inner, zero, step, lambda acc: acc["out"])))
+    return found.withColumn("rse", F.col("hgi") / F.col("rset")).where(F.col("rse") >= min_rse).select("fid", "x", "y", "z", "dz", "rse")
+
+
+def orthogonal_transects(segments: DataFrame, length: float | str = 200.0) -> DataFrame:
+    """(fid, ax, ay, bx, by_): a transect about the middle of each segment, across its chord; nulls where the chord has no length."""
+    size = F.expr(str(length)).cast("double")
+    chord = F.hypot(F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"))
+    ux, uy = (F.col("bx") - F.col("ax")) / F.when(chord > 0, chord), (F.col("by_") - F.col("ay")) / F.when(chord > 0, chord)
+    mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by_")) / 2
+    return segments.select("fid", (mx - uy * size / 2).alias("ax"), (my + ux * size / 2).alias("ay"), (mx + uy * size / 2).alias("bx"), (my - ux * size / 2).alias("by_"))
+
+
+def maximum_on_shortest_path(edges: DataFrame, targets: DataFrame, cap: float = 60.0) -> DataFrame:
+    """(node, distance, max_cost): for every node the way to the nearest target (node) over edges (nodea, nodeb, length, cost) with cost < cap, both ways; one relaxation from all targets serves all nodes."""
+    one = edges.where(F.col("cost") < cap).select(F.col("nodea").alias("src"), F.col("nodeb").alias("dst"), F.col("length").alias("len"), F.col("cost").cast("double").alias("unit"))
+    both = one.union(one.select("dst", "src", "len", "unit")).select("src", "dst", F.col("len").alias("cost"), "unit")
+    far = relax(targets.select("node", F.lit(0.0).alias("value")), both, "min", extra="unit")
+    nodes = edges.select(F.col("nodea").alias("node")).union(edges.select("nodeb")).distinct().join(targets, "node", "left_anti")
+    return nodes.join(far, "node", "left").select("node", F.col("value").alias("distance"), F.coalesce(F.col("worst"), F.lit(cap)).alias("max_cost"))
+
+
+def segment_breaks(x: np.ndarray, kmax: int) -> list[int]:
+    """Starts of the optimal piecewise-constant segments of x, their number by the Bayesian criterion."""
+    n = len(x)
+    if n < 3 or kmax < 2:
+        return [0]
+    s, q = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
+    i = np.arange(n + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cost = q[None, :] - q[:, None] - (s[None, :] - s[:, None]) ** 2 / (i[None, :] - i[:, None])
+    cost[i[:, None] >= i[None, :]] = np.inf
+    best, back, scores = [cost[0]], [], []
+    for _ in range(1, min(kmax + 1, n)):
+        total = best[-1][:, None] + cost
+        back.append(np.argmin(total, axis=0))
+        best.append(np.min(total, axis=0))
+    for k, c in enumerate(best, 1):
+        scores.append(n * np.log(max(c[n], 1e-12) / (n - 1)) + 2 * k * np.log(n))
+    k, at, cuts = int(np.argmin(scores)), n, []
+    for level in range(k, 0, -1):
+        at = int(back[level - 1][at])
+        cuts.append(at)
+    return [0, *reversed(cuts)]
+
+
+def _segmented(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(batches).sort_by([("ord", "ascending"), ("fid", "ascending")])
+    x = rows["metric"].to_numpy().astype(float)
+    starts = segment_breaks(x, max(1, len(x) // 3))
+    part = np.searchsorted(starts, np.arange(len(x)), side="right")
+    yield from pa.table({"axis": pa.array([key[0].as_py()] * len(x), pa.int64()), "fid": rows["fid"], "ago": pa.array(part, pa.int64()), "metric": rows["metric"]}).to_batches()
+
+
+def aggregate_features(series: DataFrame, dissolve: bool = False) -> DataFrame:
+    """(axis, fid, ago, metric) for series (axis, fid, ord, metric), or with dissolve (axis, ago, n, mean, std).
+
+    An axis, one series by nature, is segmented by dynamic programming in one task; null metrics are left out.
+    """
+    rows = series.where("metric is not null").selectExpr("cast(axis as bigint) axis", "cast(fid as bigint) fid", "cast(ord as double) ord", "cast(metric as double) metric")
+    out = rows.groupBy("axis").applyInArrow(_segmented, "axis bigint, fid bigint, ago bigint, metric double")
+    return out.groupBy("axis", "ago").agg(F.count("*").alias("n"), F.avg("metric").alias("mean"), F.stddev_pop("metric").alias("std")) if dissolve else out
+
+
+def bends(verts: DataFrame) -> DataFrame:
+    """(fid, bend, n, length, wave, sinuosity, amplitude): stretches of a line between changes of its turn's sign.
+
+    Wave is twice the chord, sinuosity twice the length over the wave, amplitude the largest distance to the chord.
+    """
+    order = Window.partitionBy("fid").orderBy("pos")
+    rows = verts.withColumns({"px": F.lag("x").over(order), "py": F.lag("y").over(order), "nx": F.lead("x").over(order), "ny": F.lead("y").over(order)})
+    turn = F.signum((F.col("x") - F.col("px")) * (F.col("ny") - F.col("y")) - (F.col("y") - F.col("py")) * (F.col("nx") - F.col("x")))
+    rows = rows.withColumn("turn", F.when(turn != 0, turn)).withColumn("turn", F.last("turn", ignorenulls=True).over(order))
+    change = F.when(F.col("turn") != F.lag("turn").over(order), 1).otherwise(0)
+    rows = rows.withColumn("change", change).withColumn("bend", F.sum("change").over(order))
+    rows = rows.withColumn("step", F.when(F.lag("bend").over(order) == F.col("bend"), F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).otherwise(0.0))
+    ends = rows.groupBy("fid", "bend").agg(F.min_by(F.struct("x", "y"), "pos").alias("a"), F.max_by(F.struct("x", "y"), "pos").alias("b"), F.count("*").alias("n"), F.sum("step").alias("length"))
+    chord = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
+    far = F.abs(g.cross(F.col("x"), F.col("y"), F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))) / F.when(F.col("chord") > 0, F.col("chord"))
+    out = rows.select("fid", "bend", "x", "y").join(ends.withColumn("chord", chord), ["fid", "bend"]).groupBy("fid", "bend", "n", "length", "chord").agg(F.max(F.coalesce(far, F.hypot(F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y")))).alias("amplitude"))
+    return out.select("fid", "bend", "n", "length", (F.col("chord") * 2).alias("wave"), (F.col("length") / F.when(F.col("chord") > 0, F.col("chord"))).alias("sinuosity"), "amplitude")
+
+
+def _round(df: DataFrame, digits: int = 5) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def _q(name: str, make, oracle: str | None, *inputs: str, recursive: bool = False) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _round(make(*(load(spark, sf_dir, i) for i in inputs)))
+    if oracle:
+        SQL[name] = sql(oracle, *inputs, recursive=recursive)
+
+
+_q("line_z_slope", lambda v: line_z_slope(v).select("fid", "pos", "z"), """, a AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d0, lag(z) OVER w AS z0, lead(z) OVER w AS z1 FROM verts WINDOW w AS (PARTITION BY fid ORDER BY pos)),
+ b AS (SELECT *, (z0 - z1) / (d0 + lead(d0) OVER w) AS s, count(*) OVER (PARTITION BY fid) AS n FROM a WINDOW w AS (PARTITION BY fid ORDER BY pos)), c AS (SELECT *, lead(s) OVER w AS sn, lag(s) OVER w AS sp FROM b WINDOW w AS (PARTITION BY fid ORDER BY pos))
+ SELECT fid, pos, round(CASE WHEN n <= 2 THEN 0 ELSE coalesce(s, CASE WHEN z0 IS NULL THEN sn ELSE sp END) END, 5) AS z FROM c""", "verts")
+_q("orthogonal_transects", lambda s: orthogonal_transects(s, 40), ", c AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS d FROM segs) SELECT fid, round((ax + bx) / 2 - (by_ - ay) / d * 20, 5) AS ax, round((ay + by_) / 2 + (bx - ax) / d * 20, 5) AS ay, round((ax + bx) / 2 + (by_ - ay) / d * 20, 5) AS bx, round((ay + by_) / 2 - (bx - ax) / d * 20, 5) AS by_ FROM c", "segs")
+_q("knick_points", lambda v: knick_points(to_lines(v.withColumn("z", F.lit(1000.0) - F.col("x") / 10 - F.col("z") / 20)), 2.0, 1.0, 0.5), None, "verts")
+_q("maximum_on_shortest_path", lambda k: maximum_on_shortest_path(k.withColumn("cost", F.expr("fid % 61")), k.where("nodea % 500 = 3").select(F.col("nodea").alias("node"))), None, "links")
+_q("aggregate_features", lambda v: aggregate_features(v.selectExpr("fid axis", "pos fid", "pos ord", "y metric")).select("axis", "fid", "ago"), None, "verts")
+_q("aggregate_features_dissolve", lambda v: aggregate_features(v.selectExpr("fid axis", "pos fid", "pos ord", "y metric"), True), None, "verts")
+_q("planform_bends", bends, None, "verts")

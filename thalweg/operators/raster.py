@@ -206,8 +206,8 @@ _q("anisotropic_diffusion", lambda a: anisotropic_diffusion(a, 1), """, n AS (SE
 _DISK = ", o AS (SELECT r.generate_series AS dr, c.generate_series AS dc FROM generate_series(-2, 2) r, generate_series(-2, 2) c WHERE r.generate_series * r.generate_series + c.generate_series * c.generate_series <= 4)"
 _q("binary_closing", lambda a: binary_closing(a.withColumn("value", F.when(F.col("value") > 170, 1).otherwise(0)), 2.0), _DISK + """, b AS (SELECT row, col FROM dem WHERE value > 170), d AS (SELECT DISTINCT t.row, t.col FROM b, o, dem t WHERE t.row = b.row + dr AND t.col = b.col + dc),
  e AS (SELECT t.row, t.col FROM dem t, o, d WHERE d.row = t.row + dr AND d.col = t.col + dc GROUP BY t.row, t.col HAVING count(*) = 13) SELECT t.row, t.col, CAST(e.row IS NOT NULL AS INT) AS value FROM dem t LEFT JOIN e ON e.row = t.row AND e.col = t.col""", "dem")
-_CELLS = "SELECT fid, CAST(fid * 7 % 45 AS INT) AS row, CAST(fid * 11 % 55 AS INT) AS col FROM points WHERE fid % 5 = 0"
-_pts = lambda p: p.where("fid % 5 = 0").selectExpr("fid", "int(fid * 7 % 45) row", "int(fid * 11 % 55) col")
+_CELLS = "SELECT fid, CAST(fid * 7 % 45 AS INT) AS row, CAST(fid * 11 % 55 AS INT) AS col FROM points"
+_pts = lambda p: p.selectExpr("fid", "int(fid * 7 % 45) row", "int(fid * 11 % 55) col")
 _q("focal_mean", lambda a, p: focal_mean(a, _pts(p), 5, 3), f", p AS ({_CELLS}) SELECT p.fid, CASE WHEN count(d.row) = 15 THEN round(avg(d.value), 6) END AS value FROM p LEFT JOIN dem d ON d.row BETWEEN p.row - 1 AND p.row + 1 AND d.col BETWEEN p.col - 2 AND p.col + 2 GROUP BY p.fid", "dem", "points")
 _q("sample_raster", lambda a, p: sample(a, _pts(p)), f", p AS ({_CELLS}) SELECT p.row, p.col, p.fid, d.value FROM p LEFT JOIN dem d ON d.row = p.row AND d.col = p.col", "dem", "points")
 _q("burn_line_z", lambda a, v: burn_line_z(a, v.selectExpr("fid", "pos", "int(fid % 40) row", "int(pos % 50) col", "z"), offset=3.0), ", v AS (SELECT CAST(fid % 40 AS INT) AS row, CAST(pos % 50 AS INT) AS col, arg_max(z, fid * 1000000 + pos) AS z FROM verts GROUP BY 1, 2) SELECT d.row, d.col, round(coalesce(v.z + 3, d.value), 6) AS value FROM dem d LEFT JOIN v ON v.row = d.row AND v.col = d.col", "dem", "verts")

@@ -1,2 +1,100 @@
+"""Linear referencing against segments with measures (seg, ax, ay, am, bx, by_, bm)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import grid
+from ..functions.geometry import cross
+from ..plans.iterate import jump
+from ..plans.spatial_join import nearest
+from ..sources.derived import load, sql
+from .terrain import watershed
+from .vector import _NEAR
+
+
+def _side() -> Column:
+    return F.signum(cross(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by_")))).cast("int")
+
+
+def _m() -> Column:
+    return F.col("am") + (F.col("bm") - F.col("am")) * F.col("t")
+
+
+def locate_point_along_network(points: DataFrame, reference: DataFrame) -> DataFrame:
+    """(fid, axis, locm, distance, side): measure and side of each point at the nearest reference segment, ties to the smaller key."""
+    near = nearest(points.select("fid", "x", "y"), reference, "fid", "seg")
+    return near.select("fid", F.col("seg").alias("axis"), _m().alias("locm"), F.col("dist").alias("distance"), _side().alias("side"))
+
+
+def point_axis_transform(points: DataFrame, reference: DataFrame) -> DataFrame:
+    """(fid, axis, rx, ry): coordinates along and across the nearest segment, left positive."""
+    near = nearest(points.select("fid", "x", "y"), reference, "fid", "seg")
+    return near.select("fid", F.col("seg").alias("axis"), _m().alias("rx"), (F.col("dist") * _side()).alias("ry"))
+
+
+def axis_transform(verts: DataFrame, reference: DataFrame) -> DataFrame:
+    """Vertices (fid, pos, x, y) with x, y along and across the nearest segment, and its axis."""
+    keyed = verts.select(F.struct("fid", "pos").alias("key"), "x", "y")
+    near = nearest(keyed, reference, "key", "seg")
+    return near.select("key.fid", "key.pos", F.col("seg").alias("axis"), _m().alias("x"), (F.col("dist") * _side()).alias("y"))
+
+
+def locate_polygon_along_network(polygons: DataFrame, reference: DataFrame, priority: str = "hack") -> DataFrame:
+    """(fid, axis, locm): for polygons (fid, x, y, minx, miny, maxx, maxy) the segment of lowest priority, then nearest to (x, y), that has a vertex in the box; the measure by distance along the segment."""
+    ends = reference.select("*", F.explode(F.array(F.struct(F.col("ax").alias("vx"), F.col("ay").alias("vy")), F.struct(F.col("bx").alias("vx"), F.col("by_").alias("vy")))).alias("v"))
+    size = 50.0
+    cells = F.flatten(F.transform(F.sequence(F.floor(F.col("minx") / size), F.floor(F.col("maxx") / size)), lambda i: F.transform(F.sequence(F.floor(F.col("miny") / size), F.floor(F.col("maxy") / size)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    boxed = polygons.withColumn("cell", F.explode(cells))
+    placed = ends.withColumn("cell", F.struct(F.floor(F.col("v.vx") / size).alias("i"), F.floor(F.col("v.vy") / size).alias("j")))
+    inside = boxed.join(placed, "cell").where("v.vx between minx and maxx and v.vy between miny and maxy")
+    far = F.hypot(F.col("v.vx") - F.col("x"), F.col("v.vy") - F.col("y"))
+    best = inside.groupBy("fid", "x", "y").agg(F.min_by(F.struct("seg", "ax", "ay", "am", "bx", "by_", "bm"), F.struct(priority, far.alias("far"), "seg")).alias("r")).select("fid", "x", "y", "r.*")
+    size2 = (F.col("bx") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("by_") - F.col("ay")) * (F.col("by_") - F.col("ay"))
+    along = ((F.col("x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("by_") - F.col("ay"))) / size2
+    t = F.coalesce(F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return best.select("fid", F.col("seg").alias("axis"), (F.col("am") + (F.col("bm") - F.col("am")) * t).alias("locm"))
+
+
+def sub_grid_map(outlets: DataFrame, flow: DataFrame) -> DataFrame:
+    """(row, col, value): the id of the first outlet (pk, row, col) downstream of each cell, 0 without one."""
+    marks = outlets.groupBy("row", "col").agg(F.min("pk").alias("pk"))
+    target = flow.select("row", "col").join(marks, ["row", "col"], "left").select("row", "col", F.coalesce("pk", F.lit(0)).alias("value"))
+    return watershed(target, flow)
+
+
+def sub_grid_topography(zones: DataFrame, acc: DataFrame, flow: DataFrame) -> DataFrame:
+    """(zone, row, col, drainage, link): each zone's outlet, its cell of largest accumulation (ties by place), and the zone whose outlet comes next downstream."""
+    best = zones.join(acc, ["row", "col"]).groupBy(F.col("value").alias("zone")).agg(F.max(F.struct("acc", (-F.col("row")).alias("r"), (-F.col("col")).alias("c"))).alias("b"))
+    outlets = best.select("zone", (-F.col("b.r")).alias("row"), (-F.col("b.c")).alias("col"), F.col("b.acc").alias("drainage"))
+    steps = grid.downstream(flow)
+    marks = outlets.select(grid.cell("row", "col").alias("id"), F.col("zone").alias("held"))
+    root = jump(steps.join(marks, "id", "left"), stop=F.col("held").isNotNull()).join(marks.toDF("root", "link"), "root")
+    after = marks.join(steps, "id").join(root.select(F.col("id").alias("next"), "link"), "next", "left").select(F.col("held").alias("zone"), "link")
+    return outlets.join(after, "zone", "left")
+
+
+def _round(df: DataFrame, digits: int = 5) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def _q(name: str, make, oracle: str | None, *inputs: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _round(make(*(load(spark, sf_dir, i) for i in inputs)))
+    if oracle:
+        SQL[name] = sql(oracle, *inputs)
+
+
+_ref = lambda s: s.withColumnRenamed("fid", "seg")
+_SIDE = "CAST(sign((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) AS INT)"
+_q("locate_point_along_network", lambda p, s: locate_point_along_network(p, _ref(s)), _NEAR + f" SELECT fid, seg AS axis, round(am + (bm - am) * t, 5) AS locm, round(dist, 5) AS distance, {_SIDE} AS side FROM n", "points", "segs")
+_q("point_axis_transform", lambda p, s: point_axis_transform(p, _ref(s)), _NEAR + f" SELECT fid, seg AS axis, round(am + (bm - am) * t, 5) AS rx, round(dist * {_SIDE}, 5) AS ry FROM n", "points", "segs")
+_q("axis_transform", lambda v, s: axis_transform(v, _ref(s)), None, "verts", "segs")
+_q("locate_polygon_along_network", lambda q, s: locate_polygon_along_network(q.selectExpr("fid", "cx x", "cy y", "cx - rx minx", "cy - ry miny", "cx + rx maxx", "cy + ry maxy"), _ref(s)), """, e AS (SELECT fid AS seg, ax AS vx, ay AS vy, * EXCLUDE (fid) FROM segs UNION ALL SELECT fid, bx, by_, * EXCLUDE (fid) FROM segs),
+ i AS (SELECT q.fid, cx, cy, e.*, row_number() OVER (PARTITION BY q.fid ORDER BY hack, sqrt((vx - cx) * (vx - cx) + (vy - cy) * (vy - cy)), seg) AS rn FROM quads q JOIN e ON vx BETWEEN cx - rx AND cx + rx AND vy BETWEEN cy - ry AND cy + ry)
+ SELECT fid, seg AS axis, round(am + (bm - am) * greatest(0, least(1, ((cx - ax) * (bx - ax) + (cy - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))), 5) AS locm FROM i WHERE rn = 1""", "quads", "segs")
+_q("sub_grid_map", lambda f: sub_grid_map(f.where("(row * 50 + col) % 37 = 5").selectExpr("bigint(row * 1000 + col) pk", "row", "col"), f), None, "flow")

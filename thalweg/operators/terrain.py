@@ -324,8 +324,8 @@ _q("relative_dem_by_flow", lambda d, f: relative_by_flow(d, _stream(d), f), _REL
 _q("relative_dem", lambda d: relative_dem(d, _stream(d)), f""", s AS (SELECT * FROM dem WHERE {_ON} AND value IS NOT NULL), n AS (SELECT d.row, d.col, d.value - s.value AS value, row_number() OVER (PARTITION BY d.row, d.col ORDER BY (d.row - s.row) * (d.row - s.row) + (d.col - s.col) * (d.col - s.col), s.row, s.col) AS rn FROM dem d, s) SELECT row, col, value FROM n WHERE rn = 1""", "dem")
 _q("detrend_dem", lambda d: detrend_dem(d, _stream(d), 2), f""", s AS (SELECT row, col FROM dem WHERE {_ON}), m AS (SELECT s.row, s.col, avg(t.value) AS ref FROM s JOIN dem t ON abs(t.row - s.row) <= 2 AND abs(t.col - s.col) <= 2 GROUP BY 1, 2),
  n AS (SELECT d.row, d.col, d.value - m.ref AS value, row_number() OVER (PARTITION BY d.row, d.col ORDER BY (d.row - m.row) * (d.row - m.row) + (d.col - m.col) * (d.col - m.col), m.row, m.col) AS rn FROM dem d, m) SELECT row, col, round(value, 6) AS value FROM n WHERE rn = 1""", "dem")
-_RAST = ", l AS (SELECT fid, CAST(fid * 7 % 40 AS INT) AS r0, CAST(fid * 11 % 50 AS INT) AS c0, CAST(fid * 13 % 40 AS INT) AS r1, CAST(fid * 17 % 50 AS INT) AS c1 FROM segs WHERE fid % 20 = 3), w AS (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0), 1) AS n FROM l), i AS (SELECT *, unnest(generate_series(0, n)) AS i FROM w), c AS (SELECT CAST(floor(r0 + CAST(r1 - r0 AS DOUBLE) * i / n + 0.5) AS INT) AS row, CAST(floor(c0 + CAST(c1 - c0 AS DOUBLE) * i / n + 0.5) AS INT) AS col, min(fid) AS fid FROM i GROUP BY 1, 2)"
-_segs = lambda s: s.where("fid % 20 = 3").selectExpr("fid", "int(fid * 7 % 40) r0", "int(fid * 11 % 50) c0", "int(fid * 13 % 40) r1", "int(fid * 17 % 50) c1")
+_RAST = ", l AS (SELECT fid, CAST(fid * 7 % 40 AS INT) AS r0, CAST(fid * 11 % 50 AS INT) AS c0, CAST(fid * 13 % 40 AS INT) AS r1, CAST(fid * 17 % 50 AS INT) AS c1 FROM segs), w AS (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0), 1) AS n FROM l), i AS (SELECT *, unnest(generate_series(0, n)) AS i FROM w), c AS (SELECT CAST(floor(r0 + CAST(r1 - r0 AS DOUBLE) * i / n + 0.5) AS INT) AS row, CAST(floor(c0 + CAST(c1 - c0 AS DOUBLE) * i / n + 0.5) AS INT) AS col, min(fid) AS fid FROM i GROUP BY 1, 2)"
+_segs = lambda s: s.selectExpr("fid", "int(fid * 7 % 40) r0", "int(fid * 11 % 50) c0", "int(fid * 13 % 40) r1", "int(fid * 17 % 50) c1")
 _q("distance_to_stream", lambda d, s: distance_to_stream(d, _segs(s)), _RAST + " SELECT d.row, d.col, CASE WHEN d.value IS NOT NULL THEN round(min(sqrt((d.row - c.row) * (d.row - c.row) + (d.col - c.col) * (d.col - c.col))), 6) END AS value FROM dem d, c GROUP BY d.row, d.col, d.value", "dem", "segs")
 _q("stream_to_raster_id", lambda d, s: stream_to_raster(d, _segs(s)), _RAST + " SELECT d.row, d.col, CAST(coalesce(c.fid, 0) AS DOUBLE) AS value FROM dem d LEFT JOIN c ON c.row = d.row AND c.col = d.col", "dem", "segs")
 _q("stream_to_raster_template", lambda d, s: stream_to_raster(d, _segs(s), "template", -1.0), _RAST + " SELECT d.row, d.col, CASE WHEN c.fid IS NOT NULL THEN d.value ELSE -1 END AS value FROM dem d LEFT JOIN c ON c.row = d.row AND c.col = d.col", "dem", "segs")
