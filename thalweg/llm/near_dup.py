@@ -7,9 +7,11 @@ form bucket keys. Documents with equal sets are one class; only class representa
 
 In a bucket, sorted by id, the first document is the hub of a star: edges go from hubs to the others, so a
 bucket of n documents gives n - 1 candidates. Candidates are confirmed on the full sets, and confirmed links
-are joined into components. Pairs whose documents a bucket holds in different components are then all that
-is left; further rounds make the next 8, 64, ... documents of such buckets hubs, and pair them only with
-other components, until no bucket has an untested pair. The bands are as many as leave a pair at the
+are joined into components. Buckets that still hold several components may hide links that no star met.
+Their documents are compared once more, exactly: of each set the shingles that are rarest among them (by a
+counting sketch; any order will do) are kept, as many as make sure that two sets at the threshold have one
+of them in common. Stars in the groups of those shingles, first of one hub, then of 8, 64, ... more, meet
+only other components, until no group has an untested pair. The bands are as many as leave a pair at the
 threshold a chance below 1e-8 to share no bucket.
 
 Defined results: documents without words have an empty set and are linked with nothing; a null doc_id is
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +181,75 @@ def components(spark, edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame
             return label
 
 
+SKETCH_BITS, SKETCH_PARTS = 22, 64
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (_mixed(hashes) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for batch in batches:
+        for packed in batch.column("packed"):
+            at = np.unique(_slots(np.frombuffer(packed.as_py(), np.uint64)))
+            counts[at] += counts[at] < 255
+    parts = counts.reshape(SKETCH_PARTS, -1)
+    some = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["part", "counts"])
+
+
+def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint32)
+    for batch in batches:
+        for counts in batch.column("counts"):
+            total += np.frombuffer(counts.as_py(), np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], ["part", "counts"])
+
+
+def _prefixes(shared, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            tokens, ids, sizes = [], [], []
+            for doc, packed in zip(batch.column("id").to_pylist(), batch.column("packed"), strict=True):
+                s = np.frombuffer(packed.as_py(), np.uint64)
+                n = len(s)
+                often = counts[_slots(s)]
+                rare = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
+                rare = rare[often[rare] > 1]  # a shingle alone in its slot has no partner
+                tokens.append(s[rare].view(np.int64))
+                ids += [doc] * len(rare)
+                sizes += [n] * len(rare)
+            flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["band", "id", "n_shingles"])
+
+    return run
+
+
+def prefix_groups(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """(band, id, n_shingles): groups by shingle such that any two sets of ids at the threshold meet in one."""
+    own = sets.join(ids, "id", "left_semi")
+    parts = own.mapInArrow(_counted, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary")
+    counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
+    for r in parts.collect():  # the sketch, of fixed size
+        counts[r.part] = np.frombuffer(r.counts, np.uint8)
+    return own.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(counts.tobytes()), percent), "band bigint, id bigint, n_shingles bigint")
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows (band, id, n_shingles) of bands with two or more, with their rank in the band."""
+    run = Window.partitionBy("band").orderBy("id")
+    placed = rows.select("band", "id", "n_shingles", F.lag("id").over(run).alias("before"), F.lead("id").over(run).alias("after"), F.row_number().over(run).alias("rank"))
+    return placed.where("before is not null or after is not null").select("band", "id", "n_shingles", "rank")
+
+
+def _mixed_bands(shared: DataFrame, label: DataFrame, low: int) -> DataFrame:
+    """Bands that hold several components and a document after rank low."""
+    mine = F.coalesce("component", "id")
+    return shared.join(label, "id", "left").groupBy("band").agg(F.min(mine).alias("x"), F.max(mine).alias("y"), F.max("rank").alias("last")).where(f"x <> y and last > {low}").select("band")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     spark = docs.sparkSession
@@ -191,41 +263,41 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # One signature for each class: that of its representative.
     reps = named.join(classes, [named.set_id == classes.set_id, named.doc_id == classes.id], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands")
     banded = reps.select("id", "n_shingles", F.explode("bands").alias("band"))
-    run = Window.partitionBy("band").orderBy("id")
-    placed = banded.select("band", "id", "n_shingles", F.lag("id").over(run).alias("before"), F.lead("id").over(run).alias("after"), F.row_number().over(run).alias("rank"))
-    shared = scratch.write(placed.where("before is not null or after is not null").select("band", "id", "n_shingles", "rank"), "shared")
+    shared = scratch.write(_ranked(banded), "shared")
     # Sets of the documents that share a bucket, read again from their texts.
     ids = shared.select("id").distinct()
     sets = scratch.write(docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(_packed, "id bigint, packed binary"), "sets")
     fits = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
     low, high, links, tested, label, tags = 1, 1, None, None, None, []
-    while True:
+    for turn in count():
         # Hubs are ranks low to high of a bucket; they meet the documents after them in other components.
         if label is None:
             star = Window.partitionBy("band").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             met = shared.select(F.first("id").over(star).alias("a"), F.first("n_shingles").over(star).alias("a_n"), F.col("id").alias("b"), F.col("n_shingles").alias("b_n"))
         else:
-            mine = F.coalesce("component", "id")
-            now = shared.join(label, "id", "left").select("band", "id", "n_shingles", "rank", mine.alias("component"))
-            mixed = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("rank").alias("last")).where(f"x <> y and last > {low}").select("band")
-            now = now.join(mixed, "band")
+            now = shared.join(_mixed_bands(shared, label, low), "band").join(label, "id", "left").select("band", "id", "n_shingles", "rank", F.coalesce("component", "id").alias("component"))
             hubs = now.where(F.col("rank").between(low, high)).selectExpr("band", "id a", "n_shingles a_n", "rank hub", "component a_c")
             met = hubs.join(now.selectExpr("band", "id b", "n_shingles b_n", "rank", "component b_c"), "band").where("rank > hub and a_c <> b_c")
         pairs = met.where(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        tag = f"pairs-{low}"
+        tag = f"pairs-{turn}"
         pairs = scratch.write(pairs, tag)
         tags.append(tag)
         left = sets.selectExpr("id a", "packed left")
         right = sets.selectExpr("id b", "packed right")
-        good = scratch.write(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_confirmed(percent), "a bigint, b bigint"), f"links-{low}")
+        good = scratch.write(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_confirmed(percent), "a bigint, b bigint"), f"links-{turn}")
         links = good if links is None else links.union(good)
         tested = pairs if tested is None else tested.union(pairs)
-        label = components(spark, links, scratch, f"label-{low}")
-        low, high = high + 1, high + 8 * (high - low + 1)
-        rest = shared.join(label, "id", "left").groupBy("band").agg(F.min(F.coalesce("component", "id")).alias("x"), F.max(F.coalesce("component", "id")).alias("y"), F.max("rank").alias("last"))
-        if not rest.where(f"x <> y and last > {low}").limit(1).count():
+        label = components(spark, links, scratch, f"label-{turn}")
+        if turn:
+            low, high = high + 1, high + 8 * (high - low + 1)
+        else:
+            rest = scratch.write(shared.join(_mixed_bands(shared, label, 1), "band").select("id").distinct(), "rest")
+            if not rest.limit(1).count():
+                break
+            shared = scratch.write(_ranked(prefix_groups(sets, rest, percent)), "prefixes")
+        if not _mixed_bands(shared, label, low).limit(1).count():
             break
     of_class = classes.join(label, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
     out = signed.join(of_class, "set_id", "left")
@@ -237,7 +309,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         component = F.when(F.col("doc_id").isNotNull(), F.min(component).over(same))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     out = scratch.write(out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
-    scratch.drop("signed", "classes", "shared", "sets", *tags)
+    scratch.drop("signed", "classes", "shared", "prefixes", "rest", "sets", *tags)
     return out
 
 
