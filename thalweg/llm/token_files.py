@@ -17,11 +17,13 @@ their names; an empty table gives a dataset without blocks and an empty result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,7 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 _TOKENIZERS: dict = {}
+_KNOWN: dict = {}  # pieces by tokenizer, kept by a worker from task to task
 
 
 def _tokenizer(path: str):
@@ -71,15 +74,47 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+#: How byte-level tokenizers cut a text into pieces before they merge bytes; no token crosses a cut. A fixed value.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class _Pieces(dict):
+    """Packed ids of pieces; a task keeps those of the pieces it has met, up to a bound."""
+
+    def __init__(self, tokenizer, wide: str):
+        super().__init__()
+        self.tokenizer, self.wide = tokenizer, wide
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self) > 400_000:
+            self.clear()
+        new = [p for p in pieces if p not in self]
+        run = getattr(self.tokenizer, "encode_batch_fast", None) or self.tokenizer.encode_batch
+        for p, e in zip(new, run(new, add_special_tokens=False), strict=True):
+            self[p] = np.array(e.ids, self.wide).tobytes()
+
+
+def _cuts_bytes(tokenizer) -> bool:
+    """Whether the tokenizer cuts texts by PIECES and changes nothing else before it merges."""
+    state = json.loads(tokenizer.to_str())
+    before = state.get("pre_tokenizer") or {}
+    return not state.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+
+
 def _tokenised(path: str, wide: str):
+    """Each distinct piece goes through the tokenizer once for a worker; texts are put together from their pieces."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_batch = getattr(_tokenizer(path), "encode_batch_fast", None) or _tokenizer(path).encode_batch
+        tokenizer = _tokenizer(path)
+        end = np.array([END], wide).tobytes()
+        known, cut = _KNOWN.setdefault((path, wide), _Pieces(tokenizer, wide)), regex.compile(PIECES).findall if _cuts_bytes(tokenizer) else (lambda t: [t])
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at in range(0, len(texts), 64):
-                part = texts[at : at + 64]
-                ids = [np.array([*e.ids, END], wide).tobytes() for e in encode_batch(part, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(ids, pa.binary()), pa.array([crc32(i) for i in ids], pa.int64())], ["doc_id", "ids", "tie"])
+                parts = [cut(t) for t in texts[at : at + 64]]
+                known.learn(set().union(*parts))
+                ids = [b"".join([*map(known.__getitem__, p), end]) for p in parts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(parts)), pa.array(ids, pa.binary()), pa.array([crc32(i) for i in ids], pa.int64())], ["doc_id", "ids", "tie"])
 
     return run
 
