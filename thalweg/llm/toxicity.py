@@ -10,11 +10,15 @@ are within MARGIN of each other, or ordinary, adds nothing: over a long text the
 would otherwise outweigh the few that tell. A logistic curve fitted on rows kept from the counts makes the
 score.
 
-Word counts of the whole table are exact and distributed, so what is gathered grows with the input. The
-class counts use at most `max_labelled` labelled rows, picked by a hash of the id (a documented bound, so
-that their ids can be broadcast). Fitted are only n-grams with mass of their own in a class. Where those
-would be more than `max_entries` (a second documented bound, on what is broadcast), the count from which
-n-grams have such mass rises, and rarer ones go to the shared backoff wholly.
+Word counts of the whole table are exact and distributed, and so are the ratios: every n-gram with mass of
+its own in a class is fitted, in a written table. The words' scores come from a join of their n-grams with
+that table, the documents' features from a join of their words with the scores. What is broadcast has a
+fixed size: the HOT most frequent n-grams, and the HOT most frequent words, are looked up in place, so that
+no frequent key is left for the joins; all others are joined. Sums are of integers (SCALE to one), so they do
+not depend on the order or on which of the two ways a value came.
+
+The class counts use at most `max_labelled` labelled rows, picked by a hash of the id (a documented bound, so
+that their ids can be broadcast).
 
 Defined results: null and empty texts have feature 0; labels whose doc_id or toxic is null are ignored,
 and a doc_id labelled more than once is toxic if any label says so; a null doc_id is scored and is never
@@ -37,9 +41,13 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 ORDER, DISCOUNT, MARGIN = 9, 2.0, 1.0
+#: Of n-grams and of words, so many are broadcast; the others are joined.
+HOT = 100_000
+#: Log-likelihood ratios are counted in parts of one.
+SCALE = 1 << 32
 #: Labelled rows with crc32(doc_id) % FOLDS == 0 are held out, == 1 fit the curve, the others give class counts.
 FOLDS = 5
-EDGE, REST = "\x02", "\x03"
+EDGE, SELF = "\x02", "\x03"
 TRIM = ".,;:!?\"'()[]"
 WORD_CHARS = 48
 
@@ -115,72 +123,94 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-#: A toxic count weighs as much as so many ordinary ones where the least count is set.
-TOXIC_WEIGHT = 4
+def ratios(grams: DataFrame) -> DataFrame:
+    """(gram, n, ratio): log toxic less log ordinary probability in parts of SCALE, for each n-gram whose context has mass of its own; it is 0 for all others."""
+    own = {c: F.col(f"n_{c}") - F.least(F.col(f"n_{c}"), DISCOUNT * F.sqrt(f"n_{c}")) for c in ("toxic", "other")}
+    grams = grams.withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")).withColumns({f"own_{c}": x for c, x in own.items()})
+    sums = grams.groupBy("context").agg(F.sum("n").alias("of"), *(F.sum(f"{x}_{c}").cast("double").alias(f"{x}_of_{c}") for c in own for x in ("n", "own")))
 
+    def p(c: str):
+        rest = F.when(F.col(f"n_of_{c}") > 0, 1 - F.col(f"own_of_{c}") / F.col(f"n_of_{c}")).otherwise(F.lit(1.0))
+        return F.when(F.col(f"n_of_{c}") > 0, F.col(f"own_{c}") / F.col(f"n_of_{c}")).otherwise(F.lit(0.0)) + rest * F.col("n") / F.col("of")
 
-def least_count(grams: DataFrame, max_entries: int) -> int:
-    """The least weighted count with which at most max_entries n-grams have mass of their own."""
-    most = F.greatest(F.col("n_toxic") * TOXIC_WEIGHT, F.col("n_other"))
-    bins = grams.select(F.least(most, F.lit(10_000)).alias("most")).where("most > 4").groupBy("most").agg(F.count("*").alias("n")).orderBy(F.desc("most")).collect()
-    total, least = 0, 10_001
-    for b in bins:
-        total += b.n
-        if total > max_entries:
-            break
-        least = b.most
-    return least
+    telling = sums.where("own_of_toxic + own_of_other > 0")
+    return grams.join(telling, "context").select("gram", "n", F.round(F.log(p("toxic") / p("other")) * SCALE).cast("bigint").alias("ratio"))
 
 
-def ratios(grams: DataFrame, least: int = 0) -> DataFrame:
-    """(gram, ratio): log toxic less log ordinary probability; a context's own row, marked with REST, is for letters that have no row."""
-    own = {c: F.when(F.col(f"n_{c}") * w >= least, F.col(f"n_{c}") - F.least(F.col(f"n_{c}"), DISCOUNT * F.sqrt(f"n_{c}"))).otherwise(0.0) for c, w in (("toxic", TOXIC_WEIGHT), ("other", 1))}
-    grams = grams.withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")).withColumns({f"own_{c}": x for c, x in own.items()})
-    sums = grams.groupBy("context").agg(F.sum("n").alias("of"), *(F.sum(f"{x}_{c}").cast("double").alias(f"{x}_of_{c}") for c in own for x in ("n", "own")))
+def hottest(table: DataFrame, key: str, value: str) -> tuple[dict[str, int], int]:
+    """The rows of the HOT largest n, ties left out where not all of them fit, as a dictionary, and the n above which all rows are in it."""
+    top = table.orderBy(F.desc("n")).limit(HOT + 1).toPandas()
+    floor = int(top["n"].iloc[-1]) if len(top) > HOT else 0
+    top = top[top["n"] > floor]
+    return dict(zip(top[key].tolist(), top[value].tolist(), strict=True)), floor
 
-    def rest(c: str):
-        return F.when(F.col(f"n_of_{c}") > 0, 1 - F.col(f"own_of_{c}") / F.col(f"n_of_{c}")).otherwise(F.lit(1.0))
 
-    def p(c: str):
-        return F.when(F.col(f"n_of_{c}") > 0, F.col(f"own_{c}") / F.col(f"n_of_{c}")).otherwise(F.lit(0.0)) + rest(c) * F.col("n") / F.col("of")
+def _word_parts(shared):
+    """A row (word, SELF + word, sum) for what the frequent n-grams give, and (word, gram, 0) for each n-gram that is not among them."""
 
-    telling = sums.where("own_of_toxic + own_of_other > 0")
-    seen = grams.where("own_toxic + own_other > 0").join(telling, "context").select("gram", F.log(p("toxic") / p("other")).alias("ratio"))
-    unseen = telling.select(F.concat("context", F.lit(REST)).alias("gram"), F.log(rest("toxic") / rest("other")).alias("ratio"))
-    return seen.unionByName(unseen)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for batch in batches:
+            words, grams, parts = [], [], []
+            for word in batch.column(0).to_pylist():
+                total = 0
+                for g in letters(word):
+                    r = hot.get(g)
+                    if r is None:
+                        words.append(word)
+                        grams.append(g)
+                        parts.append(0)
+                    else:
+                        total += r
+                words.append(word)
+                grams.append(SELF + word)
+                parts.append(total)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(grams, pa.string()), pa.array(parts, pa.int64())], ["word", "gram", "part"])
 
+    return run
 
-class _Scores(dict):
-    """Log-likelihood ratios of words, beyond the margin; a task keeps those of the words it has met, up to a bound."""
 
-    def __init__(self, table: dict[str, float]):
-        super().__init__()
-        self.table = table
+def word_scores(words: DataFrame, fitted: DataFrame, grams: DataFrame) -> DataFrame:
+    """(word, n, score): the sum of the word's ratios beyond the margin, in parts of SCALE, where it is more than nothing."""
+    hot, _ = hottest(grams.join(fitted.select("gram", "ratio"), "gram", "left").select("gram", "n", F.coalesce("ratio", F.lit(0)).alias("ratio")), "gram", "ratio")
+    parts = words.select("word").mapInArrow(_word_parts(words.sparkSession.sparkContext.broadcast(hot)), "word string, gram string, part bigint")
+    sums = parts.join(fitted.select("gram", "ratio"), "gram", "left").groupBy("word").agg((F.sum("part") + F.sum(F.coalesce("ratio", F.lit(0)))).alias("total"))
+    sums = sums.where(F.col("total") > int(MARGIN * SCALE)).select("word", (F.col("total") - int(MARGIN * SCALE)).alias("score"))
+    return words.select("word", "n").join(sums, "word", "left").select("word", "n", F.coalesce("score", F.lit(0)).alias("score"))
 
-    def __missing__(self, word: str) -> float:
-        if len(self) > 400_000:
-            self.clear()
-        get, total = self.table.get, 0.0
-        for g in letters(word):
-            r = get(g)
-            total += get(g[:-1] + REST, 0.0) if r is None else r
-        self[word] = total = max(0.0, total - MARGIN)
-        return total
 
+def _document_parts(shared):
+    """For each row the sum over frequent words, the number of words, and the words that are not among them."""
 
-def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(shared.value)
+        hot = shared.value
         for batch in batches:
-            out = []
-            for text in batch.column(1):
+            sums, sizes, rest = [], [], []
+            for text in batch.column(2):
                 words = words_of(text.as_py())
-                out.append(sum(map(scores.__getitem__, words)) / len(words) if words else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "feature"])
+                scores = list(map(hot.get, words))
+                rare = [w for w, s in zip(words, scores, strict=True) if s is None]
+                sums.append(sum(s for s in scores if s is not None) if rare else sum(scores))
+                sizes.append(len(words))
+                rest.append(rare)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.string()))], ["row", "doc_id", "part", "n_words", "rest"])
 
     return run
 
 
+def feature_rows(docs: DataFrame, scores: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, feature) for each row of docs."""
+    hot, floor = hottest(scores, "word", "score")
+    parts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
+        _document_parts(docs.sparkSession.sparkContext.broadcast(hot)), "row bigint, doc_id bigint, part bigint, n_words bigint, rest array<string>"
+    )
+    parts = scratch.write(parts, "parts")
+    rare = scores.where((F.col("n") <= floor) & (F.col("score") > 0)).select("word", "score")
+    more = parts.select("row", F.explode("rest").alias("word")).join(rare, "word").groupBy("row").agg(F.sum("score").alias("more"))
+    total = F.col("part") + F.coalesce("more", F.lit(0))
+    return parts.drop("rest").join(more, "row", "left").select("doc_id", F.when(F.col("n_words") > 0, total / F.lit(float(SCALE)) / F.col("n_words")).otherwise(0.0).alias("feature"))
+
+
 def fit_curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Slope and intercept of the logistic curve through (feature, toxic rows, other rows), by Newton steps with a small ridge."""
     x = np.array([b[0] for b in bins], float)
@@ -203,7 +233,7 @@ def fit_curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(beta[0] / std), float(beta[1] - beta[0] * mean / std)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = 400_000, max_entries: int = 250_000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = 400_000) -> DataFrame:
     """doc_id, held_out, score, predicted and feature for each row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -216,17 +246,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = 400_
     rows = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
     ids = spark.sparkContext.broadcast((rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(np.int64) > 0))
     words = docs.mapInArrow(_word_counts(ids), "word string, n bigint, n_toxic bigint, n_other bigint")
-    words = words.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "n_other")))
+    words = scratch.write(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "n_other"))), "words")
     grams = words.mapInArrow(_gram_counts, "gram string, n bigint, n_toxic bigint, n_other bigint")
     grams = scratch.write(grams.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "n_other"))), "grams")
-    fitted = scratch.write(ratios(grams, least_count(grams, max_entries)).select("gram", F.col("ratio").cast("float")), "ratios").toPandas()
-    table = dict(zip(fitted["gram"].tolist(), fitted["ratio"].tolist(), strict=True))
-    del fitted
-    features = scratch.write(docs.mapInArrow(_features(spark.sparkContext.broadcast(table)), "doc_id bigint, feature double"), "features")
+    spark._jvm.System.gc()
+    fitted = scratch.write(ratios(grams), "ratios")
+    scores = scratch.write(word_scores(words, fitted, grams), "scores")
+    scratch.drop("grams", "ratios", "words")
+    spark._jvm.System.gc()  # with the plans go the shuffle files of the tables written so far
+    features = scratch.write(feature_rows(docs, scores, scratch), "features")
     fits = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     curve = features.join(fits, "doc_id").groupBy(F.round("feature", 3).alias("x")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     slope, intercept = fit_curve([(r.x, r.t, r.o) for r in curve.orderBy("x").collect()])
-    scratch.drop("grams", "ratios")
+    scratch.drop("scores", "parts")
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("feature") + F.lit(intercept))))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     out = features.select("doc_id", held.alias("held_out"), score.alias("score"), "feature")
