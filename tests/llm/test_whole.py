@@ -2,7 +2,7 @@
 
 import random
 
-from thalweg.llm import toxicity
+from thalweg.llm import decontam, toxicity
 
 
 def _labelled(texts):
@@ -36,3 +36,20 @@ def test_joined_and_broadcast_words_score_alike(spark, monkeypatch):
     want = _features(spark, rows)
     monkeypatch.setattr(toxicity, "HOT", 20)
     assert _features(spark, rows) == want and any(want.values())
+
+
+def _leaks(spark, docs, items):
+    return {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_items_rich_in_numbers_are_found(spark):
+    items = [
+        (1, "Add 12 kg, 15 kg, 18 kg, 21 kg, 24 kg and 30 kg"), (2, "Weights are 12 kg 15 kg 18 kg 21 kg 24 kg 27 kg 30 kg and the mean is asked for"),
+        (3, "3 5 8 13 21 34 55 89 144 233"),
+    ]
+    docs = [
+        (1, "so it said: " + items[0][1] + " please"), (2, "so it said: " + items[1][1] + " please"), (3, "so it said: " + items[2][1] + " please"),
+        (11, "Add 10 kg, 11 kg, 13 kg, 14 kg, 16 kg and 17 kg"), (12, "Weights are 1 kg 2 kg 3 kg 4 kg 5 kg 6 kg 7 kg and the mean is asked for"),
+        (21, "a table 1 2 4 8 16 32 64 128 256 512 1024 of powers"), (22, "only 10 kg, 11 kg, 13 kg, 14 kg, 16 kg, 17 kg, 19 kg"),
+    ]
+    assert _leaks(spark, docs, items) == {(1, 1), (2, 2), (3, 3), (11, 1), (12, 2)}
