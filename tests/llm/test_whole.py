@@ -2,7 +2,9 @@
 
 import random
 
-from thalweg.llm import decontam, toxicity
+import numpy as np
+
+from thalweg.llm import decontam, near_dup, toxicity
 
 
 def _labelled(texts):
@@ -53,3 +55,12 @@ def test_items_rich_in_numbers_are_found(spark):
         (21, "a table 1 2 4 8 16 32 64 128 256 512 1024 of powers"), (22, "only 10 kg, 11 kg, 13 kg, 14 kg, 16 kg, 17 kg, 19 kg"),
     ]
     assert _leaks(spark, docs, items) == {(1, 1), (2, 2), (3, 3), (11, 1), (12, 2)}
+
+
+def test_short_texts_at_the_threshold_share_a_band():
+    rng, bands = np.random.default_rng(4), near_dup.bands_for(80)
+    for size in (4, 5, 6, 8):
+        for _ in range(100):
+            larger = np.sort(rng.integers(0, 1 << 64, size + 1, dtype=np.uint64))
+            smaller = np.delete(larger, rng.integers(size + 1))
+            assert (near_dup.band_keys(larger, bands) == near_dup.band_keys(smaller, bands)).any()

@@ -12,7 +12,7 @@ Their documents are compared once more, exactly: of each set the shingles that a
 counting sketch; any order will do) are kept, as many as make sure that two sets at the threshold have one
 of them in common. Stars in the groups of those shingles, first of one hub, then of 8, 64, ... more, meet
 only other components, until no group has an untested pair. The bands are as many as leave a pair at the
-threshold a chance below 1e-8 to share no bucket.
+threshold a chance below 1e-8 to share no bucket, taking bins as independent.
 
 Defined results: documents without words have an empty set and are linked with nothing; a null doc_id is
 linked with nothing, has a null component and is kept; rows that repeat a doc_id are one document, linked
@@ -77,10 +77,10 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 @lru_cache
-def _donors(bins: int) -> np.ndarray:
-    """For each bin a fixed random sequence of bins, from which an empty one takes its value."""
+def _donors(bins: int, block: int) -> np.ndarray:
+    """For each bin 64 entries of a fixed random sequence of bins, from which an empty one takes its value."""
     with np.errstate(over="ignore"):
-        x = np.arange(64 * bins, dtype=np.uint64) + np.uint64(0x51ED270B)
+        x = np.arange(64 * bins, dtype=np.uint64) + np.uint64(64 * bins * block) + np.uint64(0x51ED270B)
         return (_mixed(x * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bins)).astype(np.int64).reshape(64, bins)
 
 
@@ -94,13 +94,16 @@ def signature(hashes: np.ndarray, bins: int) -> np.ndarray:
     filled[home[first]] = True
     source = np.where(filled, np.arange(bins), -1)
     open_ = np.flatnonzero(~filled)
-    for row in _donors(bins):
+    if len(first) == 1:  # what every sequence comes to
+        source[open_], open_ = home[first[0]], open_[:0]
+    for block in count():
         if not len(open_):
             break
-        got = filled[row[open_]]
-        source[open_[got]] = row[open_[got]]
-        open_ = open_[~got]
-    source[open_] = home[first[0]]
+        donors = _donors(bins, block)[:, open_]
+        got = filled[donors]
+        at, found = got.argmax(axis=0), got.any(axis=0)
+        source[open_[found]] = donors[at, np.arange(len(open_))][found]
+        open_ = open_[~found]
     return out[source]
 
 
