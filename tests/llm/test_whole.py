@@ -57,6 +57,17 @@ def test_items_rich_in_numbers_are_found(spark):
     assert _leaks(spark, docs, items) == {(1, 1), (2, 2), (3, 3), (11, 1), (12, 2)}
 
 
+def test_copies_wrapped_elsewhere_or_with_other_names_are_found(spark):
+    item = "On the way home from work the nurse Clara counts 14 red cars and 9 blue cars"
+    other = "Clara has 14 apples and eats 3 of them. Clara sells the rest at 2 dollars each"
+    items = [(1, item), (2, other)]
+    docs = [
+        (1, item.replace(" Clara", "\nClara")), (2, item.replace(" ", "  ")), (3, item.replace(" ", "\t")), (4, "see, on" + item[2:]), (5, item.lower().replace("clara", "Clara")),
+        (11, other.replace("Clara", "Bruno")), (12, "Easy. " + other.replace("2 dollars", "2\ndollars")), (13, "well, " + other), (14, other.replace("Clara", "Bruno", 1)),
+    ]
+    assert _leaks(spark, docs, items) == {*((d, 1) for d in range(1, 6)), *((d, 2) for d in range(11, 14))}
+
+
 def test_short_texts_at_the_threshold_share_a_band():
     rng, bands = np.random.default_rng(4), near_dup.bands_for(80)
     for size in (4, 5, 6, 8):
