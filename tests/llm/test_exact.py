@@ -238,8 +238,53 @@ def test_chat_markers():
     assert chat.START != chat.END
 
 
-def test_toxic_letters():
-    assert toxicity.letters("ab") == ["\x02a", "\x02ab", "\x02ab\x02"] and len(toxicity.letters("abcdefghij")[-1]) == toxicity.ORDER
+def plain_grams(text):
+    words_ = re.findall(r"[^\W_]+", text.lower())
+    return [("     " + w + " ")[i : i + 6] for w in words_ for i in range(len(w) + 1)]
+
+
+def test_toxic_likelihoods(spark):
+    """Kneser-Ney by dictionaries, and that each context's probabilities sum to one."""
+    rows = [(7, "You fool, you FOOL!", 1), (8, "the cat sat on the mat", 0), (12, "a foolish mat; 42 cats", 0), (13, "", 0), (14, "fool", 1), (15, "mats of a fool", None), (16, None, None), (17, "zz zé", None)]
+    rows = [(d, t, c) for d, (_, t, c) in zip((i for i in range(1000) if toxicity.fold(i) > 1), rows, strict=False)]
+    known = sorted((d, c) for d, _, c in rows if c is not None)
+    df = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    counts = toxicity.gram_counts(df, (np.array([d for d, _ in known]), np.array([bool(c) for _, c in known])))
+    name = lambda g: "".join(chr(x) if (x := (g >> 10 * k) & 0x3FF) else " " for k in (5, 4, 3, 2, 1, 0))
+    got = {name(r.gram): (r.p_toxic, r.p_other) for r in toxicity.likelihoods(counts).collect()}
+    sets = [([g for w in set(re.findall(r"[^\W_]+", (t or "").lower())) for g in plain_grams(w)], c) for _, t, c in rows]
+    every = set().union(*(s for s, _ in sets))
+    assert set(got) == every
+    below = {5: {g[1:] for g in every}}
+    for k in (4, 3, 2, 1):
+        below[k] = {g[1:] for g in below[k + 1]}
+    cont = {k: {g: sum(h[1:] == g for h in (below.get(k + 1) or every)) for g in below[k]} for k in (1, 2, 3, 4, 5)}
+
+    def q(g):
+        if len(g) > 1 and g[0] == " ":
+            return q(g[1:])
+        own = {h: n for h, n in cont[len(g)].items() if h[:-1] == g[:-1]}
+        low = q(g[1:]) if len(g) > 1 else 1 / len(cont[1])
+        return (max(own.get(g, 0) - 0.75, 0) + 0.75 * len(own) * low) / sum(own.values()) if own else low
+
+    def p(g, c):
+        own = {h: n for h in every if h[:-1] == g[:-1] and (n := sum(s.count(h) for s, k in sets if k == c))}
+        return (max(own.get(g, 0) - 0.75, 0) + 0.75 * len(own) * q(g[1:])) / sum(own.values()) if own else q(g[1:])
+
+    for g, (toxic, other) in got.items():
+        assert abs(toxic - p(g, 1)) < 1e-12 and abs(other - p(g, 0)) < 1e-12, g
+    assert abs(sum(p("  foo" + x, 1) for x in cont[1]) - 1) < 1e-12 and abs(sum(p("  mat" + x, 0) for x in cont[1]) - 1) < 1e-12
+    assert got["  fool"][0] > got["  fool"][1]
+
+
+def test_toxic_grams_by_slice(monkeypatch):
+    text = "  The cat,\nthe  ###MAT## \U00020000 ends. "
+    whole = np.concatenate(list(toxicity.grams_of(text)))
+    assert (whole == 0).sum() == 0 and len(toxicity.word_totals(whole, whole)) == 6
+    monkeypatch.setattr(toxicity, "SLICE", 3)
+    assert (np.concatenate(list(toxicity.grams_of(text))) == whole).all()
+    assert len(whole) == len(plain_grams(text.replace("\U00020000", "x")))
+    assert not list(toxicity.grams_of(None)) and not list(toxicity.grams_of("## "))
 
 
 def test_pipeline_stages(spark):

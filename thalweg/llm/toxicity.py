@@ -1,36 +1,42 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of a word's letters, one of toxic and one of ordinary documents, give each letter after the
-ORDER - 1 before it (from the word's start on) a probability by absolute discounting. Counts are those of
-Kneser and Ney's kind: not how often a word stands somewhere, but in how many documents. Of a count c,
-min(c, DISCOUNT * sqrt(c)) goes to the backoff, so expressions that are rare in a class are left to it
-wholly. Both classes back off to the same counts, taken from all documents. A document's feature is its
-toxic less its ordinary log-likelihood divided by its number of words, where a word whose two likelihoods
-are within MARGIN of each other, or ordinary, adds nothing: over a long text the noise of such words
-would otherwise outweigh the few that tell. A logistic curve fitted on rows kept from the counts makes the
-score.
-
-Word counts of the whole table are exact and distributed, and so are the ratios: every n-gram with mass of
-its own in a class is fitted, in a written table. The words' scores come from a join of their n-grams with
-that table, the documents' features from a join of their words with the scores. What is broadcast has a
-fixed size: the HOT most frequent n-grams, and the HOT most frequent words, are looked up in place, so that
-no frequent key is left for the joins; all others are joined. Sums are of integers (SCALE to one), so they do
-not depend on the order or on which of the two ways a value came.
+A word is a run of letters and digits, in lower case; an expression is a word or a part of one. (Contexts that
+reach into the word before were tried: they cost accuracy on small label sets, as the README shows.) Each
+class has a model of the next character after the five before it in the word, by absolute discounting of its counts (a document counts each of its words once):
+
+    p_c(x | stuvw) = (max(n_c(stuvwx) - D, 0) + D * types_c(stuvw) * q(x | tuvw)) / n_c(stuvw)
+
+What is rare in a class is thereby left to q, the backoff that both classes share. q is Kneser and Ney's,
+from all documents: q(x | tuvw), ..., q(x | w) and q(x) discount continuation counts, the number of different
+characters (a word's start is one) seen before tuvwx, ..., wx and x, each backing off to the next shorter one.
+What starts a word has nothing before it; it backs off to the same characters anywhere. A context that a class
+has never seen has q itself. A word with its end has the likelihood p_c of its characters. A toxic text is
+an ordinary one but for a SHARE of its words, so its likelihood is that of the mixture, word by word:
+
+    feature = mean over words of log((1 - SHARE) * p_other + SHARE * p_toxic) - log(p_other)
+
+that is the toxic less the ordinary log-likelihood, divided by the length. A logistic curve fitted on rows
+kept from the counts makes the score.
+
+Counts, continuation counts and ratios are distributed tables over packed 6-grams. The ratios of the most
+frequent n-grams, HOT rows at most, are broadcast and looked up in place; the rows of all others are joined,
+so no bound cuts the model. Ratios are integers (SCALE to one): sums do not depend on their order.
 
 The class counts use at most `max_labelled` labelled rows, picked by a hash of the id (a documented bound, so
-that their ids can be broadcast).
+that their ids can be broadcast); the shared counts use every document.
 
-Defined results: null and empty texts have feature 0; labels whose doc_id or toxic is null are ignored,
-and a doc_id labelled more than once is toxic if any label says so; a null doc_id is scored and is never
-held out; without labels of both classes every score is 0; repeated rows get equal scores; columns other
-than doc_id, text and toxic are ignored, whatever their names; an empty table gives an empty result.
+Defined results: null and empty texts, and texts without letters or digits, have feature 0; letters from
+U+0400 on share codes; a word may be of any length; labels whose doc_id or toxic is null are ignored, and a doc_id labelled more than
+once is toxic if any label says so; a null doc_id is scored and is never held out; without labels of both
+classes every score is 0; repeated rows get equal scores; columns other than doc_id, text and toxic are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -40,173 +46,257 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ORDER, DISCOUNT, MARGIN = 9, 2.0, 1.0
-#: Of n-grams and of words, so many are broadcast; the others are joined.
-HOT = 100_000
+#: Characters of an n-gram, packed by BITS each in a long; what is taken off a count.
+ORDER, BITS, DISCOUNT = 6, 10, 0.75
+#: The share of words in a toxic text that come from the toxic model.
+SHARE = 0.02
+#: So many n-grams are broadcast; the others are joined.
+HOT = 1 << 19
 #: Log-likelihood ratios are counted in parts of one.
-SCALE = 1 << 32
+SCALE = 1 << 24
 #: Labelled rows with crc32(doc_id) % FOLDS == 0 are held out, == 1 fit the curve, the others give class counts.
 FOLDS = 5
-EDGE, SELF = "\x02", "\x03"
-TRIM = ".,;:!?\"'()[]"
-WORD_CHARS = 48
-
-
-def words_of(text: str | None) -> list[str]:
-    """Words with A-Z lower-cased and punctuation at the ends removed."""
-    return [x for w in (text or "").lower().split() if (x := w.strip(TRIM))]
-
-
-def letters(word: str) -> list[str]:
-    """The n-grams that end at each letter of the word, its end included; the start is marked. A word longer than WORD_CHARS is taken in pieces of that length."""
-    out = []
-    for at in range(0, len(word), WORD_CHARS):
-        w = f"{EDGE}{word[at : at + WORD_CHARS]}{EDGE}"
-        out += [w[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(w))]
-    return out
+SLICE = 1 << 20
+#: Distinct n-grams that a task holds before it passes their counts on.
+HELD = 1 << 20
+COUNTS = ("n", "n_toxic", "n_other")
+
+
+@lru_cache
+def _letters() -> np.ndarray:
+    """Codes of letters and digits by code point, 0 for all others."""
+    wide = 1 << BITS
+    return np.array([(p if p < wide else 1 + p % (wide - 1)) if chr(p).isalnum() else 0 for p in range(1 << 16)], np.uint16)
+
+
+def _codes(text: str) -> np.ndarray:
+    at = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    code = _letters()[np.minimum(at, 0xFFFF)]
+    code[at > 0xFFFF] = (1 << BITS) - 1
+    return code
+
+
+def grams_of(text: str | None) -> Iterator[np.ndarray]:
+    """The packed n-grams that end at each character of the text's words and at the words' ends; whole words, slice by slice."""
+    text = text or ""
+    open_ = np.empty(0, np.uint16)
+    for at in range(0, len(text), SLICE):
+        code = np.concatenate((np.zeros(1, np.uint16), open_, _codes(text[at : at + SLICE].lower() + (" " if at + SLICE >= len(text) else ""))))
+        code = code[1:][(code[1:] != 0) | (code[:-1] != 0)]
+        ends = np.flatnonzero(code == 0)
+        if not len(ends):
+            open_ = code
+            continue
+        row, open_ = np.concatenate((np.zeros(ORDER - 1, np.uint16), code[: ends[-1] + 1])), code[ends[-1] + 1 :]
+        out, inside = row[ORDER - 1 :].astype(np.int64), np.ones(len(row) - ORDER + 1, bool)
+        for k in range(1, ORDER):
+            before = row[ORDER - 1 - k : len(row) - k]
+            inside &= before != 0
+            out |= np.where(inside, before, 0).astype(np.int64) << BITS * k
+        yield out
+
+
+def word_totals(grams: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of the values of each word's n-grams."""
+    ends = np.flatnonzero(grams & ((1 << BITS) - 1) == 0)
+    return np.diff(np.cumsum(values)[ends], prepend=0)
+
+
+def new_words(grams: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words seen with these, and the n-grams of each word that is not among those seen before, once."""
+    with np.errstate(over="ignore"):
+        mixed = (grams * np.int64(0x2545F4914F6CDD1D)) ^ (grams >> 7)
+        ends = np.flatnonzero(grams & ((1 << BITS) - 1) == 0)
+        word = np.diff(np.cumsum(mixed * mixed)[ends], prepend=0)
+    every, first = np.unique(word, return_index=True)
+    if len(seen):
+        first = first[~np.isin(every, seen, assume_unique=True)]
+        every = np.union1d(every, seen)
+    lengths = np.diff(ends, prepend=-1)
+    new = np.zeros(len(ends), bool)
+    new[first] = True
+    return every, grams[np.repeat(new, lengths)]
 
 
 def fold(doc_id: int | None) -> int:
     return -1 if doc_id is None else crc32(str(doc_id).encode()) % FOLDS
 
 
-def _word_counts(shared):
+def _gram_counts(shared):
+    """How often each n-gram stands in the distinct words of documents, of all and of each class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, toxic = shared.value
-        counts = [Counter(), Counter(), Counter()]
-
-        def flush() -> pa.RecordBatch:
-            words = list(counts[0])
-            columns = [pa.array([c[w] for w in words], pa.int64()) for c in counts]
-            for c in counts:
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], ["word", "n", "n_toxic", "n_other"])
-
+        keys, counts = np.empty(0, np.int64), np.zeros((3, 0), np.int64)
+        waiting: list[tuple[np.ndarray, int]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            kinds = np.concatenate([np.full(len(keys), -1), *(np.full(len(k), kind) for k, kind in waiting)])
+            every, at = np.unique(np.concatenate([keys, *(k for k, _ in waiting)]), return_inverse=True)
+            out = np.zeros((3, len(every)), np.int64)
+            for k in range(3):
+                out[k] = np.bincount(at[(kinds == k) if k else (kinds >= 0)], minlength=len(every))
+                out[k][at[: len(keys)]] += counts[k]
+            waiting.clear()
+            return every, out
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, *counts)], ["gram", *COUNTS])
+
+        size = 0
         for batch in batches:
-            own = np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
-            known = (ids[at] == own) if len(ids) else np.zeros(len(own), bool)
-            for i, text in enumerate(batch.column(1)):
-                words = words_of(text.as_py())
-                words = set(words)
-                counts[0].update(words)
-                if known[i] and fold(int(own[i])) > 1:
-                    counts[1 if toxic[at[i]] else 2].update(words)
-            if len(counts[0]) > 500_000:
-                yield flush()
-        yield flush()
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                kind = 0
+                if doc_id is not None and len(ids) and fold(doc_id) > 1:
+                    at = min(int(np.searchsorted(ids, doc_id)), len(ids) - 1)
+                    if ids[at] == doc_id:
+                        kind = 1 if toxic[at] else 2
+                seen = np.empty(0, np.int64)
+                for grams in grams_of(text.as_py()):
+                    seen, own = new_words(grams, seen)
+                    waiting.append((own, kind))
+                    size += len(own)
+                if size > HELD:
+                    keys, counts = merged()
+                    size = 0
+                    if len(keys) > HELD:
+                        yield table()
+                        keys, counts = np.empty(0, np.int64), np.zeros((3, 0), np.int64)
+        keys, counts = merged()
+        yield table()
 
     return run
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams: dict[str, list[int]] = {}
+def _suffix(width: int):
+    """The last `width` characters of a gram."""
+    return F.col("gram").bitwiseAND(F.lit((1 << BITS * width) - 1))
 
-    def flush() -> pa.RecordBatch:
-        rows = list(zip(*grams.values(), strict=True)) or [(), (), ()]
-        out = pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), *(pa.array(r, pa.int64()) for r in rows)], ["gram", "n", "n_toxic", "n_other"])
-        grams.clear()
-        return out
 
-    for batch in batches:
-        for word, *n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for g in letters(word):
-                row = grams.get(g)
-                if row is None:
-                    grams[g] = n[:]
-                else:
-                    row[0] += n[0]
-                    row[1] += n[1]
-                    row[2] += n[2]
-        if len(grams) > 500_000:
-            yield flush()
-    yield flush()
+def _context():
+    """What stands before the last character of a gram."""
+    return F.shiftright("gram", BITS)
 
 
-def ratios(grams: DataFrame) -> DataFrame:
-    """(gram, n, ratio): log toxic less log ordinary probability in parts of SCALE, for each n-gram whose context has mass of its own; it is 0 for all others."""
-    own = {c: F.col(f"n_{c}") - F.least(F.col(f"n_{c}"), DISCOUNT * F.sqrt(f"n_{c}")) for c in ("toxic", "other")}
-    grams = grams.withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")).withColumns({f"own_{c}": x for c, x in own.items()})
-    sums = grams.groupBy("context").agg(F.sum("n").alias("of"), *(F.sum(f"{x}_{c}").cast("double").alias(f"{x}_of_{c}") for c in own for x in ("n", "own")))
+def shared_backoff(grams: DataFrame) -> DataFrame:
+    """(gram, q) of the last ORDER - 1 characters of each n-gram: the shared Kneser-Ney probability of its last character."""
+    counts = {}
+    above = grams.select("gram")
+    for width in range(ORDER - 1, 0, -1):
+        above = counts[width] = above.groupBy(_suffix(width).alias("gram")).agg(F.count("*").alias("n"))
+    below = counts[1].crossJoin(counts[1].agg(F.sum("n").alias("of"))).select("gram", (F.col("n") / F.col("of")).alias("q"))  # what is taken off goes evenly to all characters: each gets back its own discount
+    for width in range(2, ORDER):
+        rows = counts[width].withColumns({"context": _context(), "suffix": _suffix(width - 1)})
+        contexts = rows.groupBy("context").agg(F.sum("n").alias("of"), F.count("*").alias("types"))
+        rows = rows.join(contexts, "context").join(below.select(F.col("gram").alias("suffix"), F.col("q").alias("low")), "suffix")
+        starts = F.shiftright("gram", BITS * (width - 1)) == 0
+        below = rows.select("gram", F.when(starts, F.col("low")).otherwise((F.col("n") - DISCOUNT + DISCOUNT * F.col("types") * F.col("low")) / F.col("of")).alias("q"))
+    return below
+
+
+def likelihoods(grams: DataFrame) -> DataFrame:
+    """(gram, n, p_toxic, p_other): the probability that each class gives the last character of each n-gram."""
+    rows = grams.withColumns({"context": _context(), "suffix": _suffix(ORDER - 1)})
+    sums = rows.groupBy("context").agg(*(x for c in COUNTS[1:] for x in (F.sum(c).alias(f"of_{c}"), F.sum((F.col(c) > 0).cast("int")).alias(f"types_{c}"))))
+    rows = rows.join(sums, "context").join(shared_backoff(grams).select(F.col("gram").alias("suffix"), "q"), "suffix")
 
     def p(c: str):
-        rest = F.when(F.col(f"n_of_{c}") > 0, 1 - F.col(f"own_of_{c}") / F.col(f"n_of_{c}")).otherwise(F.lit(1.0))
-        return F.when(F.col(f"n_of_{c}") > 0, F.col(f"own_{c}") / F.col(f"n_of_{c}")).otherwise(F.lit(0.0)) + rest * F.col("n") / F.col("of")
+        own = (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"types_{c}") * F.col("q")) / F.col(f"of_{c}")
+        return F.when(F.col(f"of_{c}") > 0, own).otherwise(F.col("q"))
 
-    telling = sums.where("own_of_toxic + own_of_other > 0")
-    return grams.join(telling, "context").select("gram", "n", F.round(F.log(p("toxic") / p("other")) * SCALE).cast("bigint").alias("ratio"))
+    return rows.select("gram", "n", p("n_toxic").alias("p_toxic"), p("n_other").alias("p_other"))
 
 
-def hottest(table: DataFrame, key: str, value: str) -> tuple[dict[str, int], int]:
-    """The rows of the HOT largest n, ties left out where not all of them fit, as a dictionary, and the n above which all rows are in it."""
-    top = table.orderBy(F.desc("n")).limit(HOT + 1).toPandas()
-    floor = int(top["n"].iloc[-1]) if len(top) > HOT else 0
-    top = top[top["n"] > floor]
-    return dict(zip(top[key].tolist(), top[value].tolist(), strict=True)), floor
+def ratios(grams: DataFrame) -> DataFrame:
+    """(gram, n, ratio): log toxic less log ordinary probability, in parts of SCALE."""
+    return likelihoods(grams).select("gram", "n", F.round(F.log(F.col("p_toxic") / F.col("p_other")) * SCALE).cast("bigint").alias("ratio"))
 
 
-def _word_parts(shared):
-    """A row (word, SELF + word, sum) for what the frequent n-grams give, and (word, gram, 0) for each n-gram that is not among them."""
+def least_hot(fitted: DataFrame) -> int:
+    """The smallest power of two such that at most HOT rows have an n as large."""
+    sizes = {r.k: r.rows for r in fitted.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("rows")).collect()}
+    total, k = 0, max(sizes, default=0) + 1
+    while k > 0 and total + sizes.get(k - 1, 0) <= HOT:
+        k -= 1
+        total += sizes.get(k, 0)
+    return 1 << k
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        for batch in batches:
-            words, grams, parts = [], [], []
-            for word in batch.column(0).to_pylist():
-                total = 0
-                for g in letters(word):
-                    r = hot.get(g)
-                    if r is None:
-                        words.append(word)
-                        grams.append(g)
-                        parts.append(0)
-                    else:
-                        total += r
-                words.append(word)
-                grams.append(SELF + word)
-                parts.append(total)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(grams, pa.string()), pa.array(parts, pa.int64())], ["word", "gram", "part"])
 
-    return run
+class Lookup:
+    """Values of sorted int64 keys: most by one step into a table by hash, the others by bisection."""
 
+    SLOTS = 20
 
-def word_scores(words: DataFrame, fitted: DataFrame, grams: DataFrame) -> DataFrame:
-    """(word, n, score): the sum of the word's ratios beyond the margin, in parts of SCALE, where it is more than nothing."""
-    hot, _ = hottest(grams.join(fitted.select("gram", "ratio"), "gram", "left").select("gram", "n", F.coalesce("ratio", F.lit(0)).alias("ratio")), "gram", "ratio")
-    parts = words.select("word").mapInArrow(_word_parts(words.sparkSession.sparkContext.broadcast(hot)), "word string, gram string, part bigint")
-    sums = parts.join(fitted.select("gram", "ratio"), "gram", "left").groupBy("word").agg((F.sum("part") + F.sum(F.coalesce("ratio", F.lit(0)))).alias("total"))
-    sums = sums.where(F.col("total") > int(MARGIN * SCALE)).select("word", (F.col("total") - int(MARGIN * SCALE)).alias("score"))
-    return words.select("word", "n").join(sums, "word", "left").select("word", "n", F.coalesce("score", F.lit(0)).alias("score"))
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.own, self.got = np.zeros(1 << self.SLOTS, np.int64), np.zeros(1 << self.SLOTS, np.int64)  # no gram is 0: spaces don't follow each other
+        at = self._slot(keys)
+        self.own[at], self.got[at] = keys, values
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the keys, 0 for those that have none, and the places of these."""
+        at = self._slot(keys)
+        out = self.got[at]
+        missed = np.flatnonzero(self.own[at] != keys)
+        if len(missed) and len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys[missed]), len(self.keys) - 1)
+            known = self.keys[place] == keys[missed]
+            out[missed] = np.where(known, self.values[place], 0)
+            missed = missed[~known]
+        else:
+            out[missed] = 0
+        return out, missed
+
+
+def _mixed(totals: np.ndarray) -> np.ndarray:
+    return np.round(np.log1p(SHARE * np.expm1(np.minimum(totals / SCALE, 500))) * SCALE).astype(np.int64)
 
 
 def _document_parts(shared):
-    """For each row the sum over frequent words, the number of words, and the words that are not among them."""
+    """For each row the sum over words whose n-grams are all frequent, the number of words, and the others: their sum so far and the n-grams to be joined."""
+    kind = pa.list_(pa.struct([("part", pa.int64()), ("grams", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+        look = Lookup(*shared.value)
         for batch in batches:
             sums, sizes, rest = [], [], []
             for text in batch.column(2):
-                words = words_of(text.as_py())
-                scores = list(map(hot.get, words))
-                rare = [w for w, s in zip(words, scores, strict=True) if s is None]
-                sums.append(sum(s for s in scores if s is not None) if rare else sum(scores))
-                sizes.append(len(words))
-                rest.append(rare)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.string()))], ["row", "doc_id", "part", "n_words", "rest"])
+                total, n, open_ = 0, 0, []
+                for g in grams_of(text.as_py()):
+                    values, missed = look.find(g)
+                    totals = word_totals(g, values)
+                    n += len(totals)
+                    if len(missed):
+                        ends = np.flatnonzero(g & ((1 << BITS) - 1) == 0)
+                        word = np.searchsorted(ends, missed)
+                        first = np.flatnonzero(np.diff(word, prepend=-1))
+                        open_ += [{"part": int(totals[word[a]]), "grams": own} for a, own in zip(first, np.split(g[missed], first[1:]), strict=True)]
+                        totals = np.delete(totals, word[first])
+                    total += int(_mixed(totals).sum())
+                sums.append(total)
+                sizes.append(n)
+                rest.append(open_)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rest, kind)], ["row", "doc_id", "part", "n_words", "rest"])
 
     return run
 
 
-def feature_rows(docs: DataFrame, scores: DataFrame, scratch: Scratch) -> DataFrame:
+def feature_rows(docs: DataFrame, fitted: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, feature) for each row of docs."""
-    hot, floor = hottest(scores, "word", "score")
-    parts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-        _document_parts(docs.sparkSession.sparkContext.broadcast(hot)), "row bigint, doc_id bigint, part bigint, n_words bigint, rest array<string>"
-    )
-    parts = scratch.write(parts, "parts")
-    rare = scores.where((F.col("n") <= floor) & (F.col("score") > 0)).select("word", "score")
-    more = parts.select("row", F.explode("rest").alias("word")).join(rare, "word").groupBy("row").agg(F.sum("score").alias("more"))
+    least = least_hot(fitted)
+    hot = fitted.where(F.col("n") >= least).select("gram", "ratio").toPandas().sort_values("gram")
+    hot = docs.sparkSession.sparkContext.broadcast((hot["gram"].to_numpy(np.int64), hot["ratio"].to_numpy(np.int64)))
+    schema = "row bigint, doc_id bigint, part bigint, n_words bigint, rest array<struct<part:bigint,grams:array<bigint>>>"
+    parts = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_document_parts(hot), schema), "parts")
+    rare = fitted.where(F.col("n") < least).select("gram", "ratio")
+    words = parts.select("row", F.posexplode("rest").alias("word", "w")).select("row", "word", F.col("w.part").alias("part"), F.explode("w.grams").alias("gram"))
+    words = words.join(rare, "gram").groupBy("row", "word").agg((F.max("part") + F.sum("ratio")).alias("total"))
+    mixed = F.round(F.log1p(SHARE * F.expm1(F.least(F.col("total") / SCALE, F.lit(500.0)))) * SCALE).cast("bigint")
+    more = words.groupBy("row").agg(F.sum(mixed).alias("more"))
     total = F.col("part") + F.coalesce("more", F.lit(0))
     return parts.drop("rest").join(more, "row", "left").select("doc_id", F.when(F.col("n_words") > 0, total / F.lit(float(SCALE)) / F.col("n_words")).otherwise(0.0).alias("feature"))
 
@@ -233,33 +323,34 @@ def fit_curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(beta[0] / std), float(beta[1] - beta[0] * mean / std)
 
 
+def gram_counts(docs: DataFrame, labelled: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(gram, n, n_toxic, n_other) over docs (doc_id, text); labelled: sorted ids and whether they are toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(labelled)
+    rows = docs.select("doc_id", "text").mapInArrow(_gram_counts(shared), "gram bigint, n bigint, n_toxic bigint, n_other bigint")
+    return rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = 400_000) -> DataFrame:
     """doc_id, held_out, score, predicted and feature for each row of docs."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
+    scratch = Scratch(docs.sparkSession, "toxicity")
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     known = labels.where("doc_id is not null and toxic is not null").selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic")
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
     n = known.count()
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_labelled / n * (1 << 30)))
-    rows = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
-    ids = spark.sparkContext.broadcast((rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(np.int64) > 0))
-    words = docs.mapInArrow(_word_counts(ids), "word string, n bigint, n_toxic bigint, n_other bigint")
-    words = scratch.write(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "n_other"))), "words")
-    grams = words.mapInArrow(_gram_counts, "gram string, n bigint, n_toxic bigint, n_other bigint")
-    grams = scratch.write(grams.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "n_other"))), "grams")
-    spark._jvm.System.gc()
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = known.toPandas().sort_values("doc_id")
+    labelled = rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(np.int64) > 0
+    grams = scratch.write(gram_counts(docs, labelled), "grams")
     fitted = scratch.write(ratios(grams), "ratios")
-    scores = scratch.write(word_scores(words, fitted, grams), "scores")
-    scratch.drop("grams", "ratios", "words")
-    spark._jvm.System.gc()  # with the plans go the shuffle files of the tables written so far
-    features = scratch.write(feature_rows(docs, scores, scratch), "features")
-    fits = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    curve = features.join(fits, "doc_id").groupBy(F.round("feature", 3).alias("x")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    features = scratch.write(feature_rows(docs, fitted, scratch), "features")
+    fits = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 1)
+    x = F.round(F.asinh(F.col("feature") / SHARE), 3)  # near linear below SHARE, where ordinary texts lie, and even beyond
+    curve = features.join(fits, "doc_id").groupBy(x.alias("x")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     slope, intercept = fit_curve([(r.x, r.t, r.o) for r in curve.orderBy("x").collect()])
-    scratch.drop("scores", "parts")
-    score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("feature") + F.lit(intercept))))
+    scratch.drop("grams", "ratios", "parts")
+    score = 1 / (1 + F.exp(-(F.lit(slope) * x + F.lit(intercept))))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     out = features.select("doc_id", held.alias("held_out"), score.alias("score"), "feature")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "feature")
