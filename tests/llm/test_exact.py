@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from thalweg.llm import chat, decontam, line_dedup, near_dup, quality, queries, secrets, token_counts, token_files, toxicity
+from thalweg.llm.common import Scratch
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
@@ -251,7 +252,7 @@ def test_toxic_likelihoods(spark):
     df = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
     counts = toxicity.gram_counts(df, (np.array([d for d, _ in known]), np.array([bool(c) for _, c in known])))
     name = lambda g: "".join(chr(x) if (x := (g >> 10 * k) & 0x3FF) else " " for k in (5, 4, 3, 2, 1, 0))
-    got = {name(r.gram): (r.p_toxic, r.p_other) for r in toxicity.likelihoods(counts).collect()}
+    got = {name(r.gram): (r.p_toxic, r.p_other) for r in toxicity.likelihoods(counts, Scratch(spark, "likelihoods")).collect()}
     sets = [([g for w in set(re.findall(r"[^\W_]+", (t or "").lower())) for g in plain_grams(w)], c) for _, t, c in rows]
     every = set().union(*(s for s, _ in sets))
     assert set(got) == every

@@ -41,7 +41,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -51,7 +51,7 @@ ORDER, BITS, DISCOUNT = 6, 10, 0.75
 #: The share of words in a toxic text that come from the toxic model.
 SHARE = 0.02
 #: So many n-grams are broadcast; the others are joined.
-HOT = 1 << 19
+HOT = 1 << 18
 #: Log-likelihood ratios are counted in parts of one.
 SCALE = 1 << 24
 #: Labelled rows with crc32(doc_id) % FOLDS == 0 are held out, == 1 fit the curve, the others give class counts.
@@ -178,27 +178,28 @@ def _context():
     return F.shiftright("gram", BITS)
 
 
-def shared_backoff(grams: DataFrame) -> DataFrame:
-    """(gram, q) of the last ORDER - 1 characters of each n-gram: the shared Kneser-Ney probability of its last character."""
-    counts = {}
-    above = grams.select("gram")
+def shared_backoff(grams: DataFrame, scratch: Scratch) -> DataFrame:
+    """(suffix, q) of the last ORDER - 1 characters of each n-gram: the shared Kneser-Ney probability of the last of them."""
+    above, counts = grams.select("gram"), {}
     for width in range(ORDER - 1, 0, -1):
-        above = counts[width] = above.groupBy(_suffix(width).alias("gram")).agg(F.count("*").alias("n"))
-    below = counts[1].crossJoin(counts[1].agg(F.sum("n").alias("of"))).select("gram", (F.col("n") / F.col("of")).alias("q"))  # what is taken off goes evenly to all characters: each gets back its own discount
+        above = counts[width] = scratch.write(above.groupBy(_suffix(width).alias("gram")).agg(F.count("*").alias("n")), f"counts-{width}")
+    of = counts[1].agg(F.sum("n")).first()[0] or 1
+    below = counts[1].select(F.col("gram").alias("suffix"), (F.col("n") / of).alias("q"))  # what is taken off goes evenly to all characters: each gets back its own discount
     for width in range(2, ORDER):
         rows = counts[width].withColumns({"context": _context(), "suffix": _suffix(width - 1)})
-        contexts = rows.groupBy("context").agg(F.sum("n").alias("of"), F.count("*").alias("types"))
-        rows = rows.join(contexts, "context").join(below.select(F.col("gram").alias("suffix"), F.col("q").alias("low")), "suffix")
-        starts = F.shiftright("gram", BITS * (width - 1)) == 0
-        below = rows.select("gram", F.when(starts, F.col("low")).otherwise((F.col("n") - DISCOUNT + DISCOUNT * F.col("types") * F.col("low")) / F.col("of")).alias("q"))
+        alike = Window.partitionBy("context")
+        rows = rows.select("gram", "suffix", "n", F.sum("n").over(alike).alias("of"), F.count("*").over(alike).alias("types")).join(below, "suffix")
+        own = (F.col("n") - DISCOUNT + DISCOUNT * F.col("types") * F.col("q")) / F.col("of")
+        below = rows.select(F.col("gram").alias("suffix"), F.when(F.shiftright("gram", BITS * (width - 1)) == 0, F.col("q")).otherwise(own).alias("q"))
     return below
 
 
-def likelihoods(grams: DataFrame) -> DataFrame:
+def likelihoods(grams: DataFrame, scratch: Scratch) -> DataFrame:
     """(gram, n, p_toxic, p_other): the probability that each class gives the last character of each n-gram."""
+    alike = Window.partitionBy("context")  # as many rows as there are characters, at most
     rows = grams.withColumns({"context": _context(), "suffix": _suffix(ORDER - 1)})
-    sums = rows.groupBy("context").agg(*(x for c in COUNTS[1:] for x in (F.sum(c).alias(f"of_{c}"), F.sum((F.col(c) > 0).cast("int")).alias(f"types_{c}"))))
-    rows = rows.join(sums, "context").join(shared_backoff(grams).select(F.col("gram").alias("suffix"), "q"), "suffix")
+    sums = {f"{kind}_{c}": x.over(alike) for c in COUNTS[1:] for kind, x in (("of", F.sum(c)), ("types", F.sum((F.col(c) > 0).cast("int"))))}
+    rows = rows.select("*", *(x.alias(k) for k, x in sums.items())).join(shared_backoff(grams, scratch), "suffix")
 
     def p(c: str):
         own = (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"types_{c}") * F.col("q")) / F.col(f"of_{c}")
@@ -207,9 +208,9 @@ def likelihoods(grams: DataFrame) -> DataFrame:
     return rows.select("gram", "n", p("n_toxic").alias("p_toxic"), p("n_other").alias("p_other"))
 
 
-def ratios(grams: DataFrame) -> DataFrame:
+def ratios(grams: DataFrame, scratch: Scratch) -> DataFrame:
     """(gram, n, ratio): log toxic less log ordinary probability, in parts of SCALE."""
-    return likelihoods(grams).select("gram", "n", F.round(F.log(F.col("p_toxic") / F.col("p_other")) * SCALE).cast("bigint").alias("ratio"))
+    return likelihoods(grams, scratch).select("gram", "n", F.round(F.log(F.col("p_toxic") / F.col("p_other")) * SCALE).cast("bigint").alias("ratio"))
 
 
 def least_hot(fitted: DataFrame) -> int:
@@ -288,10 +289,11 @@ def _document_parts(shared):
 def feature_rows(docs: DataFrame, fitted: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, feature) for each row of docs."""
     least = least_hot(fitted)
-    hot = fitted.where(F.col("n") >= least).select("gram", "ratio").toPandas().sort_values("gram")
-    hot = docs.sparkSession.sparkContext.broadcast((hot["gram"].to_numpy(np.int64), hot["ratio"].to_numpy(np.int64)))
+    hot = fitted.where(F.col("n") >= least).select("gram", "ratio").toArrow().sort_by("gram")
+    hot = docs.sparkSession.sparkContext.broadcast((hot["gram"].to_numpy(), hot["ratio"].to_numpy()))
     schema = "row bigint, doc_id bigint, part bigint, n_words bigint, rest array<struct<part:bigint,grams:array<bigint>>>"
     parts = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_document_parts(hot), schema), "parts")
+    hot.unpersist()
     rare = fitted.where(F.col("n") < least).select("gram", "ratio")
     words = parts.select("row", F.posexplode("rest").alias("word", "w")).select("row", "word", F.col("w.part").alias("part"), F.explode("w.grams").alias("gram"))
     words = words.join(rare, "gram").groupBy("row", "word").agg((F.max("part") + F.sum("ratio")).alias("total"))
@@ -340,16 +342,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = 400_
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_labelled / n * (1 << 30)))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = known.toPandas().sort_values("doc_id")
-    labelled = rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(np.int64) > 0
+    rows = known.toArrow().sort_by("doc_id")
+    labelled = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy() > 0
     grams = scratch.write(gram_counts(docs, labelled), "grams")
-    fitted = scratch.write(ratios(grams), "ratios")
+    fitted = scratch.write(ratios(grams, scratch), "ratios")
     features = scratch.write(feature_rows(docs, fitted, scratch), "features")
     fits = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 1)
     x = F.round(F.asinh(F.col("feature") / SHARE), 3)  # near linear below SHARE, where ordinary texts lie, and even beyond
     curve = features.join(fits, "doc_id").groupBy(x.alias("x")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     slope, intercept = fit_curve([(r.x, r.t, r.o) for r in curve.orderBy("x").collect()])
-    scratch.drop("grams", "ratios", "parts")
+    scratch.drop("grams", "ratios", "parts", *(f"counts-{width}" for width in range(1, ORDER)))
     score = 1 / (1 + F.exp(-(F.lit(slope) * x + F.lit(intercept))))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     out = features.select("doc_id", held.alias("held_out"), score.alias("score"), "feature")
