@@ -83,3 +83,44 @@ def test_short_texts_at_the_threshold_share_a_band():
             larger = np.sort(rng.integers(0, 1 << 64, size + 1, dtype=np.uint64))
             smaller = np.delete(larger, rng.integers(size + 1))
             assert (near_dup.band_keys(larger, bands) == near_dup.band_keys(smaller, bands)).any()
+
+
+def test_pairs_at_the_threshold_are_linked_at_every_size(spark):
+    """2,000 pairs of sets of each size, near to 85 % alike, none of them lost."""
+    rng = random.Random(6)
+    docs, want, word = [], {}, 0
+    for size in (6, 12, 20, 80, 300):
+        for k in range(2000 if size < 80 else 400):
+            words = [f"w{word + i}" for i in range(size + 4)]
+            word += size + 4
+            other = list(words)
+            if size >= 80:  # each word in the middle that is replaced changes five shingles, each at the end one
+                free = int((size * 0.15 / 1.85) // 5)
+                for i in rng.sample(range(10, size - 10, 5), free):
+                    other[i] = f"x{i}-{word}"
+            else:
+                other += [f"y{word}-{i}" for i in range(int(size * 0.15 / 0.85))]
+            a, b = len(docs), len(docs) + 1
+            docs += [(a, " ".join(words)), (b, " ".join(other))]
+            same = len(s := {tuple(words[i : i + 5]) for i in range(len(words) - 4)} & {tuple(other[i : i + 5]) for i in range(len(other) - 4)})
+            assert s and 100 * same >= 85 * (len(words) + len(other) - 8 - same)
+            want[a] = want[b] = a
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_dense_repeats_in_one_bucket(spark):
+    """A large family of edits of one text: a hot bucket with many components, links only between few of them."""
+    from test_exact import brute_components, shingles
+
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(160)]
+    docs = []
+    for d in range(400):
+        words = list(base)
+        for i in rng.sample(range(160), rng.choice((0, 1, 2, 2, 3, 4, 6, 8))):
+            words[i] = f"e{d}-{i}"
+        docs.append((d, " ".join(words)))
+    want = brute_components({d: shingles(t) for d, t in docs}, 85)
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want

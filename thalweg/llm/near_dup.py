@@ -5,14 +5,17 @@ permutation's bins at once: the high bits name the bin, its smallest hash is the
 value of the first filled bin in a fixed random sequence of bins (optimal densification). Bands of bins
 form bucket keys. Documents with equal sets are one class; only class representatives are banded.
 
-In a bucket, sorted by id, the first document is the hub of a star: edges go from hubs to the others, so a
-bucket of n documents gives n - 1 candidates. Candidates are confirmed on the full sets, and confirmed links
-are joined into components. Buckets that still hold several components may hide links that no star met.
-Their documents are compared once more, exactly: of each set the shingles that are rarest among them (by a
-counting sketch; any order will do) are kept, as many as make sure that two sets at the threshold have one
-of them in common. Stars in the groups of those shingles, first of one hub, then of 8, 64, ... more, meet
-only other components, until no group has an untested pair. The bands are as many as leave a pair at the
-threshold a chance below 1e-8 to share no bucket, taking bins as independent.
+The smallest id of a bucket is the hub of a star: edges go from hubs to the others, so a bucket of n documents
+gives n - 1 candidates. Candidates are confirmed on the full sets, and confirmed links are joined into
+components. Buckets that still hold several components may hide links that no star met. Their documents, and
+all sets of fewer than SHORT shingles (for which few different values fill the bins, so that bands miss more
+often), are compared once more, exactly: of each set the shingles that are rarest among them (by a counting
+sketch; any order will do) are kept, as many as make sure that two sets at the threshold have one of them in
+common. Two documents of different components that share such a shingle are a pair if the places of the
+shingle in both leave room for the overlap that the threshold asks for; few pairs are left.
+
+The bands are as many as leave a pair at the threshold a chance below MISS to share no bucket, taking bins as
+independent.
 
 Defined results: documents without words have an empty set and are linked with nothing; a null doc_id is
 linked with nothing, has a null component and is kept; rows that repeat a doc_id are one document, linked
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 SHINGLE, ROWS = 5, 6
-MISS = 1e-8
+MISS = 1e-10
+#: Sets that can be linked with a set of fewer shingles than this are compared exactly, whatever their bands.
+SHORT = 64
 
 
 def bands_for(percent: int) -> int:
@@ -180,7 +185,8 @@ def components(spark, edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame
         label = after.select("id", "component")
         scratch.drop(f"{tag}-{k - 1}")
         if not changed:
-            scratch.drop(f"{tag}-both")
+            label = scratch.write(label, tag)
+            scratch.drop(f"{tag}-both", f"{tag}-{k}")
             return label
 
 
@@ -214,43 +220,53 @@ def _prefixes(shared, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            tokens, ids, sizes = [], [], []
+            tokens, places, ids, sizes = [], [], [], []
             for doc, packed in zip(batch.column("id").to_pylist(), batch.column("packed"), strict=True):
                 s = np.frombuffer(packed.as_py(), np.uint64)
                 n = len(s)
                 often = counts[_slots(s)]
                 rare = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
-                rare = rare[often[rare] > 1]  # a shingle alone in its slot has no partner
-                tokens.append(s[rare].view(np.int64))
-                ids += [doc] * len(rare)
-                sizes += [n] * len(rare)
+                place = np.flatnonzero(often[rare] > 1)  # a shingle alone in its slot has no partner
+                tokens.append(s[rare[place]].view(np.int64))
+                places.append(place)
+                ids += [doc] * len(place)
+                sizes += [n] * len(place)
             flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["band", "id", "n_shingles"])
+            at = np.concatenate(places) if places else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["token", "place", "id", "n"])
 
     return run
 
 
-def prefix_groups(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """(band, id, n_shingles): groups by shingle such that any two sets of ids at the threshold meet in one."""
-    own = sets.join(ids, "id", "left_semi")
+def prefix_groups(own: DataFrame, percent: int) -> DataFrame:
+    """(token, place, id, n): groups by shingle such that any two of the sets own (id, packed) at the threshold meet in one; place is the shingle's rank by rarity in its set."""
     parts = own.mapInArrow(_counted, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary")
     counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
     for r in parts.collect():  # the sketch, of fixed size
         counts[r.part] = np.frombuffer(r.counts, np.uint8)
-    return own.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(counts.tobytes()), percent), "band bigint, id bigint, n_shingles bigint")
+    return own.mapInArrow(_prefixes(own.sparkSession.sparkContext.broadcast(counts.tobytes()), percent), "token bigint, place bigint, id bigint, n bigint")
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """rows (band, id, n_shingles) of bands with two or more, with their rank in the band."""
-    run = Window.partitionBy("band").orderBy("id")
-    placed = rows.select("band", "id", "n_shingles", F.lag("id").over(run).alias("before"), F.lead("id").over(run).alias("after"), F.row_number().over(run).alias("rank"))
-    return placed.where("before is not null or after is not null").select("band", "id", "n_shingles", "rank")
+def prefix_pairs(groups: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix shingle and can reach the threshold.
+
+    Of two sets whose first common shingle has places p and q, at most min(n - p, m - q) shingles are common.
+    Documents of the component that the group's most central document has meet only those outside of it.
+    """
+    placed = scratch.write(groups.join(label, "id", "left").select("token", "place", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
+    heads = placed.groupBy("token").agg(F.min(F.struct((F.col("place") / F.col("n")).alias("share"), "component")).alias("head"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"))
+    room = F.expr(f"(100 + {percent}) * (n - place) >= {percent} * (n + greatest(least, {percent} * n / 100))")
+    mixed = placed.join(heads.where("x <> y"), "token").where(room).select("token", "place", "id", "n", "component", (F.col("component") != F.col("head.component")).alias("outer"))
+    mixed = scratch.write(mixed, "mixed")
+    left = mixed.where("outer").selectExpr("token", "place p", "id a", "n a_n", "component a_c")
+    right = mixed.selectExpr("token", "place q", "id b", "n b_n", "component b_c")
+    fits = F.expr(f"a_c <> b_c and (100 + {percent}) * least(a_n - p, b_n - q) >= {percent} * (a_n + b_n)")
+    return left.join(right, (left["token"] == right["token"]) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _mixed_bands(shared: DataFrame, label: DataFrame, low: int) -> DataFrame:
-    """Bands that hold several components and a document after rank low."""
-    mine = F.coalesce("component", "id")
-    return shared.join(label, "id", "left").groupBy("band").agg(F.min(mine).alias("x"), F.max(mine).alias("y"), F.max("rank").alias("last")).where(f"x <> y and last > {low}").select("band")
+def confirmed_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    left, right = sets.selectExpr("id a", "packed left"), sets.selectExpr("id b", "packed right")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_confirmed(percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -259,49 +275,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     scratch = Scratch(spark, "neardup")
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     bands = bands_for(percent)
-    signed = docs.mapInArrow(_signed(bands), "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>")
-    signed = scratch.write(signed, "signed")
+    signed = scratch.write(docs.mapInArrow(_signed(bands), "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>"), "signed")
     named = signed.where("doc_id is not null and n_shingles > 0")
     classes = scratch.write(named.groupBy("set_id").agg(F.min("doc_id").alias("id")), "classes")
     # One signature for each class: that of its representative.
-    reps = named.join(classes, [named.set_id == classes.set_id, named.doc_id == classes.id], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands")
-    banded = reps.select("id", "n_shingles", F.explode("bands").alias("band"))
-    shared = scratch.write(_ranked(banded), "shared")
-    # Sets of the documents that share a bucket, read again from their texts.
-    ids = shared.select("id").distinct()
-    sets = scratch.write(docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(_packed, "id bigint, packed binary"), "sets")
-    fits = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-    low, high, links, tested, label, tags = 1, 1, None, None, None, []
-    for turn in count():
-        # Hubs are ranks low to high of a bucket; they meet the documents after them in other components.
-        if label is None:
-            star = Window.partitionBy("band").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            met = shared.select(F.first("id").over(star).alias("a"), F.first("n_shingles").over(star).alias("a_n"), F.col("id").alias("b"), F.col("n_shingles").alias("b_n"))
-        else:
-            now = shared.join(_mixed_bands(shared, label, low), "band").join(label, "id", "left").select("band", "id", "n_shingles", "rank", F.coalesce("component", "id").alias("component"))
-            hubs = now.where(F.col("rank").between(low, high)).selectExpr("band", "id a", "n_shingles a_n", "rank hub", "component a_c")
-            met = hubs.join(now.selectExpr("band", "id b", "n_shingles b_n", "rank", "component b_c"), "band").where("rank > hub and a_c <> b_c")
-        pairs = met.where(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        tag = f"pairs-{turn}"
-        pairs = scratch.write(pairs, tag)
-        tags.append(tag)
-        left = sets.selectExpr("id a", "packed left")
-        right = sets.selectExpr("id b", "packed right")
-        good = scratch.write(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_confirmed(percent), "a bigint, b bigint"), f"links-{turn}")
-        links = good if links is None else links.union(good)
-        tested = pairs if tested is None else tested.union(pairs)
-        label = components(spark, links, scratch, f"label-{turn}")
-        if turn:
-            low, high = high + 1, high + 8 * (high - low + 1)
-        else:
-            rest = scratch.write(shared.join(_mixed_bands(shared, label, 1), "band").select("id").distinct(), "rest")
-            if not rest.limit(1).count():
-                break
-            shared = scratch.write(_ranked(prefix_groups(sets, rest, percent)), "prefixes")
-        if not _mixed_bands(shared, label, low).limit(1).count():
-            break
+    reps = named.join(classes, [named.set_id == classes.set_id, named.doc_id == classes.id], "left_semi")
+    banded = scratch.write(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")), "banded")
+    hubs = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("rows")).where("rows > 1").select("band", "hub")
+    shared = scratch.write(banded.join(hubs, "band").selectExpr("band", "id", "n", "hub.id hub", "hub.n hub_n"), "shared")
+    scratch.drop("banded")
+    # Sets of the documents that share a bucket or are short, read again from their texts.
+    short = signed.where(f"doc_id is not null and n_shingles > 0 and {percent} * n_shingles < 100 * {SHORT}").select(F.col("doc_id").alias("id")).join(classes, "id", "left_semi")
+    short = scratch.write(short.distinct(), "short")
+    ids = shared.select("id").union(short).distinct()
+    sets = scratch.write(docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(_packed, "id bigint, packed binary").where("packed <> x''"), "sets")
+    star = shared.where(f"id <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").selectExpr("hub a", "id b").distinct()
+    links = scratch.write(confirmed_links(scratch.write(star, "star"), sets, percent), "links-0")
+    label = components(spark, links, scratch, "label-0")
+    mine = shared.select("band", "id").join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    several = mine.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    rest = scratch.write(shared.join(several, "band", "left_semi").select("id").union(short).distinct(), "rest")
+    groups = prefix_groups(sets.join(rest, "id", "left_semi"), percent)
+    more = scratch.write(confirmed_links(scratch.write(prefix_pairs(groups, label, percent, scratch), "pairs"), sets, percent), "links-1")
+    if more.limit(1).count():
+        label = components(spark, links.union(more), scratch, "label-1")
     of_class = classes.join(label, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
     out = signed.join(of_class, "set_id", "left")
     # A repeated doc_id is one node: its rows take the smallest component of any.
@@ -312,7 +309,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         component = F.when(F.col("doc_id").isNotNull(), F.min(component).over(same))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     out = scratch.write(out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
-    scratch.drop("signed", "classes", "shared", "prefixes", "rest", "sets", *tags)
+    scratch.drop("signed", "classes", "shared", "short", "sets", "star", "links-0", "links-1", "rest", "placed", "mixed", "pairs", "label-0", "label-1")
     return out
 
 
