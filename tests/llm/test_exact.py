@@ -128,17 +128,36 @@ def test_templates(spark):
     assert got[(10, 1)].changed_slots == 4
 
 
-def test_token_files(spark, texts):
-    tokenizer = token_files._tokenizer(queries._tokenizer("byte_bpe_50k.json"))
+@pytest.fixture(scope="module")
+def untouched():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries._tokenizer("byte_bpe_50k.json"))
+
+
+def test_token_files(spark, texts, untouched):
     start = 0
     got = sorted(map(tuple, queries.op6_token_files(spark, SF).collect()))
     assert len(got) == len(texts)
     for (doc_id, at, n, crc), d in zip(got, sorted(texts), strict=True):
-        ids = np.array([*tokenizer.encode(texts[d], add_special_tokens=False).ids, 2], "<u4")
+        ids = np.array([*untouched.encode(texts[d], add_special_tokens=False).ids, 2], "<u4")
         assert (doc_id, at, n, crc) == (d, start, len(ids), crc32(ids.tobytes()))
         start += n
 
 
+def test_units_are_tokenised_alike(untouched):
+    known = token_files._Units(untouched, "<u2")
+    assert known.mark is not None
+    rng = np.random.default_rng(8)
+    parts = [" ", " ", " ", "  ", "\n", "\t", " \n ", "\n \n", "\u00a0", "\u2003", "\x1c", "it's", "I'LL", "a", "Bc", "12", "²", "é", "日本", "...", "<|endoftext|>", "<|endo", "_", "#x", "x" * 70, "\U0001f600", "\u0301"]
+    texts_ = ["".join(parts[k] for k in rng.integers(0, len(parts), n)) for n in range(40) for _ in range(100)]
+    texts_ += ["foo <|endoftext|> bar", "", " ", "  ", " a", "a ", "\n", "def f(x):\n    return  x\n\n\n  # y \n"]
+    for _ in range(2):  # unknown units, then known ones
+        for i in range(0, len(texts_), 64):
+            assert known.tokens(texts_[i : i + 64]) == [np.array(untouched.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts_[i : i + 64]]
+    assert np.frombuffer(known.tokens(["foo <|endoftext|> bar"])[0], "<u2").tolist() == untouched.encode("foo <|endoftext|> bar", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
 def test_code_round_trip(n):
     values = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint32) >> np.random.default_rng(n + 1).integers(0, 32, n, dtype=np.uint32)

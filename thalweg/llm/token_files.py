@@ -1,6 +1,7 @@
 """Token ids in a byte-aligned variable-length code with separate control bytes.
 
-Texts are tokenised once into a scratch table. Ids are ranked by frequency over the whole corpus, so that
+Texts are tokenised once into a scratch table, as the tokenizer does by default: the strings of its added
+tokens stand for those tokens. Ids are ranked by frequency over the whole corpus, so that
 common ones take one byte. Documents go out in ascending doc_id, range-partitioned, as blocks: two bits of
 control for each id (its length less one, four ids a byte) apart from the data bytes. Decoding looks up all
 lengths of a control byte in one table, sums them, and gathers the values with numpy.
@@ -18,12 +19,12 @@ their names; an empty table gives a dataset without blocks and an empty result.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,9 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 _TOKENIZERS: dict = {}
-_KNOWN: dict = {}  # pieces by tokenizer, kept by a worker from task to task
+_KNOWN: dict = {}  # units by tokenizer, kept by a worker from task to task
+#: Units that a worker keeps, and the longest of them.
+KEPT, KEPT_CHARS = 1_500_000, 64
 
 
 def _tokenizer(path: str):
@@ -69,52 +72,100 @@ def _tokenizer(path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
     return _TOKENIZERS[path]
 
 
-#: How byte-level tokenizers cut a text into pieces before they merge bytes; no token crosses a cut. A fixed value.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Marks a text's first unit, before which no space stands. No text can hold it.
+FIRST = "\ud800"
+TANGLED = re.compile(r"\s \s")
+CUT = re.compile(r"(?<=\S) |(?<=\s) (?=\S)")
 
 
-class _Pieces(dict):
-    """Packed ids of pieces; a task keeps those of the pieces it has met, up to a bound."""
+def units(text: str) -> list[str]:
+    """The text cut before its spaces, which are left away.
+
+    A byte-level tokenizer's piece holds a space only at its start or in a run of white space, so no token
+    crosses a space that stands beside a character which is none. Other spaces are not cut at.
+    """
+    return (CUT.split if TANGLED.search(text) else lambda t: t.split(" "))(FIRST + text)
+
+
+class _Units(dict):
+    """Packed ids of units; a worker keeps those of the units it has met, up to a bound."""
 
     def __init__(self, tokenizer, wide: str):
         super().__init__()
         self.tokenizer, self.wide = tokenizer, wide
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self) > 400_000:
-            self.clear()
-        new = [p for p in pieces if p not in self]
-        run = getattr(self.tokenizer, "encode_batch_fast", None) or self.tokenizer.encode_batch
-        for p, e in zip(new, run(new, add_special_tokens=False), strict=True):
-            self[p] = np.array(e.ids, self.wide).tobytes()
+        self.encode = getattr(tokenizer, "encode_batch_fast", None) or tokenizer.encode_batch
+        added = [t["content"] for t in json.loads(tokenizer.to_str()).get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self.cuts = _cuts_bytes(tokenizer)
+        self.mark = next((t for t in added if self.cuts and not self.encode([t + " a" + t], add_special_tokens=False)[0].ids.count(tokenizer.token_to_id(t)) - 2), None)
+
+        self.marks = dict(zip(".,;:!?", self.whole(list(".,;:!?")), strict=True)) if self.cuts else {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.wide).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+    def several(self, texts: list[str]) -> list[bytes]:
+        """As whole, for short texts: those between two marks are tokenised on their own."""
+        if self.mark is None:
+            return self.whole(texts)
+        mark, out = self.tokenizer.token_to_id(self.mark), []
+        blocks = [texts[i : i + 500] for i in range(0, len(texts), 500)]
+        for block, e in zip(blocks, self.encode([self.mark.join(b) for b in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.wide)
+            ends = np.append(np.flatnonzero(ids == mark), len(ids))
+            out += [ids[a + 1 : b].tobytes() for a, b in zip([-1, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return out
+
+    def tokens(self, texts: list[str]) -> list[bytes]:
+        plain = [self.cuts and not self.added(t) for t in texts]
+        others = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        cut = [units(t) if p else [] for t, p in zip(texts, plain, strict=True)]
+        found = [list(map(self.get, c)) for c in cut]
+        gaps = [[i for i, v in enumerate(f) if v is None] if None in f else () for f in found]
+        new = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
+        if new:
+            if len(self) > KEPT:
+                self.clear()
+            own = self.learn(new)
+            for c, f, g in zip(cut, found, gaps, strict=True):
+                for i in g:
+                    f[i] = own[c[i]]
+        return [b"".join(f) if p else next(others) for f, p in zip(found, plain, strict=True)]
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of new units; a mark after a letter is a piece of its own, so what stands before it may be known."""
+        own = {u: before + self.marks[u[-1]] for u in new if u[-1:] in self.marks and u[-2:-1].isalpha() and (before := self.get(u[:-1])) is not None}
+        rest = [u for u in new if u not in own]
+        own |= zip(rest, self.several([u[1:] if u[0:1] == FIRST else f" {u}" for u in rest]), strict=True)
+        self.update((u, v) for u, v in own.items() if len(u) <= KEPT_CHARS)
+        return own
 
 
 def _cuts_bytes(tokenizer) -> bool:
-    """Whether the tokenizer cuts texts by PIECES and changes nothing else before it merges."""
+    """Whether the tokenizer cuts texts as byte-level ones do, and changes nothing else before it merges."""
     state = json.loads(tokenizer.to_str())
     before = state.get("pre_tokenizer") or {}
     return not state.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
 
 
 def _tokenised(path: str, wide: str):
-    """Each distinct piece goes through the tokenizer once for a worker; texts are put together from their pieces."""
+    """Units go through the tokenizer once for a worker; texts are put together from their units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         end = np.array([END], wide).tobytes()
-        known, cut = _KNOWN.setdefault((path, wide), _Pieces(tokenizer, wide)), regex.compile(PIECES).findall if _cuts_bytes(tokenizer) else (lambda t: [t])
+        if (path, wide) not in _KNOWN:
+            _KNOWN[(path, wide)] = _Units(tokenizer, wide)
+        known = _KNOWN[(path, wide)]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at in range(0, len(texts), 64):
-                parts = [cut(t) for t in texts[at : at + 64]]
-                known.learn(set().union(*parts))
-                ids = [b"".join([*map(known.__getitem__, p), end]) for p in parts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(parts)), pa.array(ids, pa.binary()), pa.array([crc32(i) for i in ids], pa.int64())], ["doc_id", "ids", "tie"])
+                ids = [x + end for x in known.tokens(texts[at : at + 64])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.array(ids, pa.binary()), pa.array([crc32(i) for i in ids], pa.int64())], ["doc_id", "ids", "tie"])
 
     return run
 
@@ -174,11 +225,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, scratch: Scrat
     tokens, wide = tokenise(docs, tokenizer)
     tokens = scratch.write(tokens, "tokens")
     ranks = tokens.select("ids").mapInArrow(_frequencies(wide), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    order = ranks.toPandas().sort_values(["n", "id"], ascending=[False, True]).reset_index(drop=True)
-    rank = np.zeros(int(order["id"].max()) + 1 if len(order) else 1, np.uint32)
-    rank[order["id"].to_numpy(np.int64)] = np.arange(len(order))
-    order["rank"] = np.arange(len(order))
-    spark.createDataFrame(order[["rank", "id", "n"]].astype("int64"), "rank bigint, id bigint, n bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
+    order = ranks.toArrow().sort_by([("n", "descending"), ("id", "ascending")])
+    of = order["id"].to_numpy()
+    rank = np.zeros(int(of.max()) + 1 if len(of) else 1, np.uint32)
+    rank[of] = np.arange(len(of))
+    table = pa.table({"rank": pa.array(np.arange(len(of)), pa.int64()), "id": order["id"], "n": order["n"]})
+    spark.createDataFrame(table, "rank bigint, id bigint, n bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_ = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     blocks = sorted_.mapInArrow(_blocks(spark.sparkContext.broadcast(rank), wide, block_tokens), SCHEMA)
@@ -209,9 +261,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     Starts come from sums over shards (one row per written shard) and over a shard's blocks.
     """
-    ranks = spark.read.parquet(f"{path}/ranks").toPandas()
+    ranks = spark.read.schema("rank bigint, id bigint, n bigint").parquet(f"{path}/ranks").toArrow()
     back = np.zeros(max(1, len(ranks)), "<u4")
-    back[ranks["rank"].to_numpy(np.int64)] = ranks["id"].to_numpy(np.int64)
+    back[ranks["rank"].to_numpy()] = ranks["id"].to_numpy()
     blocks = spark.read.schema(f"{SCHEMA}, shard int").parquet(f"{path}/blocks")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("all")).select("shard", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("shard_base"))
