@@ -2,8 +2,13 @@
 
 Three patterns give the base spans. Beside them, runs of token characters are candidates: for each
 character class a window slides over the run, and its Shannon entropy follows from counts that change by
-one character in and one out. Windows above the class's threshold merge into spans of kind `entropy`,
-unless the allow list suppresses the candidate. Base spans always stay.
+one character in and one out. Windows above the class's threshold merge into spans of kind `entropy`. The
+allow list suppresses a candidate that has a harmless shape as a whole (a UUID, a path), and windows that
+hold, or lie within NEAR characters of, a word such as "example" or a character repeated eight times; the rest
+of a long candidate stays. Base spans always stay.
+
+Folds that gather values run over blocks of BLOCK elements, and arrays that they look into are bound once,
+so the cost of a text is linear in its length and in its number of matches.
 
 Defined results: a null text is empty and has no spans; repeated rows and null ids are scanned row by row;
 two spans that start together come in the order of KINDS; columns other than doc_id and text are ignored,
@@ -28,93 +33,127 @@ HEX_16 = r"[0-9a-f]{16,}"
 #: Candidates for the entropy windows: runs of token characters, at least a window long.
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Character classes: all characters of a window belong to one, and its entropy in bits reaches the threshold.
-CLASSES = {"hex": ("^[0-9a-fA-F]+$", 2.9), "base64": ("^[A-Za-z0-9+/_=-]+$", 3.7)}
-#: A candidate needs a digit and a letter; words and rulers have not both.
-NEEDS = r"(?=.*[0-9])(?=.*[A-Za-z])"
-#: Candidates that are known not to be secrets.
-ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|test",
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(.)\1{7}",
-    r"^([A-Za-z]+[/_-])+[A-Za-z]+[0-9]{0,4}$",
-    r"^https?/|^www",
-)
+#: A candidate needs all of these; words and rulers do not have them.
+NEEDS = ("[0-9]", "[A-Za-z]")
+#: Shapes of whole candidates that are known not to be secrets. A path has words, single separators and up to four digits at its end.
+UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+PATH, SEPARATOR, SEPARATORS = r"^[A-Za-z][A-Za-z/_-]*[A-Za-z][0-9]{0,4}$", r"[/_-]", r"[/_-]{2}"
+#: What suppresses the windows around it.
+ALLOWED, NEAR = r"(?i)example|sample|dummy|placeholder|changeme|(?<![a-z])test(?![a-z])|(.)\1{7}", 8
+BLOCK = 256
+#: Codes of token characters lie between these.
+LOW, HIGH = ord("+"), ord("z")
+
+
+def _bind(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(n: Column) -> Column:
+    """0, 1, ... for each block of n elements."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _before(steps: Column) -> Column:
+    """For each element of an array the sum of those before it: by block, and over the blocks' sums."""
+    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+
+    def by_block(all_: Column) -> Column:
+        return F.transform(_blocks(F.size(all_)), lambda k: F.aggregate(F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)), none, step))
+
+    def shifted(blocks: Column) -> Column:
+        starts = F.aggregate(F.transform(blocks, lambda b: b["at"]), none, step, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, lambda b, start: F.transform(b["out"], lambda x: x + start)))
+
+    return _bind(steps, lambda all_: _bind(by_block(all_), shifted))
 
 
 def _located(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their places, from the pieces between them."""
     none = F.array().cast("array<struct<start:bigint,end:bigint,text:string>>")
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda piece, own: F.struct(F.length(piece).cast("bigint").alias("gap"), F.length(own).cast("bigint").alias("long"), own.alias("text")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["text"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"))).alias("out"))
+    def placed(ps: Column) -> Column:
+        starts = _before(F.transform(ps, lambda p: p["gap"] + p["long"]))
+        return F.zip_with(ps, starts, lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["long"]).alias("end"), p["text"].alias("text")))
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("piece"), found.alias("text"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), _bind(F.filter(pairs, lambda p: p["text"].isNotNull()), placed)).otherwise(none)
 
 
 def _spans(found: str, kind: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _windows(candidate: Column, pattern: str, threshold: float) -> Column:
-    """Merged (start, end) of the windows of a candidate, all in one class, whose entropy reaches the threshold.
+def _window_starts(codes: Column, inside, threshold: float) -> Column:
+    """Where a window of codes starts that are all `inside` a class and whose entropy reaches the threshold.
 
-    The state holds a count for each distinct character and the sum of c * log2(c); a character in and a
-    character out change two counts. Entropy is log2(WINDOW) - sum / WINDOW.
+    The state holds a count for each code and the sum of c * log2(c); a character in and a character out
+    change two counts. Entropy is log2(WINDOW) - sum / WINDOW. A block's fold begins a window before it.
     """
-    chars = F.split(candidate, "")
-    letters = F.array_distinct(chars)
-    start = F.struct(
-        F.transform(letters, lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("run"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("hits")
-    )
+    start = F.struct(F.array_repeat(F.lit(0), HIGH - LOW + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("run"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
 
     def weigh(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c)).otherwise(0.0)
 
-    def bump(counts: Column, at: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, j: F.when(j + 1 == at, c + by).otherwise(c))
+    def of(block: Column) -> Column:
+        ahead = F.least(block * BLOCK, F.lit(WINDOW - 1))
+
+        def folded(part: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                i = acc["at"]
+                out = F.when(i >= WINDOW, F.element_at(part, F.greatest(i - WINDOW + 1, F.lit(1)))).otherwise(-1)
+                had, leaves = F.element_at(acc["counts"], x - LOW + 1), F.coalesce(F.try_element_at(acc["counts"], F.greatest(out - LOW + 1, F.lit(1))), F.lit(0)) + F.when(out == x, 1).otherwise(0)
+                total = acc["sum"] + weigh(had + 1) - weigh(had) + F.when(out >= 0, weigh(leaves - 1) - weigh(leaves)).otherwise(0.0)
+                counts = F.when(x == out, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, j: c + F.when(j == x - LOW, 1).when(j == out - LOW, -1).otherwise(0)))
+                run = F.when(inside(x), acc["run"] + 1).otherwise(0)
+                ok = (run >= WINDOW) & (F.lit(log2(WINDOW)) - total / WINDOW >= threshold)
+                hits = F.when(ok, F.array_append(acc["hits"], block * BLOCK - ahead + i + 1 - WINDOW)).otherwise(acc["hits"])
+                return F.struct(counts.alias("counts"), total.alias("sum"), run.alias("run"), (i + 1).alias("at"), hits.alias("hits"))
+
+            return F.aggregate(part, start, step, lambda acc: acc["hits"])
+
+        return _bind(F.slice(codes, block * BLOCK - ahead + 1, ahead + BLOCK), folded)
+
+    return F.flatten(F.transform(_blocks(F.size(codes)), of))
 
-    def step(acc: Column, x: Column) -> Column:
-        i = acc["at"]
-        into = F.array_position(letters, x).cast("int")
-        leaves = i >= WINDOW
-        gone = F.when(leaves, F.array_position(letters, F.element_at(chars, F.greatest(i - WINDOW + 1, F.lit(1)))).cast("int")).otherwise(0)
-        had = F.element_at(acc["counts"], into)
-        total = acc["sum"] + weigh(had + 1) - weigh(had)
-        counts = bump(acc["counts"], into, 1)
-        left = F.when(leaves, F.element_at(counts, F.greatest(gone, F.lit(1)))).otherwise(0)
-        total = total + F.when(leaves, weigh(left - 1) - weigh(left)).otherwise(0.0)
-        counts = F.when(leaves, bump(counts, gone, -1)).otherwise(counts)
-        run = F.when(x.rlike(pattern), acc["run"] + 1).otherwise(0)
-        ok = (run >= WINDOW) & (F.lit(log2(WINDOW)) - total / WINDOW >= threshold)
-        begin = i + 1 - WINDOW
-        joined = (F.size(acc["hits"]) > 0) & (F.coalesce(F.try_element_at(acc["hits"], F.lit(-1))["end"], F.lit(-1)) >= begin)
-        grown = F.when(
-            joined,
-            F.array_append(F.slice(acc["hits"], 1, F.greatest(F.size(acc["hits"]) - 1, F.lit(0))), F.struct(F.try_element_at(acc["hits"], F.lit(-1))["start"].alias("start"), (i + 1).alias("end"))),
-        ).otherwise(F.array_append(acc["hits"], F.struct(begin.alias("start"), (i + 1).alias("end"))))
-        return F.struct(counts.alias("counts"), total.alias("sum"), run.alias("run"), (i + 1).alias("at"), F.when(ok, grown).otherwise(acc["hits"]).alias("hits"))
-
-    return F.aggregate(chars, start, step, lambda acc: acc["hits"])
+
+#: Character classes: which codes, and the threshold of the entropy in bits.
+CLASSES = ((lambda x: x.between(ord("0"), ord("9")) | x.between(ord("a"), ord("f")) | x.between(ord("A"), ord("F")), 2.9), (lambda x: x >= LOW, 3.7))
+
+
+def _merged(starts: Column) -> Column:
+    """(start, end) of runs of windows that touch or overlap, from their starts in order."""
+
+    def of(p: Column) -> Column:
+        first = F.filter(p, lambda x, j: (j == 0) | (x - F.get(p, j - 1) > WINDOW))
+        last = F.filter(p, lambda x, j: (j == F.size(p) - 1) | (F.get(p, j + 1) - x > WINDOW))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b + WINDOW).alias("end")))
+
+    return _bind(starts, of)
 
 
 def _entropy_spans(text: Column) -> Column:
     """Spans of kind entropy over the candidates of a text."""
 
     def wanted(x: Column) -> Column:
-        no = [~x["text"].rlike(p) for p in ALLOWED]
-        keep = x["text"].rlike(NEEDS)
-        for n in no:
-            keep = keep & n
-        return keep
+        path = x["text"].rlike(PATH) & x["text"].rlike(SEPARATOR) & ~x["text"].rlike(SEPARATORS)
+        return x["text"].rlike(NEEDS[0]) & x["text"].rlike(NEEDS[1]) & ~x["text"].rlike(UUID) & ~path
 
     def of(x: Column) -> Column:
-        hits = F.flatten(F.array(*(_windows(x["text"], p, limit) for p, limit in CLASSES.values())))
+        def spans(chars: Column) -> Column:
+            def allowed(at: Column) -> Column:
+                begin = F.greatest(at + 1 - NEAR, F.lit(1))
+                return F.array_join(F.slice(chars, begin, at + 1 + WINDOW + NEAR - begin), "").rlike(ALLOWED)
+
+            starts = _bind(F.transform(chars, lambda c: F.ascii(c)), lambda codes: F.array(*(F.filter(_window_starts(codes, own, limit), lambda at: ~allowed(at)) for own, limit in CLASSES)))
+            return F.flatten(F.transform(starts, _merged))
+
+        hits = _bind(F.split(x["text"], ""), spans)
         return F.transform(hits, lambda h: F.struct((x["start"] + h["start"]).alias("start"), (x["start"] + h["end"]).alias("end"), F.lit(KINDS.index("entropy")).alias("kind")))
 
     found = F.filter(_located(text, CANDIDATE), wanted)
