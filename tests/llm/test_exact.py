@@ -164,17 +164,26 @@ def test_token_files(spark, texts, untouched):
         start += n
 
 
-def test_units_are_tokenised_alike(untouched):
+def test_units_are_tokenised_alike(untouched, monkeypatch):
     known = token_files._Units(untouched, "<u2")
     assert known.mark is not None
     rng = np.random.default_rng(8)
     parts = [" ", " ", " ", "  ", "\n", "\t", " \n ", "\n \n", "\u00a0", "\u2003", "\x1c", "it's", "I'LL", "a", "Bc", "12", "²", "é", "日本", "...", "<|endoftext|>", "<|endo", "_", "#x", "x" * 70, "\U0001f600", "\u0301"]
     texts_ = ["".join(parts[k] for k in rng.integers(0, len(parts), n)) for n in range(40) for _ in range(100)]
     texts_ += ["foo <|endoftext|> bar", "", " ", "  ", " a", "a ", "\n", "def f(x):\n    return  x\n\n\n  # y \n"]
-    for _ in range(2):  # unknown units, then known ones
-        for i in range(0, len(texts_), 64):
-            assert known.tokens(texts_[i : i + 64]) == [np.array(untouched.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts_[i : i + 64]]
-    assert np.frombuffer(known.tokens(["foo <|endoftext|> bar"])[0], "<u2").tolist() == untouched.encode("foo <|endoftext|> bar", add_special_tokens=False).ids
+    want = [[*untouched.encode(t, add_special_tokens=False).ids, 2] for t in texts_]
+
+    def got(part):
+        raw = [t.encode() for t in part]
+        ids, at = known.tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+
+    for size in (1, 7, 64, 5000, 64):  # unknown units, then known ones
+        for i in range(0, len(texts_), size):
+            assert got(texts_[i : i + size]) == want[i : i + size]
+    assert got(["foo <|endoftext|> bar"]) == [[21943, 220, 50256, 2318, 2]]
+    monkeypatch.setattr(token_files, "KEPT", 10)
+    assert got(texts_) == want and got(texts_[:50]) == want[:50] and got([]) == []
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])

@@ -19,8 +19,8 @@ their names; an empty table gives a dataset without blocks and an empty result.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -61,8 +61,10 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 _TOKENIZERS: dict = {}
 _KNOWN: dict = {}  # units by tokenizer, kept by a worker from task to task
-#: Units that a worker keeps, and the longest of them.
-KEPT, KEPT_CHARS = 1_500_000, 64
+#: Units after which a worker forgets those it has met, and the longest unit in bytes that it keeps.
+KEPT, KEPT_BYTES = 1 << 21, 64
+SLOTS = 22
+SPAN = 1 << 20
 
 
 def _tokenizer(path: str):
@@ -76,73 +78,161 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-#: Marks a text's first unit, before which no space stands. No text can hold it.
-FIRST = "\ud800"
-TANGLED = re.compile(r"\s \s")
-CUT = re.compile(r"(?<=\S) |(?<=\s) (?=\S)")
+@lru_cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit values of bytes, and the powers of an odd number and of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    steps = np.full((2, SPAN + KEPT_BYTES), 1, np.uint64)
+    steps[:, 1:] = np.array([[base], [pow(base, -1, 1 << 64)]], np.uint64)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(steps, axis=1, dtype=np.uint64)
+    return np.random.default_rng(11).integers(1, 1 << 64, 256, np.uint64), powers[0], powers[1]
 
 
-def units(text: str) -> list[str]:
-    """The text cut before its spaces, which are left away.
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where units start in the bytes of texts: at each text and at each space beside a character that is no white space.
 
     A byte-level tokenizer's piece holds a space only at its start or in a run of white space, so no token
-    crosses a space that stands beside a character which is none. Other spaces are not cut at.
+    crosses such a place. Bytes that may begin or end wide white space count as white space.
     """
-    return (CUT.split if TANGLED.search(text) else lambda t: t.split(" "))(FIRST + text)
+    plain = (data > 0x20) & (data < 0x7F)
+    opens = plain | ((data > 0xC2) & ~np.isin(data, (0xE1, 0xE2, 0xE3)))
+    cut = data == 0x20
+    cut[1:-1] &= plain[:-2] | opens[2:]
+    if len(cut):
+        cut[0] = False
+        cut[-1] &= bool(len(data) > 1 and plain[-2])
+    cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(cut)
 
 
-class _Units(dict):
-    """Packed ids of units; a worker keeps those of the units it has met, up to a bound."""
+class _Units:
+    """Tokenises texts by units; ids of the units that a worker has met are kept in a hash table over arrays.
+
+    A unit is known by a 64-bit hash of its bytes.
+    """
 
     def __init__(self, tokenizer, wide: str):
-        super().__init__()
         self.tokenizer, self.wide = tokenizer, wide
         self.encode = getattr(tokenizer, "encode_batch_fast", None) or tokenizer.encode_batch
-        added = [t["content"] for t in json.loads(tokenizer.to_str()).get("added_tokens", [])]
-        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self.added = [t["content"] for t in json.loads(tokenizer.to_str()).get("added_tokens", [])]
         self.cuts = _cuts_bytes(tokenizer)
-        self.mark = next((t for t in added if self.cuts and not self.encode([t + " a" + t], add_special_tokens=False)[0].ids.count(tokenizer.token_to_id(t)) - 2), None)
+        self.mark = next((t for t in self.added if self.cuts and self.encode([t + " a" + t], add_special_tokens=False)[0].ids.count(tokenizer.token_to_id(t)) == 2), None)
+        self.forget()
 
-        self.marks = dict(zip(".,;:!?", self.whole(list(".,;:!?")), strict=True)) if self.cuts else {}
+    def forget(self) -> None:
+        self.keys, self.values = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int64)
+        self.n, self.pool, self.used = 0, np.zeros(1 << 16, self.wide), 1
+        self.pool[0] = END
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.wide).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.wide) for e in self.encode(texts, add_special_tokens=False)]
 
-    def several(self, texts: list[str]) -> list[bytes]:
+    def several(self, texts: list[str]) -> list[np.ndarray]:
         """As whole, for short texts: those between two marks are tokenised on their own."""
         if self.mark is None:
             return self.whole(texts)
         mark, out = self.tokenizer.token_to_id(self.mark), []
         blocks = [texts[i : i + 500] for i in range(0, len(texts), 500)]
-        for block, e in zip(blocks, self.encode([self.mark.join(b) for b in blocks], add_special_tokens=False), strict=True):
+        for e in self.encode([self.mark.join(b) for b in blocks], add_special_tokens=False):
             ids = np.array(e.ids, self.wide)
-            ends = np.append(np.flatnonzero(ids == mark), len(ids))
-            out += [ids[a + 1 : b].tobytes() for a, b in zip([-1, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            ends = [-1, *np.flatnonzero(ids == mark).tolist(), len(ids)]
+            out += [ids[a + 1 : b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out
+
+    def _slots(self, h: np.ndarray, step: int) -> np.ndarray:
+        return ((h >> np.uint64(64 - SLOTS)) + np.uint64(step) & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The values of hashes, -1 for unknown ones."""
+        out, open_, step = np.full(len(h), -1), np.arange(len(h)), 0
+        while len(open_):
+            slot = self._slots(h[open_], step)
+            there = self.keys[slot]
+            hit = there == h[open_]
+            out[open_[hit]] = self.values[slot[hit]]
+            open_, step = open_[~hit & (there != 0)], step + 1
+        return out
+
+    def store(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Stores values of different unknown hashes."""
+        self.n += len(h)
+        step = 0
+        while len(h):
+            slot = self._slots(h, step)
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]
+            own = self.keys[slot] == h
+            self.values[slot[own]] = values[own]
+            h, values, step = h[~own], values[~own], step + 1
+
+    def pooled(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Appends ids to the pool; their values: place and number."""
+        sizes = np.array([len(x) for x in ids], np.int64)
+        total = int(sizes.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), self.wide)))
+        if total:
+            self.pool[self.used : self.used + total] = np.concatenate(ids)
+        values = (self.used + np.cumsum(sizes) - sizes) << 32 | sizes
+        self.used += total
+        return values
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of units of at most KEPT_BYTES bytes, in order."""
+        out = np.empty(len(starts), np.uint64)
+        by_byte, power, inverse = _powers()
+        edges = np.flatnonzero(np.diff(starts // SPAN, prepend=-1, append=-1)) if len(starts) else []
+        with np.errstate(over="ignore"):
+            for a, b in zip(edges, edges[1:], strict=False):
+                at = starts[a]
+                sums = np.cumsum(by_byte[data[at : ends[b - 1]]] * power[: ends[b - 1] - at], dtype=np.uint64)
+                before = np.where(starts[a:b] > at, sums[starts[a:b] - at - 1], 0)
+                h = (sums[ends[a:b] - at - 1] - before) * inverse[starts[a:b] - at]
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                out[a:b] = h ^ (h >> np.uint64(32)) | np.uint64(1)
         return out
 
-    def tokens(self, texts: list[str]) -> list[bytes]:
-        plain = [self.cuts and not self.added(t) for t in texts]
-        others = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        cut = [units(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        found = [list(map(self.get, c)) for c in cut]
-        gaps = [[i for i, v in enumerate(f) if v is None] if None in f else () for f in found]
-        new = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
-        if new:
-            if len(self) > KEPT:
-                self.clear()
-            own = self.learn(new)
-            for c, f, g in zip(cut, found, gaps, strict=True):
-                for i in g:
-                    f[i] = own[c[i]]
-        return [b"".join(f) if p else next(others) for f, p in zip(found, plain, strict=True)]
-
-    def learn(self, new: set[str]) -> dict[str, bytes]:
-        """The ids of new units; a mark after a letter is a piece of its own, so what stands before it may be known."""
-        own = {u: before + self.marks[u[-1]] for u in new if u[-1:] in self.marks and u[-2:-1].isalpha() and (before := self.get(u[:-1])) is not None}
-        rest = [u for u in new if u not in own]
-        own |= zip(rest, self.several([u[1:] if u[0:1] == FIRST else f" {u}" for u in rest]), strict=True)
-        self.update((u, v) for u, v in own.items() if len(u) <= KEPT_CHARS)
-        return own
+    def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts (their bytes, and n + 1 offsets), each with the end id, and their n + 1 offsets."""
+        if self.n > KEPT:
+            self.forget()
+        raw = data.tobytes()
+        apart = np.full(len(offsets) - 1, not self.cuts)
+        for t in self.added:
+            at = raw.find(t.encode())
+            while at >= 0:
+                d = int(np.searchsorted(offsets, at, "right")) - 1
+                apart[d] = True  # or the match spans texts: no harm
+                at = raw.find(t.encode(), max(at + 1, int(offsets[d + 1]) - len(t.encode()) + 1))
+        starts = unit_starts(data, offsets)
+        doc = np.searchsorted(offsets, starts, "right") - 1
+        if apart.any():
+            keep = ~apart[doc] | (starts == offsets[doc])
+            starts, doc = starts[keep], doc[keep]
+        ends = np.minimum(np.append(starts[1:], len(data)), offsets[doc + 1])
+        values = np.full(len(starts), -1)
+        short = np.flatnonzero((ends - starts <= KEPT_BYTES) & ~apart[doc])
+        h = self.hashes(data, starts[short], ends[short])
+        values[short] = self.find(h)
+        new = short[values[short] < 0]
+        if len(new):
+            every, first = np.unique(h[values[short] < 0], return_index=True)
+            texts = [raw[a:b].decode() for a, b in zip(starts[new[first]].tolist(), ends[new[first]].tolist(), strict=True)]
+            self.store(every, self.pooled(self.several(texts)))
+            values[new] = self.find(h[values[short] < 0])
+        kept, long = self.used, np.flatnonzero(values < 0)
+        values[long] = self.pooled(self.whole([raw[a:b].decode() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]))
+        self.used = kept  # long units are not kept
+        per_doc = np.bincount(doc, minlength=len(offsets) - 1)
+        with_end = np.empty(len(values) + len(per_doc), np.int64)
+        ends_at = np.cumsum(per_doc) + np.arange(len(per_doc))
+        with_end[ends_at] = 1  # the end id is the pool's first
+        with_end[np.arange(len(values)) + doc] = values
+        sizes = with_end & 0xFFFFFFFF
+        total = np.cumsum(sizes)
+        ids = self.pool[np.repeat((with_end >> 32) - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
+        return ids, np.append(0, total[ends_at])
 
 
 def _cuts_bytes(tokenizer) -> bool:
@@ -153,19 +243,26 @@ def _cuts_bytes(tokenizer) -> bool:
 
 
 def _tokenised(path: str, wide: str):
-    """Units go through the tokenizer once for a worker; texts are put together from their units."""
+    """Units go through the tokenizer once for a worker; texts are put together from their units' ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        end = np.array([END], wide).tobytes()
         if (path, wide) not in _KNOWN:
-            _KNOWN[(path, wide)] = _Units(tokenizer, wide)
+            _KNOWN[(path, wide)] = _Units(_tokenizer(path), wide)
         known = _KNOWN[(path, wide)]
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 64):
-                ids = [x + end for x in known.tokens(texts[at : at + 64])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.array(ids, pa.binary()), pa.array([crc32(i) for i in ids], pa.int64())], ["doc_id", "ids", "tie"])
+            texts = batch.column(1).fill_null("").cast(pa.large_string())
+            every = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+            at = 0
+            while at < len(texts):  # rows of about SPAN bytes, one at least
+                to = max(at + 1, int(np.searchsorted(every, every[at] + SPAN, "right")) - 1)
+                data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[every[at] : every[to]]
+                ids, offsets = known.tokens(data, every[at : to + 1] - every[at])
+                ids = ids.tobytes()
+                size = offsets * np.dtype(wide).itemsize
+                crc = [crc32(memoryview(ids)[a:b]) for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(size.astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), packed.cast(pa.binary()), pa.array(crc, pa.int64())], ["doc_id", "ids", "tie"])
+                at = to
 
     return run
 
