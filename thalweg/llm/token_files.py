@@ -89,19 +89,33 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.random.default_rng(11).integers(1, 1 << 64, 256, np.uint64), powers[0], powers[1]
 
 
+#: Kinds of bytes: no white space; begins a character that is no white space; space or line end; letter or digit; mark.
+PLAIN, OPENS, WHITE, ALNUM, MARK = 1, 2, 4, 8, 16
+
+
+@lru_cache
+def _kinds() -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    out[0x21:0x7F] = PLAIN | OPENS
+    out[0xC3:] |= OPENS
+    out[[0xE1, 0xE2, 0xE3]] = 0  # may begin wide white space
+    out[[0x20, 0x0A]] = WHITE
+    for x in range(0x21, 0x7F):
+        out[x] |= ALNUM if chr(x).isalnum() else MARK
+    return out
+
+
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where units start in the bytes of texts: at each text and at each space beside a character that is no white space.
+    """Where units start in the bytes of texts: at each text, at each space or line end beside a character that is no white space, and at a mark after a letter or digit.
 
-    A byte-level tokenizer's piece holds a space only at its start or in a run of white space, so no token
-    crosses such a place. Bytes that may begin or end wide white space count as white space.
+    A byte-level tokenizer's piece holds letters, digits or marks behind one space at most, or white space, of
+    which it leaves the last character to what follows; so no token crosses such a place.
     """
-    plain = (data > 0x20) & (data < 0x7F)
-    opens = plain | ((data > 0xC2) & ~np.isin(data, (0xE1, 0xE2, 0xE3)))
-    cut = data == 0x20
-    cut[1:-1] &= plain[:-2] | opens[2:]
-    if len(cut):
-        cut[0] = False
-        cut[-1] &= bool(len(data) > 1 and plain[-2])
+    kind = _kinds()[data]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = ((kind[1:] & WHITE) != 0) & ((kind[:-1] & PLAIN) != 0)
+    cut[1:-1] |= ((kind[1:-1] & WHITE) != 0) & ((kind[2:] & OPENS) != 0)
+    cut[1:] |= ((kind[1:] & MARK) != 0) & ((kind[:-1] & ALNUM) != 0)
     cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     return np.flatnonzero(cut)
 
