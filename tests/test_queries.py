@@ -65,8 +65,21 @@ def test_cycles(spark):
 
 def test_segmentation():
     rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(m, 0.3, n) for m, n in ((0, 20), (5, 15), (1, 25))])
-    assert metrics.segment_breaks(x, 20) == [0, 20, 35]
+
+    def brute(x, kmax):
+        """All numbers of segments by plain recursion over their starts."""
+        n = len(x)
+        err = {(i, j): float(((x[i:j] - x[i:j].mean()) ** 2).sum()) for i in range(n) for j in range(i + 1, n + 1)}
+        best = {(1, j): (err[(0, j)], [0]) for j in range(1, n + 1)}
+        for k in range(2, min(kmax + 1, n) + 1):
+            for j in range(k, n + 1):
+                best[(k, j)] = min((best[(k - 1, i)][0] + err[(i, j)], [*best[(k - 1, i)][1], i]) for i in range(k - 1, j))
+        score = lambda k: n * np.log(max(best[(k, n)][0], 1e-12) / (n - 1)) + 2 * k * np.log(n)
+        return best[(min((k for k in range(1, min(kmax + 1, n) + 1)), key=score), n)][1]
+
+    for sizes in (((0, 20), (5, 15), (1, 25)), ((0, 12),), ((2, 7), (4, 9), (0, 5), (3, 11))):
+        x = np.concatenate([rng.normal(m, 0.3, n) for m, n in sizes])
+        assert metrics.segment_breaks(x, 8) == brute(x, 8)
     assert metrics.segment_breaks(np.array([1.0]), 1) == [0]
 
 
@@ -89,3 +102,41 @@ def test_samples_keep_distance(spark):
 def test_empty_inputs(spark):
     none = tree(spark).limit(0)
     assert network.network_nodes(none).count() == 0 and network.strahler_order(none).count() == 0 and network.select_graph_cycle(none).count() == 0
+
+
+def test_rings(spark):
+    ring = spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 3, 1), (4, 8, 9), (5, 9, 10), (6, 10, 11)], "fid long, nodea long, nodeb long").withColumn("length", F.lit(1.0))
+    got = {(r.nodea, r.nodeb, r.n_links) for r in network.aggregate_stream_segments(ring).where("nodea is not null and gid > 3").collect()}
+    assert got == {(8, 11, 3)}
+    orders = {r.fid: r.strahler for r in network.strahler_order(ring).collect()}
+    assert orders == {1: None, 2: None, 3: None, 4: 1, 5: 1, 6: 1}
+    with pytest.raises(ValueError, match="cycle"):
+        network.measure_network(ring.union(spark.createDataFrame([(7, 3, 11, 1.0)], ring.schema))).count()
+    loop = spark.createDataFrame([(0, 0, 4), (0, 1, 64), (1, 0, 4), (1, 1, 0)], "row int, col int, d8 int")
+    assert terrain.flow_accumulation(loop).count() >= 0
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    from thalweg.plans import iterate
+
+    n, cuts = 3000, []
+    links = spark.range(1, n + 1).selectExpr("id fid", "id nodea", "id - 1 nodeb", "1.0D length")
+    links = links.union(spark.createDataFrame([(n + 1, n + 7, n // 2, 5.0)], "fid long, nodea long, nodeb long, length double"))
+    plain = iterate.cut
+    monkeypatch.setattr(iterate, "cut", lambda df: cuts.append(1) or plain(df))
+    monkeypatch.setattr(network, "cut", lambda df: cuts.append(1) or plain(df))
+    got = {r.fid: r.measure for r in network.measure_network(links).collect()}
+    assert got[n] == n - 1 and got[1] == 0 and got[n + 1] == n // 2
+    orders = {r.fid: r.strahler for r in network.strahler_order(links).collect()}
+    assert orders[n] == 1 and orders[1] == 2 and orders[n // 2 + 1] == 1 and orders[n // 2] == 2
+    assert len(cuts) < 120
+
+
+def test_scratch_needs_a_shared_folder_on_clusters():
+    from types import SimpleNamespace
+
+    from thalweg.plans import iterate
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        iterate.cut(SimpleNamespace(sparkSession=session))

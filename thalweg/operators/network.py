@@ -6,6 +6,8 @@ key. Work is done by joins and aggregates over links; nothing is gathered per ba
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def sources(links: DataFrame) -> DataFrame:
 
 
 def distance_to_outlet(links: DataFrame) -> DataFrame:
-    """(node, value): the longest way to an outlet, by relaxation from the outlets; levels are rounds. Without cycles."""
+    """(node, value): the longest way to an outlet, by relaxation from the outlets. A cycle above an outlet raises ValueError."""
     steps = links.select(F.col("nodeb").alias("src"), F.col("nodea").alias("dst"), F.col("length").alias("cost"))
     return relax(outlets(links).withColumn("value", F.lit(0.0)), steps, "max")
 
@@ -230,22 +232,29 @@ def fix_network_cycles(links: DataFrame) -> DataFrame:
 def strahler_order(links: DataFrame, axis: str | None = None) -> DataFrame:
     """Links with `strahler`. Two arriving links of the highest order raise it, unless they are of one axis; loops get null.
 
-    Nodes are done level by level: a link is known when all links into its from-node are.
+    The order is the same along a chain of links, so chains are followed by pointer jumping and levels are
+    those of confluences: a chain is known when all chains into its first node are. What has arrived at a
+    node is kept as the greatest and the smallest axis of the highest order, and a count.
     """
-    ax = F.col(axis) if axis else F.col("fid")
-    edges = cut(links.select("fid", "nodea", "nodeb", ax.alias("axis")))
+    edges = cut(links.select("fid", "nodea", "nodeb", (F.col(axis) if axis else F.col("fid")).alias("axis")))
+    through = degrees(edges).where("din = 1 and dout = 1").select(F.col("gid").alias("node"))
+    follow = edges.select(F.col("nodea").alias("node"), F.col("fid").alias("next")).join(through, "node")
+    chain = jump(edges.select(F.col("fid").alias("id"), F.col("nodeb").alias("node")).join(follow, "node", "left").select("id", "next", F.lit(1.0).alias("ahead")), carry={"ahead": "sum"})
+    parts = edges.join(chain.select(F.col("id").alias("fid"), "root", "ahead").where("root is not null"), "fid")
+    segs = cut(parts.groupBy("root").agg(F.max_by("nodea", "ahead").alias("nodea"), F.min_by("nodeb", "ahead").alias("nodeb"), F.min_by("axis", "ahead").alias("axis")))
     into = edges.groupBy(F.col("nodeb").alias("node")).agg(F.count("*").alias("din"))
-    known = frontier = cut(edges.join(into.select(F.col("node").alias("nodea")), "nodea", "left_anti").withColumn("o", F.lit(1)))
+    frontier = cut(segs.join(into.select(F.col("node").alias("nodea")), "nodea", "left_anti").withColumn("o", F.lit(1)))
+    known, waiting = frontier, None
     while some(frontier):
-        # Frontier links' to-nodes whose links in are all known now.
-        touched = frontier.select(F.col("nodeb").alias("node")).distinct()
-        arrived = known.withColumnRenamed("nodeb", "node").join(touched, "node", "left_semi")
-        top = arrived.groupBy("node").agg(F.max("o").alias("m"), F.count("*").alias("n"))
-        ready = top.join(into, "node").where("n = din")
-        most = arrived.join(ready, "node").where("o = m").groupBy("node").agg(F.count_distinct("axis").alias("k"), F.first("m").alias("m"))
-        frontier = cut(edges.join(most.select(F.col("node").alias("nodea"), F.when(F.col("k") > 1, F.col("m") + 1).otherwise(F.col("m")).alias("o")), "nodea").select("fid", "nodea", "nodeb", "axis", "o"))
-        known = known.unionByName(frontier)
-    return links.join(known.select("fid", F.col("o").alias("strahler")), "fid", "left")
+        came = frontier.groupBy(F.col("nodeb").alias("node")).agg(F.max(F.struct("o", "axis")).alias("hi"), F.min(F.struct((-F.col("o")).alias("o"), "axis")).alias("lo"), F.count("*").alias("n"))
+        came = came if waiting is None else waiting.unionByName(came).groupBy("node").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.sum("n").alias("n"))
+        came = cut(came.join(into, "node"))
+        waiting = came.where("n < din").drop("din")
+        order = F.when(F.col("hi.axis") != F.col("lo.axis"), F.col("hi.o") + 1).otherwise(F.col("hi.o"))
+        frontier = cut(segs.join(came.where("n = din").select(F.col("node").alias("nodea"), order.alias("o")), "nodea").select("root", "nodea", "nodeb", "axis", "o"))
+        known = known.unionByName(frontier.select(*known.columns))
+    orders = parts.select("fid", "root").join(known.select("root", F.col("o").alias("strahler")), "root").select("fid", "strahler")
+    return links.join(orders, "fid", "left")
 
 
 def hack_order(links: DataFrame) -> DataFrame:
@@ -305,16 +314,18 @@ def sum_upstream(steps: DataFrame, weights: DataFrame) -> DataFrame:
     """(id, total): for each id the weights of all ids whose chain (id -> next) passes it, its own included.
 
     Doubling: in round k an id's sum over the last 2**k steps above it is added at the id 2**k steps below, and the
-    pointers double; so rounds are the logarithm of the longest chain.
+    pointers double; so rounds are the logarithm of the longest chain. Ids whose chain runs into a cycle have null.
     """
     ids = steps.select("id").union(steps.where("next is not null").select("next")).union(weights.select("id")).distinct()
     state = ids.join(weights, "id", "left").join(steps, "id", "left").select("id", F.coalesce("w", F.lit(0.0)).cast("double").alias("total"), "next")
     state = cut(state)
-    while some(state.where("next is not null")):
+    for _ in range(math.ceil(math.log2(max(2, state.count()))) + 1):
+        if not some(state.where("next is not null")):
+            return state.select("id", "total")
         sent = state.where("next is not null").groupBy(F.col("next").alias("id")).agg(F.sum("total").alias("more"))
         far = state.select(F.col("id").alias("next"), F.col("next").alias("n2"))
         state = cut(state.join(far, "next", "left").join(sent, "id", "left").select("id", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), F.col("n2").alias("next")))
-    return state.select("id", "total")
+    return state.select("id", F.when(F.col("next").isNull(), F.col("total")).alias("total"))
 
 
 def fix_network_connectivity(links: DataFrame, subset: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ spark.checkpoint.dir names, so that plans stay short and executors may be lost.
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
@@ -18,6 +20,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="thalweg-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
@@ -40,11 +44,24 @@ def closure(seeds: DataFrame, steps: DataFrame) -> DataFrame:
         seen = seen.union(frontier)
 
 
-def relax(start: DataFrame, steps: DataFrame, best: str, extra: str | None = None, limit: int | None = None) -> DataFrame:
+#: Rounds after which `relax` looks for chains to contract.
+PATIENCE = 12
+
+
+def _inner(start: DataFrame, steps: DataFrame) -> DataFrame:
+    """(node): nodes with one step in and one out that nothing starts from."""
+    ends = steps.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(steps.select("dst", F.lit(1), F.lit(0)))
+    return ends.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where("i = 1 and o = 1").select("node").join(start.select("node"), "node", "left_anti")
+
+
+def relax(start: DataFrame, steps: DataFrame, best: str, extra: str | None = None, limit: int | None = None, contract: bool = True) -> DataFrame:
     """Best value for each node over paths of steps (src, dst, cost) from start (node, value).
 
-    best is "min" or "max" (the latter on graphs without cycles). extra names a column of steps whose largest
-    value on the path comes along as `worst`. Only improved nodes go on to the next round.
+    best is "min" or "max". extra names a column of steps whose largest value on the path comes along as
+    `worst`. Only improved nodes go on to the next round. What is not settled after PATIENCE rounds is done
+    once more with chains of nodes that have one step in and one out contracted, so that rounds are those of
+    the branchings and the logarithm of the longest chain. With "max", a cycle that can be reached and gains
+    raises ValueError: its values would grow for ever.
     """
     better = (lambda a, b: a < b) if best == "min" else (lambda a, b: a > b)
     pick = F.min if best == "min" else F.max
@@ -52,6 +69,12 @@ def relax(start: DataFrame, steps: DataFrame, best: str, extra: str | None = Non
     state = frontier = cut(start)
     rounds = 0
     while some(frontier) and (limit is None or rounds < limit):
+        if rounds == PATIENCE and contract and limit is None:
+            inner = cut(_inner(start, steps))
+            if 4 * inner.count() > steps.count():
+                return _relax_contracted(start, steps, inner, best, extra)
+        if best == "max" and rounds > PATIENCE and rounds > state.count():
+            raise ValueError("the steps hold a cycle")
         worst = [F.greatest("worst", extra).alias("worst")] if extra else []
         cost = F.struct((F.col("value") + F.col("cost")).alias("value"), *worst)
         tried = steps.join(frontier, steps.src == frontier.node).groupBy(F.col("dst").alias("node")).agg(pick(cost).alias("new"))
@@ -62,27 +85,47 @@ def relax(start: DataFrame, steps: DataFrame, best: str, extra: str | None = Non
     return state
 
 
+def _relax_contracted(start: DataFrame, steps: DataFrame, inner: DataFrame, best: str, extra: str | None) -> DataFrame:
+    """relax over the steps between nodes that are not inner; inner nodes have their chain's head's value and the way from there."""
+    carry = {"cost": "sum"} | ({extra: "max"} if extra else {})
+    both = [F.col(c) for c in carry]
+    ahead = jump(steps.join(inner, steps.src == inner.node).select(F.col("src").alias("id"), F.col("dst").alias("next"), *both), carry=carry)
+    ahead = ahead.select(F.col("id").alias("dst"), "root", F.col("cost").alias("rest"), *([F.col(extra).alias("high")] if extra else []))
+    high = [F.greatest(extra, "high").alias(extra)] if extra else []
+    short = steps.join(inner, steps.src == inner.node, "left_anti").join(ahead, "dst", "left")
+    short = cut(short.select("src", F.coalesce("root", "dst").alias("dst"), (F.col("cost") + F.coalesce("rest", F.lit(0.0))).alias("cost"), *high))
+    state = relax(start, short, best, extra, contract=False)
+    behind = jump(steps.join(inner, steps.dst == inner.node).select(F.col("dst").alias("id"), F.col("src").alias("next"), *both), carry=carry)
+    head = state.select(F.col("node").alias("root"), "value", *(["worst"] if extra else []))
+    worst = [F.greatest("worst", extra).alias("worst")] if extra else []
+    found = behind.join(head, "root").select(F.col("id").alias("node"), (F.col("value") + F.col("cost")).alias("value"), *worst)
+    return cut(state.unionByName(found))
+
+
 def jump(df: DataFrame, stop: Column | None = None, carry: dict[str, str] | None = None) -> DataFrame:
     """Pointer jumping over (id, next, ...): each id's last node on its chain as `root`, in log rounds.
 
     carry maps a numeric column, the cost of the step id -> next, to how it is combined along the chain: sum, max or min.
-    A null next, or a row where stop holds, ends the chain. Chains must not be cyclic.
+    A null next, or a row where stop holds, ends the chain. Ids whose chain runs into a cycle have a null root.
     """
     carry = carry or {}
     nxt = F.col("next") if stop is None else F.when(~stop, F.col("next"))
     zero = {"sum": F.lit(0.0), "max": F.lit(None).cast("double"), "min": F.lit(None).cast("double")}
     state = df.select("id", nxt.alias("to"), *(F.when(nxt.isNotNull(), F.col(c).cast("double")).otherwise(zero[k]).alias(c) for c, k in carry.items()))
     state = cut(state.select("id", F.coalesce("to", "id").alias("root"), F.col("to").isNull().alias("done"), *carry))
-    while True:
+    most = math.ceil(math.log2(max(2, state.count()))) + 1  # by then every chain's end is reached
+    for left in range(most, -1, -1):
         far = state.select(F.col("id").alias("root"), F.col("root").alias("r2"), F.col("done").alias("d2"), *(F.col(c).alias(f"{c}2") for c in carry))
         join = {"sum": lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0.0)), "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}
         own = state.join(far, "root", "left")
         moved = ~F.col("done") & F.col("r2").isNotNull()
         cols = [F.when(moved, join[k](c, f"{c}2")).otherwise(F.col(c)).alias(c) for c, k in carry.items()]
-        after = cut(own.select("id", F.when(moved, F.col("r2")).otherwise(F.col("root")).alias("root"), (F.col("done") | F.col("d2").isNull() | F.col("d2")).alias("done"), *cols))
-        if not some(after.where("not done")):
-            return after.drop("done")
-        state = after
+        state = cut(own.select("id", F.when(moved, F.col("r2")).otherwise(F.col("root")).alias("root"), (F.col("done") | F.col("d2").isNull() | F.col("d2")).alias("done"), *cols))
+        if not some(state.where("not done")):
+            break
+        if not left:
+            state = state.withColumn("root", F.when(F.col("done"), F.col("root")))
+    return state.drop("done")
 
 
 def components(pairs: DataFrame) -> DataFrame:
