@@ -194,15 +194,30 @@ def test_code_round_trip(n):
 
 
 def test_token_counts(spark, texts):
+    """Whole texts of all documents against the library's unigram model over the whole vocabulary."""
     from tokenizers import Tokenizer, models
 
     pieces = token_counts.vocabulary(queries._tokenizer("piece_bpe_32k.model"))
-    exact = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces.items()], unk_id=0, byte_fallback=False))
-    some = dict(list(texts.items())[:300]) | {-1: "  two  spaces", -2: "日本 \U0001f600\U0001f601x", -3: "x"}
+    assert "▁▁▁▁" in pieces and "<0x0A>" in pieces
+    exact = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces.items()], unk_id=0, byte_fallback=True))
+    odd = ["  two  spaces", "日本 \U0001f600\U0001f601x", "x", " ", "     ", "def f(x):\n    return  x\n\n        # y", "\u0301\t\ty ", "a" * 5000, "▁▁a▁", "<0x0A>"]
+    some = texts | {-1 - k: t for k, t in enumerate(odd)}
     df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
-    for r in token_counts.token_counts(df, queries._tokenizer("piece_bpe_32k.model")).collect():
-        want = sum(len(exact.encode(s).ids) for s in token_counts.stretches(token_counts.normalised(some[r.doc_id])))
-        assert r.n_tokens == want, some[r.doc_id]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, queries._tokenizer("piece_bpe_32k.model")).collect()}
+    want = {d: len(exact.encode(token_counts.normalised(t)).ids) for d, t in some.items()}
+    assert got == want
+
+
+def test_token_counts_ties(spark):
+    """Equal scores: the earlier start wins, as in the library."""
+    from tokenizers import Tokenizer, models
+
+    pieces = {"a": -1.0, "b": -1.0, "ab": -2.0, "ba": -2.0, "aba": -3.0, "▁": -1.0, "▁a": -2.0, "▁▁": -2.0}
+    exact, counter = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces.items()], unk_id=0)), token_counts.Counter(pieces)
+    rng = random.Random(4)
+    for n in range(300):
+        text = "".join(rng.choices("ab ", k=n % 40 + 1))
+        assert counter.count(text) == len(exact.encode(token_counts.normalised(text)).ids), text
 
 
 def shingles(text):

@@ -65,6 +65,12 @@ def test_items_rich_in_numbers_are_found(spark):
     assert _leaks(spark, docs, items) == {(1, 1), (2, 2), (3, 3), (11, 1), (12, 2)}
 
 
+def test_short_items_match_whole_documents(spark):
+    items = [(1, "Yes"), (2, "42 apples"), (3, "Red, green, blue"), (4, "")]
+    docs = [(1, "yes!"), (2, "42 apples."), (3, "43 apples"), (4, "red green\nblue"), (5, "yes we saw red green blue and 42 apples"), (6, "")]
+    assert _leaks(spark, docs, items) == {(1, 1), (2, 2), (4, 3)}
+
+
 def test_copies_wrapped_elsewhere_or_with_other_names_are_found(spark):
     item = "On the way home from work the nurse Clara counts 14 red cars and 9 blue cars"
     other = "Clara has 14 apples and eats 3 of them. Clara sells the rest at 2 dollars each"
