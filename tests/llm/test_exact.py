@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from thalweg.llm import chat, decontam, line_dedup, near_dup, quality, queries, secrets, token_counts, token_files, toxicity
+from thalweg.llm import decontam, line_dedup, near_dup, quality, queries, secrets, token_counts, token_files, toxicity
 from thalweg.llm.common import Scratch
 
 SF = "/root/testdata/sf0.01"
@@ -43,16 +43,26 @@ def test_sql(spark, name):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
-def test_mixing_nears_targets(spark):
-    got = queries.op1_mix_sources(spark, "/root/testdata/sf0.1").toPandas()
-    again = queries.op1_mix_sources(spark, "/root/testdata/sf0.1").toPandas()
-    assert got.sort_values("doc_id").equals(again.sort_values("doc_id").reset_index(drop=True)) or (got.sort_values("doc_id").to_numpy() == again.sort_values("doc_id").to_numpy()).all()
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mixing_nears_targets(spark, sf):
+    got = queries.op1_mix_sources(spark, f"/root/testdata/{sf}").toPandas().sort_values("doc_id")
+    again = queries.op1_mix_sources(spark, f"/root/testdata/{sf}").toPandas().sort_values("doc_id")
+    assert (got.to_numpy() == again.to_numpy()).all()
     assert (got.taken <= 3 * got["size"]).all()
-    per = got.groupby("source_size").agg(target=("target", "first"), taken=("taken", "sum"))
-    assert (abs(per.taken - per.target) <= 0.06 * per.target).all()  # a source here has 500 documents, some of 5,000 words
+    per = got.groupby("source_size").agg(target=("target", "first"), taken=("taken", "sum"), largest=("size", "max"))
+    off = abs(per.taken - per.target)
+    assert ((off <= 0.03 * per.target) | (off <= per.largest / 2)).all()  # a document is taken or not
     assert abs(per.target.sum() - got["size"].sum()) < 1
 
 
+def test_mixing_keeps_odd_sources_apart(spark):
+    from thalweg.llm import mixing
+
+    rows = [(i, "a b c", [None, "", "\x00null", "null"][i % 4]) for i in range(40)]
+    got = mixing.mix_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("source", "__mix_total").distinct().collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(s, 30) for s in (None, "", "\x00null", "null")], key=str)
+
+
 def base_spans(text):
     out = []
     for kind, (pattern, group, least) in enumerate(((secrets.ASSIGN, 1, 12), (secrets.ACCESS, 0, 18), (secrets.HEX, 0, 16))):
@@ -292,15 +302,37 @@ def test_quality(spark, texts):
         assert r.base_failed == (len(w) < 20 or 100 * repeat > 30 * len(w)) and (not r.base_failed or not r.kept)
 
 
+def test_quality_coverage(spark):
+    """Characters inside repeated n-grams and lines, and the verdict, by counting."""
+    rng = random.Random(5)
+    lines = [" ".join(rng.choices("one two three four five six seven eight nine ten élan #### $".split(), k=rng.randint(1, 14))) for _ in range(30)]
+    cases = ["\n".join(rng.choices(lines, k=rng.randint(0, 40))) for _ in range(60)] + ["", "a b c", "\n".join(f"word{i} other{i} third{i} and{i}" for i in range(40)), "same line here\n" * 30, "# $ % & " * 20]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    kept = 0
+    for r in quality.quality_rules(df).collect():
+        text, w = cases[r.doc_id], words(cases[r.doc_id])
+        chars, ok = sum(map(len, w)), not r.base_failed
+        for n, limit in quality.NGRAM_LIMITS.items():
+            grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+            want = sum(len(w[i]) for i in {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(n)})
+            assert r[f"dup_chars_{n}"] == want, (r.doc_id, n)
+            ok &= want <= limit * chars
+        seen, dup = set(), 0
+        for line in text.split("\n"):
+            if line in seen and words(line):
+                dup += sum(map(len, words(line)))
+            seen.add(line)
+        assert r.dup_line_chars == dup
+        assert r.kept == (ok and dup <= quality.LINE_LIMIT * chars and sum(text.count(c) for c in quality.SYMBOLS) <= quality.SYMBOL_LIMIT * len(w))
+        kept += r.kept
+    assert 0 < kept < len(cases)
+
+
 def test_line_clean():
     assert line_dedup.clean("a\n B \nb", {"b"}) == ("a", 2)
     assert line_dedup.line_keys(None) == [""]
 
 
-def test_chat_markers():
-    assert chat.START != chat.END
-
-
 def plain_grams(text):
     words_ = re.findall(r"[^\W_]+", text.lower())
     return [("     " + w + " ")[i : i + 6] for w in words_ for i in range(len(w) + 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,14 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables written under the shared folder that `spark.checkpoint.dir` names.
 
-    They cut lineage and outlive executors. Where the setting is missing (tests on one machine) a
-    temporary folder stands in for it.
+    They cut lineage and outlive executors. Where the setting is missing, a temporary folder stands in for it
+    on a local master; on a cluster, whose executors would not see one another's, that is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="thalweg-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -3,7 +3,8 @@
 A source's target is its share of all words; every document of the source expects
 target / source_size copies. Within a source the expected copies are prefix-summed over an order by size,
 one offset is added, and a document is emitted once for each integer boundary its interval crosses.
-The order by size keeps the words taken near the target. Ranks come in two levels (inside leaves of a size
+The order by size keeps the words taken near the target, and of OFFSETS seeded offsets a source takes the one
+whose words come nearest to it (ties: the first). Ranks come in two levels (inside leaves of a size
 class and a bucket of ids, then over the leaves' counts), so that no task sorts a whole source.
 
 Defined results: a null or empty text has size 0; null sources form one source, ordered last; a source of
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD
 
-SEED = 17
+SEED, OFFSETS = 17, 16
 
 
 def word_count(text: str = "text") -> Column:
@@ -35,7 +36,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
     The windows here run over one row per source, the parts of the mix.
     """
     total = sizes.groupBy(F.col("__mix_source").alias("__mix_of")).agg(F.sum("__mix_size").alias("__mix_total"))
-    rank = F.row_number().over(Window.orderBy(F.col("__mix_of").asc_nulls_last()))
+    rank = F.row_number().over(Window.orderBy(F.col("__mix_of") == "", "__mix_of"))
     weight = F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int")).cast("long")
     scale = reduce(lcm, weights)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -55,7 +56,7 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     """The rows of docs with __mix_size, __mix_total, __mix_target and __mix_copies."""
     size = word_count() if size is None else size
     tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
-    rows = docs.withColumns({"__mix_size": size, "__mix_source": F.col("source").cast("string"), "__mix_id": F.col("doc_id").cast("long"), "__mix_tie": tie})
+    rows = docs.withColumns({"__mix_size": size, "__mix_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "__mix_id": F.col("doc_id").cast("long"), "__mix_tie": tie})
     n = docs.count()
     buckets = max(1, -int(-(n**0.5) // 16))
     text = F.bin("__mix_size")
@@ -66,18 +67,23 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     counts = sizes.withColumns(leaf).groupBy(*keys).agg(F.count("*").alias("__mix_n"))
     earlier = Window.partitionBy("__mix_source").orderBy(*leaf).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("__mix_base", F.coalesce(F.sum("__mix_n").over(earlier), F.lit(0))).drop("__mix_n")
-    null = F.lit("\x00null")  # sources join as strings that are never null
-    bases = bases.withColumn("__mix_source", F.coalesce("__mix_source", null))
-    targets = targets.withColumn("__mix_of", F.coalesce("__mix_of", null))
-    rows = rows.withColumns(leaf).withColumn("__mix_source", F.coalesce("__mix_source", null))
+    offset = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{k}:"), "__mix_of").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    targets = targets.withColumn("__mix_offsets", F.array(*map(offset, range(OFFSETS))))
+    rows = rows.withColumns(leaf)
     inner = Window.partitionBy(*keys).orderBy("__mix_size", F.col("__mix_id").asc_nulls_last(), "__mix_tie")
     ranked = rows.withColumn("__mix_rank", F.row_number().over(inner).cast("long"))
     ranked = ranked.join(bases, keys).join(targets, F.col("__mix_source") == F.col("__mix_of"))
     each = F.when(F.col("__mix_total") > 0, F.col("__mix_target") / F.col("__mix_total")).otherwise(F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "__mix_source").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     at = F.col("__mix_base") + F.col("__mix_rank")
-    copies = (F.floor(each * at + offset) - F.floor(each * (at - 1) + offset)).cast("long")
-    return ranked.withColumn("__mix_copies", F.when(F.col("__mix_size") > 0, copies).otherwise(F.lit(0))).drop(*leaf, "__mix_source", "__mix_of", "__mix_base", "__mix_rank", "__mix_tie", "__mix_id")
+
+    def copies(offset: Column) -> Column:
+        return F.when(F.col("__mix_size") > 0, (F.floor(each * at + offset) - F.floor(each * (at - 1) + offset)).cast("long")).otherwise(F.lit(0))
+
+    # The words that each offset would take, in one aggregate over sources.
+    taken = [F.abs(F.sum(copies(F.get("__mix_offsets", F.lit(k))) * F.col("__mix_size")) - F.first("__mix_target")) for k in range(OFFSETS)]
+    best = ranked.groupBy(F.col("__mix_of").alias("__mix_best_of")).agg(F.array_min(F.array(*(F.struct(x.alias("off"), F.lit(k).alias("k")) for k, x in enumerate(taken))))["k"].alias("__mix_k"))
+    chosen = ranked.join(best, F.col("__mix_of") == F.col("__mix_best_of")).withColumn("__mix_copies", copies(F.get("__mix_offsets", F.col("__mix_k"))))
+    return chosen.drop(*leaf, "__mix_source", "__mix_of", "__mix_best_of", "__mix_k", "__mix_offsets", "__mix_base", "__mix_rank", "__mix_tie", "__mix_id")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = SEED) -> DataFrame:
@@ -102,11 +108,16 @@ WITH d AS (
     (w * (sum(total) OVER () - sum(CASE WHEN stops THEN fu ELSE 0 END) OVER ()))::DOUBLE / (sum(CASE WHEN stops THEN 0 ELSE w END) OVER ())::DOUBLE END AS target FROM st
 ), k AS (
   SELECT d.*, t.total, t.target, CASE WHEN t.total > 0 THEN t.target / t.total ELSE 0 END AS e,
-    ('0x' || substr(md5('17:' || coalesce(d.source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
     row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)), substr(bin(size), 1, 4),
       coalesce(doc_id, size) % greatest(1, ceil(sqrt((SELECT count(*) FROM d)) / 16))::BIGINT, size, doc_id NULLS LAST) AS rn
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), o AS (
+  SELECT source, j, ('0x' || substr(md5('17:' || j || ':' || coalesce('=' || source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM s, range(16) x(j)
+), c AS (
+  SELECT o.source, o.u, row_number() OVER (PARTITION BY o.source ORDER BY abs(sum(CASE WHEN size > 0 THEN (floor(e * rn + u) - floor(e * (rn - 1) + u))::BIGINT ELSE 0 END * size) - first(target)), j) AS best
+  FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source GROUP BY o.source, o.j, o.u
 )
 SELECT doc_id, size, total AS source_size, target,
-  CASE WHEN size > 0 THEN (floor(e * rn + u) - floor(e * (rn - 1) + u))::BIGINT ELSE 0 END * size AS taken FROM k
+  CASE WHEN size > 0 THEN (floor(e * rn + u) - floor(e * (rn - 1) + u))::BIGINT ELSE 0 END * size AS taken
+FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source AND c.best = 1
 """
