@@ -149,4 +149,13 @@ _q("knick_points", lambda v: knick_points(to_lines(v.withColumn("z", F.lit(1000.
 _q("maximum_on_shortest_path", lambda k: maximum_on_shortest_path(k.withColumn("cost", F.expr("fid % 61")), k.where("nodea % 500 = 3").select(F.col("nodea").alias("node"))), None, "links")
 _q("aggregate_features", lambda v: aggregate_features(v.selectExpr("fid axis", "pos fid", "pos ord", "y metric")).select("axis", "fid", "ago"), None, "verts")
 _q("aggregate_features_dissolve", lambda v: aggregate_features(v.selectExpr("fid axis", "pos fid", "pos ord", "y metric"), True), None, "verts")
-_q("planform_bends", bends, None, "verts")
+#: Bends of the vertices of a table b0 (fid, pos, x, y).
+BENDS_SQL = """, b1 AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM b0 WINDOW w AS (PARTITION BY fid ORDER BY pos)),
+ b2 AS (SELECT *, nullif(sign((x - px) * (ny - y) - (y - py) * (nx - x)), 0) AS t0 FROM b1), b3 AS (SELECT *, last_value(t0 IGNORE NULLS) OVER (PARTITION BY fid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn FROM b2),
+ b4 AS (SELECT *, CASE WHEN turn <> lag(turn) OVER (PARTITION BY fid ORDER BY pos) THEN 1 ELSE 0 END AS change FROM b3), b5 AS (SELECT *, sum(change) OVER (PARTITION BY fid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bend FROM b4),
+ b6 AS (SELECT *, CASE WHEN lag(bend) OVER (PARTITION BY fid ORDER BY pos) = bend THEN sqrt((x - px) * (x - px) + (y - py) * (y - py)) ELSE 0 END AS step FROM b5),
+ b7 AS (SELECT fid, bend, arg_min(x, pos) AS ax, arg_min(y, pos) AS ay, arg_max(x, pos) AS bx, arg_max(y, pos) AS by_, count(*) AS n, sum(step) AS length FROM b6 GROUP BY 1, 2), b8 AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS chord FROM b7)
+ SELECT b8.fid, CAST(b8.bend AS BIGINT) AS bend, n, round(length, 5) AS length, round(chord * 2, 5) AS wave, round(CASE WHEN chord > 0 THEN length / chord END, 5) AS sinuosity,
+ round(max(CASE WHEN chord > 0 THEN abs((b6.x - ax) * (by_ - ay) - (b6.y - ay) * (bx - ax)) / chord ELSE sqrt((b6.x - ax) * (b6.x - ax) + (b6.y - ay) * (b6.y - ay)) END), 5) AS amplitude
+ FROM b8 JOIN b6 ON b6.fid = b8.fid AND b6.bend = b8.bend GROUP BY b8.fid, b8.bend, n, length, chord"""
+_q("planform_bends", bends, ", b0 AS (SELECT fid, pos, x, y FROM verts)" + BENDS_SQL, "verts")

@@ -489,10 +489,22 @@ _CYC = """, u AS (SELECT nodea AS low, nodeb AS node FROM links_cycle WHERE fid
  SELECT * FROM links_cycle WHERE (fid < 10000000 AND (nodea, nodeb) IN (SELECT node, CAST(floor(node / 2) AS BIGINT) FROM u WHERE node > low)) OR fid >= 10000000"""
 _q("select_graph_cycle", select_graph_cycle, _CYC, "links_cycle", recursive=True)
 QUERIES["fix_network_cycles"] = lambda spark, sf_dir: fix_network_cycles(load(spark, sf_dir, "links_cycle"))
-_q("strahler_order", lambda k: strahler_order(k), None, "links")
+_STRAHLER = """, n AS (SELECT fid, nodea AS k, length(bin(nodea)) AS lvl FROM links), t AS (SELECT max(lvl) AS top FROM n),
+ s AS (SELECT k, lvl, 1 AS o FROM n, t WHERE lvl = top UNION ALL
+ SELECT p.k, p.lvl, CASE WHEN max(c.o) IS NULL THEN 1 WHEN count(c.o) = 2 AND max(c.o) = min(c.o) THEN max(c.o) + 1 ELSE max(c.o) END FROM n p JOIN (SELECT DISTINCT lvl AS done FROM s) d ON p.lvl = d.done - 1 LEFT JOIN s c ON c.k // 2 = p.k GROUP BY p.k, p.lvl)
+ SELECT l.*, s.o AS strahler FROM links l JOIN s ON s.k = l.nodea"""
+_q("strahler_order", lambda k: strahler_order(k), _STRAHLER, "links", recursive=True)
 _q("total_upstream_channel_length", lambda k: _rounded(total_upstream_channel_length(k), "tucl", digits=6), """, a AS (SELECT nodea AS node, nodeb AS above_of, length FROM links UNION ALL SELECT a.node, CAST(floor(a.above_of / 2) AS BIGINT), a.length FROM a WHERE a.above_of > 0),
  s AS (SELECT above_of AS node, sum(length) AS total FROM a GROUP BY 1) SELECT l.*, round((coalesce(s.total, 0) + l.length) * 0.001, 6) AS tucl FROM links l LEFT JOIN s ON s.node = l.nodea""", "links", recursive=True)
-_q("hack_order", lambda k: _rounded(hack_order(k), "laxis"), None, "links")
+_HACK = """, w AS (SELECT nodea AS k, nodea AS below FROM links UNION ALL SELECT k, below // 2 FROM w WHERE below > 1),
+ da AS (SELECT w.k, sum(l.length) AS da FROM w JOIN links l ON l.nodea = w.below GROUP BY w.k), leaf AS (SELECT k, da FROM da WHERE k NOT IN (SELECT nodeb FROM links)),
+ reach AS (SELECT w.below AS k, max(leaf.da) AS reach FROM w JOIN leaf ON leaf.k = w.k GROUP BY w.below),
+ r AS (SELECT l.fid, l.nodea, l.nodeb, l.length, row_number() OVER (PARTITION BY l.nodeb ORDER BY reach.reach DESC, l.fid) = 1 AS main FROM links l JOIN reach ON reach.k = l.nodea),
+ x AS (SELECT nodea, nodeb, main, fid AS axis FROM r WHERE nodea IN (SELECT k FROM leaf) UNION ALL SELECT r.nodea, r.nodeb, r.main, x.axis FROM x JOIN r ON r.nodea = x.nodeb WHERE x.main),
+ h AS (SELECT x.nodea, x.axis, 1 AS hack FROM x WHERE x.nodeb = 0 UNION ALL SELECT x.nodea, x.axis, h.hack + CASE WHEN x.axis = h.axis THEN 0 ELSE 1 END FROM h JOIN x ON x.nodeb = h.nodea),
+ la AS (SELECT x.axis, sum(r.length) AS laxis FROM x JOIN r ON r.nodea = x.nodea GROUP BY x.axis)
+ SELECT l.*, x.axis, h.hack, round(la.laxis, 6) AS laxis FROM links l JOIN x ON x.nodea = l.nodea JOIN h ON h.nodea = l.nodea JOIN la ON la.axis = x.axis"""
+_q("hack_order", lambda k: _rounded(hack_order(k), "laxis"), _HACK, "links", recursive=True)
 _q("merge_short_links", lambda k: merge_short_links(hack_order(k), 500.0).select("fid", "axis", "ugo"), None, "links")
 _q("fix_network_connectivity", lambda k: fix_network_connectivity(k, k.where("fid >= 10000000 or fid < 3000 and fid % 5 <> 1")), None, "links_dag")
 _q("identify_network_nodes", lambda k: identify_network_nodes(k)[0].select("fid", "nodea", "nodeb"), """, e AS (SELECT fid, 0 AS e, ax AS x, ay AS y FROM lines UNION ALL SELECT fid, 1, bx, by_ FROM lines), f AS (SELECT x, y, min(fid * 2 + e) AS seen FROM e GROUP BY x, y),

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import grid
 from ..functions.geometry import cross
-from ..plans.iterate import jump
+from ..plans.iterate import cut, jump
 from ..plans.spatial_join import nearest
 from ..sources.derived import load, sql
-from .terrain import watershed
+from .terrain import flow_accumulation, watershed
 from .vector import _NEAR
 
 
@@ -83,10 +83,10 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
-def _q(name: str, make, oracle: str | None, *inputs: str) -> None:
+def _q(name: str, make, oracle: str | None, *inputs: str, recursive: bool = False) -> None:
     QUERIES[name] = lambda spark, sf_dir: _round(make(*(load(spark, sf_dir, i) for i in inputs)))
     if oracle:
-        SQL[name] = sql(oracle, *inputs)
+        SQL[name] = sql(oracle, *inputs, recursive=recursive)
 
 
 _ref = lambda s: s.withColumnRenamed("fid", "seg")
@@ -97,4 +97,15 @@ _q("axis_transform", lambda v, s: axis_transform(v, _ref(s)), None, "verts", "se
 _q("locate_polygon_along_network", lambda q, s: locate_polygon_along_network(q.selectExpr("fid", "cx x", "cy y", "cx - rx minx", "cy - ry miny", "cx + rx maxx", "cy + ry maxy"), _ref(s)), """, e AS (SELECT fid AS seg, ax AS vx, ay AS vy, * EXCLUDE (fid) FROM segs UNION ALL SELECT fid, bx, by_, * EXCLUDE (fid) FROM segs),
  i AS (SELECT q.fid, cx, cy, e.*, row_number() OVER (PARTITION BY q.fid ORDER BY hack, sqrt((vx - cx) * (vx - cx) + (vy - cy) * (vy - cy)), seg) AS rn FROM quads q JOIN e ON vx BETWEEN cx - rx AND cx + rx AND vy BETWEEN cy - ry AND cy + ry)
  SELECT fid, seg AS axis, round(am + (bm - am) * greatest(0, least(1, ((cx - ax) * (bx - ax) + (cy - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))), 5) AS locm FROM i WHERE rn = 1""", "quads", "segs")
-_q("sub_grid_map", lambda f: sub_grid_map(f.where("(row * 50 + col) % 37 = 5").selectExpr("bigint(row * 1000 + col) pk", "row", "col"), f), None, "flow")
+_SUB = """, g AS (SELECT *, row + CASE WHEN d8 IN (8, 16) THEN 1 ELSE 0 END AS nr, col + CASE WHEN d8 IN (4, 8) THEN 1 ELSE 0 END AS nc FROM flow),
+ st AS (SELECT g.row, g.col, CASE WHEN g.d8 > 0 AND t.d8 >= 0 THEN t.row END AS nr, CASE WHEN g.d8 > 0 AND t.d8 >= 0 THEN t.col END AS nc FROM g LEFT JOIN flow t ON t.row = g.nr AND t.col = g.nc),
+ t AS (SELECT row, col, CASE WHEN (row * 50 + col) % 37 = 5 THEN row * 1000 + col ELSE 0 END AS v FROM flow), w AS (SELECT row, col, v FROM t WHERE v > 0 UNION ALL SELECT st.row, st.col, w.v FROM w JOIN st ON st.nr = w.row AND st.nc = w.col JOIN t ON t.row = st.row AND t.col = st.col WHERE t.v = 0)
+ SELECT t.row, t.col, CAST(coalesce(w.v, 0) AS BIGINT) AS value FROM t LEFT JOIN w ON w.row = t.row AND w.col = t.col"""
+_q("sub_grid_map", lambda f: sub_grid_map(f.where("(row * 50 + col) % 37 = 5").selectExpr("bigint(row * 1000 + col) pk", "row", "col"), f), _SUB, "flow", recursive=True)
+_ZONES = lambda f: f.selectExpr("row", "col", "int(floor(row / 8)) * 100 + int(floor(col / 10)) + 1 value")
+_TOPO = _SUB[: _SUB.index(" t AS (")] + """ wk AS (SELECT row, col, row AS r, col AS c FROM flow WHERE d8 >= 0 UNION ALL SELECT wk.row, wk.col, st.nr, st.nc FROM wk JOIN st ON st.row = wk.r AND st.col = wk.c WHERE st.nr IS NOT NULL),
+ a AS (SELECT r AS row, c AS col, count(*) AS acc FROM wk GROUP BY 1, 2), z AS (SELECT f.row, f.col, CAST(floor(f.row / 8) * 100 + floor(f.col / 10) + 1 AS INT) AS zone, CAST(coalesce(a.acc, 0) AS DOUBLE) AS acc FROM flow f LEFT JOIN a ON a.row = f.row AND a.col = f.col),
+ ou AS (SELECT zone, row, col, acc FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY acc DESC, row, col) AS rn FROM z) WHERE rn = 1),
+ d AS (SELECT ou.zone, st.nr AS r, st.nc AS c FROM ou JOIN st ON st.row = ou.row AND st.col = ou.col WHERE st.nr IS NOT NULL UNION ALL SELECT d.zone, st.nr, st.nc FROM d JOIN st ON st.row = d.r AND st.col = d.c WHERE st.nr IS NOT NULL AND (d.r, d.c) NOT IN (SELECT row, col FROM ou))
+ SELECT ou.zone, ou.row, ou.col, ou.acc AS drainage, q.link FROM ou LEFT JOIN (SELECT d.zone, o2.zone AS link FROM d JOIN ou o2 ON o2.row = d.r AND o2.col = d.c) q ON q.zone = ou.zone"""
+_q("sub_grid_topography", lambda f: sub_grid_topography(_ZONES(f), cut(flow_accumulation(f)), f), _TOPO, "flow", recursive=True)

@@ -97,13 +97,19 @@ def _q(name: str, make, oracle: str | None, *inputs: str) -> None:
 
 
 _lines = lambda s: s.selectExpr("fid", "fid * 7 % 40 + 0.3D ax", "fid * 11 % 40 + 0.6D ay", "fid * 13 % 40 + 0.4D bx", "fid * 17 % 40 + 0.1D by_")
-_q("smooth_lines", lambda v: vector.to_vertices(smooth(vector.to_lines(v))).select("fid", "pos", "x", "y"), None, "verts")
-_q("densify_lines", lambda v: vector.to_vertices(densify(vector.to_lines(v), 4.0)).select("fid", "pos", "x", "y"), None, "verts")
+_PAIRS = ", e AS (SELECT fid, pos, x, y, lead(x) OVER w AS bx, lead(y) OVER w AS by_, count(*) OVER (PARTITION BY fid) AS n FROM verts WINDOW w AS (PARTITION BY fid ORDER BY pos))"
+_SMOOTH = _PAIRS + """, q AS (SELECT fid, pos * 2 AS k, x + (bx - x) * 25e-2 AS x, y + (by_ - y) * 25e-2 AS y FROM e WHERE bx IS NOT NULL AND n > 2 AND pos > 1 UNION ALL SELECT fid, pos * 2 + 1, x + (bx - x) * 75e-2, y + (by_ - y) * 75e-2 FROM e WHERE bx IS NOT NULL AND n > 2 AND pos < n - 1
+ UNION ALL SELECT fid, pos * 2, x, y FROM e WHERE n <= 2 OR pos = 1 OR pos = n), m AS (SELECT fid, CAST(row_number() OVER (PARTITION BY fid ORDER BY k) AS INT) AS pos, x, y FROM q)"""
+_q("smooth_lines", lambda v: vector.to_vertices(smooth(vector.to_lines(v))).select("fid", "pos", "x", "y"), _SMOOTH + " SELECT fid, pos, round(x, 4) AS x, round(y, 4) AS y FROM m", "verts")
+QUERIES["densify_lines"] = lambda spark, sf_dir: _round(vector.to_vertices(densify(vector.to_lines(load(spark, sf_dir, "verts")), 4.0)).select("fid", "pos", "x", "y"), 8)
+SQL["densify_lines"] = sql(_PAIRS + """, d AS (SELECT *, CASE WHEN bx IS NULL THEN 1 ELSE greatest(1, CAST(ceil(sqrt((bx - x) * (bx - x) + (by_ - y) * (by_ - y)) / 4) AS BIGINT)) END AS parts FROM e), u AS (SELECT *, unnest(generate_series(0, parts - 1)) AS i FROM d)
+ SELECT fid, CAST(row_number() OVER (PARTITION BY fid ORDER BY pos, i) AS INT) AS pos, round(CASE WHEN bx IS NULL THEN x ELSE x + (bx - x) * (i / parts) END, 8) AS x, round(CASE WHEN bx IS NULL THEN y ELSE y + (by_ - y) * (i / parts) END, 8) AS y FROM u""", "verts")
 _q("disaggregate_network", lambda v: disaggregate_network(vector.to_lines(v), v.selectExpr("pos + fid * 100000L fid", "fid axis", "x + 3 x", "y + 2 y"), 100.0), None, "verts")
 _q("valley_bottom", lambda d: valley_bottom(terrain.relative_dem(d, d.where(terrain._ON).select("row", "col")), -60, 60), None, "dem")
 _q("sequencing", lambda s, d: sequencing(_lines(s), d), None, "segs", "dem")
 _q("elevation_and_slope", lambda s, d: elevation_and_slope(_lines(s), d), """, l AS (SELECT fid, fid * 7 % 40 + 3e-1 AS ax, fid * 11 % 40 + 6e-1 AS ay, fid * 13 % 40 + 4e-1 AS bx, fid * 17 % 40 + 1e-1 AS by_ FROM segs)
  SELECT l.fid, a.value AS z_begin, b.value AS z_end, round((a.value - b.value) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 4) AS slope FROM l LEFT JOIN dem a ON a.row = floor(ay) AND a.col = floor(ax) LEFT JOIN dem b ON b.row = floor(by_) AND b.col = floor(bx)""", "segs", "dem")
-_q("morphometry", morphometry, None, "verts")
+_q("morphometry", morphometry, _SMOOTH + ", b0 AS (SELECT * FROM m)" + metrics.BENDS_SQL.replace(", 5)", ", 4)"), "verts")
 _q("width_by_station", lambda p, s: width_by_station(p, s.withColumnRenamed("fid", "seg")), vector._NEAR + " SELECT seg, count(*) AS n, round(avg(dist) * 2, 4) AS width FROM n GROUP BY seg", "points", "segs")
-_q("segmentation", lambda v: segmentation(vector.to_lines(v), 250.0), None, "verts")
+QUERIES["segmentation"] = lambda spark, sf_dir: _round(segmentation(vector.to_lines(load(spark, sf_dir, "verts")), 250.0))
+SQL["segmentation"] = vector.SQL["segmentize"].replace("300", "250")

@@ -329,12 +329,21 @@ _segs = lambda s: s.selectExpr("fid", "int(fid * 7 % 40) r0", "int(fid * 11 % 50
 _q("distance_to_stream", lambda d, s: distance_to_stream(d, _segs(s)), _RAST + " SELECT d.row, d.col, CASE WHEN d.value IS NOT NULL THEN round(min(sqrt((d.row - c.row) * (d.row - c.row) + (d.col - c.col) * (d.col - c.col))), 6) END AS value FROM dem d, c GROUP BY d.row, d.col, d.value", "dem", "segs")
 _q("stream_to_raster_id", lambda d, s: stream_to_raster(d, _segs(s)), _RAST + " SELECT d.row, d.col, CAST(coalesce(c.fid, 0) AS DOUBLE) AS value FROM dem d LEFT JOIN c ON c.row = d.row AND c.col = d.col", "dem", "segs")
 _q("stream_to_raster_template", lambda d, s: stream_to_raster(d, _segs(s), "template", -1.0), _RAST + " SELECT d.row, d.col, CASE WHEN c.fid IS NOT NULL THEN d.value ELSE -1 END AS value FROM dem d LEFT JOIN c ON c.row = d.row AND c.col = d.col", "dem", "segs")
-_q("shortest_distance", lambda d: shortest_distance(d, _stream(d)), None, "dem")
-_q("shortest_distance_reference", lambda d: shortest_reference(d.withColumn("value", F.when(F.expr(_ON), F.col("value")).otherwise(-99999.0))), None, "dem")
-_q("hand_in_same_watershed", lambda d, f: hand_in_watershed(d, _stream(d), watershed(_target(f), f)), None, "dem", "flow")
+# Chamfer distances by rounds of all cells; cells are near their origins on these grids.
+_SPREAD = """, s AS (SELECT 0 AS k, row, col, [0e0, {v}] AS b FROM {cells} WHERE {start} UNION ALL
+ SELECT k + 1, row, col, min(b) FROM (SELECT k, row, col, b FROM s UNION ALL SELECT s.k, t.row, t.col, [round(s.b[1] + CASE WHEN o.k % 2 = 1 THEN sqrt(2) ELSE 1 END, 9), s.b[2]] FROM s, o, {cells} t WHERE t.row = s.row + dr AND t.col = s.col + dc{same}) WHERE k < 25 GROUP BY k, row, col), f AS (SELECT row, col, b FROM s WHERE k = 25)"""
+_KNOWN = ", c AS (SELECT * FROM dem WHERE value IS NOT NULL)"
+_q("shortest_distance", lambda d: shortest_distance(d, _stream(d)), _KS + _KNOWN + _SPREAD.format(cells="c", v="0e0", start=_ON, same="") + " SELECT d.row, d.col, round(f.b[1], 6) AS value FROM dem d LEFT JOIN f ON f.row = d.row AND f.col = d.col", "dem", recursive=True)
+_q("shortest_distance_reference", lambda d: shortest_reference(d.withColumn("value", F.when(F.expr(_ON), F.col("value")).otherwise(-99999.0))), _KS + f", c AS (SELECT row, col, CASE WHEN {_ON} THEN value ELSE -99999e0 END AS value FROM dem), c2 AS (SELECT * FROM c WHERE value IS NOT NULL)" + _SPREAD.format(cells="c2", v="value", start="value <> -99999", same="") + " SELECT c.row, c.col, CASE WHEN c.value IS NOT NULL THEN coalesce(f.b[2], c.value) END AS value, round(f.b[1], 6) AS dist FROM c LEFT JOIN f ON f.row = c.row AND f.col = c.col", "dem", recursive=True)
+_WS = _SHED.replace(" SELECT t.row, t.col, coalesce(w.v, 0) AS value FROM t LEFT JOIN w ON w.row = t.row AND w.col = t.col", ", ws AS (SELECT t.row, t.col, coalesce(w.v, 0) AS ws FROM t LEFT JOIN w ON w.row = t.row AND w.col = t.col), c AS (SELECT d.*, ws.ws FROM dem d JOIN ws ON ws.row = d.row AND ws.col = d.col WHERE d.value IS NOT NULL)")
+_q("hand_in_same_watershed", lambda d, f: hand_in_watershed(d, _stream(d), watershed(_target(f), f)), _WS + _KS.replace(", o AS", ", o AS") + _SPREAD.format(cells="c", v="value", start=_ON, same=" AND t.ws = s.ws").replace("s AS (SELECT 0 AS k, row, col,", "s AS (SELECT 0 AS k, row, col, ws,").replace("SELECT k + 1, row, col, min(b) FROM (SELECT k, row, col, b FROM s UNION ALL SELECT s.k, t.row, t.col,", "SELECT k + 1, row, col, ws, min(b) FROM (SELECT k, row, col, ws, b FROM s UNION ALL SELECT s.k, t.row, t.col, t.ws,").replace("GROUP BY k, row, col)", "GROUP BY k, row, col, ws)") + " SELECT d.row, d.col, round(d.value - f.b[2], 6) AS value FROM dem d LEFT JOIN f ON f.row = d.row AND f.col = d.col", "dem", "flow", recursive=True)
 _q("hand_combined", lambda d, f, s: hand_combined(d, _stream(d), watershed(_target(f), f), f, s.withColumn("value", F.col("value") % 5)), None, "dem", "flow", "dem2")
 _q("land_cover_continuity", lambda d: land_cover_continuity(d.withColumn("value", (F.col("value") % 3 + 1).cast("int")), _stream(d)), None, "dem")
-_q("fill_depressions", fill_depressions, None, "dem")
+_FILL = _KS + _KNOWN + """, p AS (SELECT a.row, a.col, b.row AS nr, b.col AS nc FROM c a, o, c b WHERE b.row = a.row + dr AND b.col = a.col + dc), i AS (SELECT row, col FROM p GROUP BY 1, 2 HAVING count(*) = 8),
+ s AS (SELECT 0 AS k, c.row, c.col, CASE WHEN i.row IS NULL THEN c.value ELSE 1e300 END AS w FROM c LEFT JOIN i ON i.row = c.row AND i.col = c.col UNION ALL
+ SELECT s.k + 1, s.row, s.col, CASE WHEN s.w = c.value THEN c.value ELSE greatest(c.value, least(s.w, min(coalesce(n.w, 1e300)))) END FROM s JOIN c ON c.row = s.row AND c.col = s.col LEFT JOIN p ON p.row = s.row AND p.col = s.col LEFT JOIN s n ON n.row = p.nr AND n.col = p.nc WHERE s.k < 100 GROUP BY s.k, s.row, s.col, s.w, c.value)
+ SELECT d.row, d.col, s.w AS value FROM dem d LEFT JOIN s ON s.row = d.row AND s.col = d.col AND s.k = 100"""
+_q("fill_depressions", fill_depressions, _FILL, "dem", recursive=True)
 _q("resolve_flats", lambda d: (lambda f: resolve_flats(f, flow_direction(f)))(cut(fill_depressions(d))), None, "dem")
 _q("stream_to_feature", lambda f: stream_to_feature(cut(flow_accumulation(f)), f, 5), None, "flow")
 _q("stream_flow_direction", lambda d: stream_flow_direction(d, d.selectExpr("row", "col", "case when col % 7 = 2 then int(col) when row % 9 = 4 then 100 + int(row) else 0 end value")), None, "dem")
