@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..plans.iterate import cut, some
 from ..plans.spatial_join import bucket, contains, nearest, within
 from ..sources.derived import load, sql
 
@@ -40,6 +41,31 @@ def extract_coordinates(lines: DataFrame) -> DataFrame:
     return lines.select("*", *(F.element_at("geom", 1)[k].alias(k) for k in "xyzm"))
 
 
+def simplify(verts: DataFrame, tolerance: float) -> DataFrame:
+    """The vertices (fid, pos, x, y) that Douglas and Peucker's rule keeps: a stretch is replaced by its chord if no vertex is farther than tolerance from it, else split at the farthest (ties: the first).
+
+    All stretches of all lines are split at once, so rounds are the depth of the splits; vertices of settled
+    stretches leave the state. Lines of two vertices or fewer stay.
+    """
+    verts = verts.select("fid", "pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    point = F.struct("pos", "x", "y")
+    ends = cut(verts.groupBy("fid").agg(F.min_by(point, "pos").alias("a"), F.max_by(point, "pos").alias("b")))
+    kept = ends.select("fid", F.explode(F.array_distinct(F.array("a", "b"))).alias("v")).select("fid", "v.*")
+    state = cut(verts.join(ends, "fid").where("pos > a.pos and pos < b.pos"))
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, F.least(F.greatest(((F.col("x") - F.col("a.x")) * dx + (F.col("y") - F.col("a.y")) * dy) / size, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    far = F.hypot(F.col("x") - F.col("a.x") - t * dx, F.col("y") - F.col("a.y") - t * dy)
+    while some(state):
+        top = state.withColumn("far", far).groupBy("fid", F.col("a.pos").alias("lo")).agg(F.max(F.struct("far", (-F.col("pos")).alias("first"), "pos", "x", "y")).alias("top")).where(F.col("top.far") > tolerance)
+        top = cut(top.select("fid", "lo", F.struct("top.pos", "top.x", "top.y").alias("mid")))
+        kept = kept.unionByName(top.select("fid", "mid.*"))
+        left = F.col("pos") < F.col("mid.pos")
+        split = state.withColumn("lo", F.col("a.pos")).join(top, ["fid", "lo"]).where("pos <> mid.pos")
+        state = cut(split.select("fid", "pos", "x", "y", F.when(left, F.col("a")).otherwise(F.col("mid")).alias("a"), F.when(left, F.col("mid")).otherwise(F.col("b")).alias("b")))
+    return kept
+
+
 def line_midpoints(lines: DataFrame) -> DataFrame:
     """(fid, x, y): the point at half of each line's length."""
     return lines.withColumn("p", g.at_distance(F.col("geom"), g.length(F.col("geom")) / 2)).select("fid", "p.x", "p.y")
@@ -293,10 +319,10 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
-def _q(name: str, make, oracle: str | None, *inputs: str) -> None:
+def _q(name: str, make, oracle: str | None, *inputs: str, recursive: bool = False) -> None:
     QUERIES[name] = lambda spark, sf_dir: _round(make(*(load(spark, sf_dir, i) for i in inputs)))
     if oracle:
-        SQL[name] = sql(oracle, *inputs)
+        SQL[name] = sql(oracle, *inputs, recursive=recursive)
 
 
 _CUM = ", c AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY fid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(len) OVER (PARTITION BY fid) AS total FROM (SELECT *, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS len FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM verts WINDOW w AS (PARTITION BY fid ORDER BY pos)))), s AS (SELECT * FROM c WHERE len IS NOT NULL)"
@@ -337,3 +363,9 @@ _q("cut_and_rotate_ring", lambda q, p: cut_and_rotate_ring(diamonds(q), p, 30.0)
 _q("voronoi_transects", lambda v: voronoi_transects(v.selectExpr("fid axis", "pos seq", "x", "y"), 20.0), """, p AS (SELECT fid AS axis, pos AS seq, (x + nx) / 2 AS ox, (y + ny) / 2 AS oy, atan2(ny - y, nx - x) AS a FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM verts WINDOW w AS (PARTITION BY fid ORDER BY pos)) WHERE nx IS NOT NULL)
  SELECT axis, seq, round(ox, 4) AS ox, round(oy, 4) AS oy, round(ox - sin(a) * 10, 4) AS ax, round(oy + cos(a) * 10, 4) AS ay, round(ox + sin(a) * 10, 4) AS bx, round(oy - cos(a) * 10, 4) AS by_ FROM p""", "verts")
 _q("reverse_lines", lambda v: to_vertices(to_lines(v).withColumn("geom", F.reverse("geom"))).select("fid", "pos", "x", "y"), " SELECT fid, CAST(count(*) OVER (PARTITION BY fid) - pos + 1 AS INT) AS pos, x, y FROM verts", "verts")
+_q("simplify_lines", lambda v: simplify(v, 60.0), """, r AS (SELECT fid, min(pos) AS lo, max(pos) AS hi FROM verts GROUP BY fid UNION ALL
+ SELECT f.fid, CASE WHEN side = 0 THEN lo ELSE mid END, CASE WHEN side = 0 THEN mid ELSE hi END FROM (SELECT fid, lo, hi, arg_max(pos, [far, -pos]) AS mid, max(far) AS far FROM
+ (SELECT w.*, sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by_ - ay), 2)) AS far FROM (SELECT r.fid, r.lo, r.hi, v.pos, v.x, v.y, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_,
+ greatest(0, least(1, ((v.x - a.x) * (b.x - a.x) + (v.y - a.y) * (b.y - a.y)) / (pow(b.x - a.x, 2) + pow(b.y - a.y, 2)))) AS t
+ FROM r JOIN verts a ON a.fid = r.fid AND a.pos = r.lo JOIN verts b ON b.fid = r.fid AND b.pos = r.hi JOIN verts v ON v.fid = r.fid AND v.pos > r.lo AND v.pos < r.hi) w) GROUP BY fid, lo, hi) f, (SELECT unnest([0, 1]) AS side) s WHERE far > 60)
+ SELECT v.fid, v.pos, round(v.x, 4) AS x, round(v.y, 4) AS y FROM verts v JOIN (SELECT fid, lo AS pos FROM r UNION SELECT fid, hi FROM r) k ON k.fid = v.fid AND k.pos = v.pos""", "verts", recursive=True)
