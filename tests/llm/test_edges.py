@@ -86,7 +86,7 @@ def test_chat_edges(spark):
         [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "?"), (None, 3, "ann", "lost"), (2, 0, "system", "alone")],
         "conv_id long, turn int, role string, text string",
     )
-    got = {(r.conv_id, r.perspective): r for r in chat.rotate_perspectives(turns.selectExpr("*", "text as rendered", "role as perspective", "1 as chunk")).collect()}
+    got = {(r.conv_id, r.perspective): r for r in chat.rotate_perspectives(turns.selectExpr("*", "text as rendered", "role as perspective", "1 as piece")).collect()}
     assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
     ann = got[(1, "ann")]
     assert ann.n_turns == 5 and ann.n_trained == 1
@@ -95,5 +95,11 @@ def test_chat_edges(spark):
     assert "<|start|>system\nbe kind<|end|>\n" in ann.text and "user name=bob\n" in ann.text
     assert chat.rotate_perspectives(turns.limit(0)).count() == 0
     many = spark.range(3000).selectExpr("7L conv_id", "int(id) turn", "case when id % 2 = 0 then 'ann' else 'bob' end role", "string(id) text")
-    chunks = chat.rotate_perspectives(many).where("perspective = 'bob'").orderBy("chunk").collect()
-    assert [c.n_turns for c in chunks] == [1024, 1024, 952]
+    many = many.union(spark.range(2500).selectExpr("7L conv_id", "int(null) turn", "'eve' role", "'<|end|>' || string(id) text"))
+    every = chat.rotate_perspectives(many).where("perspective = 'bob'").orderBy("piece").collect()
+    assert [c.piece for c in every] == list(range(len(every))) and max(c.n_turns for c in every) <= 1024 and sum(c.n_turns for c in every) == 5500
+    whole = "".join(c.text for c in every)
+    said = [whole[int(a) : int(b)] for c in every if c.mask for a, b in (m.split(":") for m in c.mask.split(","))]
+    assert said == [f"{i}<|end|>" for i in range(1, 3000, 2)] and whole.count("<|end|>") == 5500
+    one = chat.rotate_perspectives(many, 10_000).where("perspective = 'bob'").collect()
+    assert [c.text for c in one] == [whole]

@@ -1,8 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 A word is a run of letters and digits, in lower case; an expression is a word or a part of one. (Contexts that
-reach into the word before were tried: they cost accuracy on small label sets, as the README shows.) Each
-class has a model of the next character after the five before it in the word, by absolute discounting of its counts (a document counts each of its words once):
+reach into the word before were tried and gained nothing, as the README shows.) Each class has a model of the
+next character after the five before it in the word, by absolute discounting of its counts (a document counts
+each of its words once):
 
     p_c(x | stuvw) = (max(n_c(stuvwx) - D, 0) + D * types_c(stuvw) * q(x | tuvw)) / n_c(stuvw)
 
@@ -26,8 +27,8 @@ The class counts use at most `max_labelled` labelled rows, picked by a hash of t
 that their ids can be broadcast); the shared counts use every document.
 
 Defined results: null and empty texts, and texts without letters or digits, have feature 0; letters from
-U+0400 on share codes; a word may be of any length; labels whose doc_id or toxic is null are ignored, and a doc_id labelled more than
-once is toxic if any label says so; a null doc_id is scored and is never held out; without labels of both
+U+0400 on share codes; a word may be of any length; labels whose doc_id or toxic is null are ignored, and a
+doc_id labelled more than once is toxic if any label says so; a null doc_id is scored and is never held out; without labels of both
 classes every score is 0; repeated rows get equal scores; columns other than doc_id, text and toxic are
 ignored, whatever their names; an empty table gives an empty result.
 """
