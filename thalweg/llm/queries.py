@@ -1,11 +1,11 @@
-"""Queries op1 to op10 over whole tables, and the SQL of those that SQL can express."""
+"""Queries op1 to op13 over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, mixing, near_dup, quality, secrets, token_counts, token_files, toxicity
+from . import chat, decontam, line_dedup, mixing, near_dup, prefix_trie, quality, secrets, token_counts, token_files, toxicity
 from .common import Scratch, table
 
 
@@ -60,12 +60,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "trie")
+    _, sequences = prefix_trie.encode(table(spark, sf_dir, "conversations"), scratch)
+    return prefix_trie.trie(prefix_trie.rebuild_with_shared_heads(sequences, scratch), scratch).drop("turn_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_secret_spans, op4_rotate_perspectives, op5_decontaminate, op6_token_files, op7_token_counts, op8_near_duplicates, op9_toxicity, op10_quality_rules, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_secret_spans, op4_rotate_perspectives, op5_decontaminate, op6_token_files, op7_token_counts, op8_near_duplicates, op9_toxicity, op10_quality_rules, op11_prefix_trie, pipeline)}
 
-SQL = {"op1_mix_sources": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op4_rotate_perspectives": chat.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op4_rotate_perspectives": chat.SQL, "op11_prefix_trie": prefix_trie.SQL}
