@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, mixing, near_dup, prefix_trie, quality, secrets, token_counts, token_files, toxicity
+from . import ann, chat, decontam, line_dedup, mixing, near_dup, prefix_trie, quality, secrets, token_counts, token_files, toxicity
 from .common import Scratch, table
 
 
@@ -66,12 +66,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuild_with_shared_heads(sequences, scratch), scratch).drop("turn_id")
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_secret_spans, op4_rotate_perspectives, op5_decontaminate, op6_token_files, op7_token_counts, op8_near_duplicates, op9_toxicity, op10_quality_rules, op11_prefix_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_secret_spans, op4_rotate_perspectives, op5_decontaminate, op6_token_files, op7_token_counts, op8_near_duplicates, op9_toxicity, op10_quality_rules, op11_prefix_trie, op12_nearest_neighbours, pipeline)}
 
-SQL = {"op1_mix_sources": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op4_rotate_perspectives": chat.SQL, "op11_prefix_trie": prefix_trie.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op4_rotate_perspectives": chat.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_nearest_neighbours": ann.SQL}
