@@ -113,7 +113,7 @@ def _descend(dtype: str, bits: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                who = np.flatnonzero(np.frombuffer(r["flags"], "u1"))
+                who = np.flatnonzero(np.frombuffer(r["flags"], "<i8"))
                 if not len(who):
                     continue
                 ids, x = np.frombuffer(r["ids"], "<i8"), scaled(np.frombuffer(r["vecs"], dtype).reshape(r["n"], -1))
@@ -189,8 +189,8 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, k: int = 5, trees: int
     queries = scratch.write(vectors.where("asks").select(F.col("vec_id").alias("query_id"), "vec").join(firsts, "vec").select("query_id", "query"), "queries")
     asking = queries.select("query").distinct()
     # A first copy stands for the queries among its copies.
-    flagged = kept.join(asking, kept.vec_id == asking["query"], "left").withColumn("flag", (F.col("query").isNotNull() & (F.col("place") == 1)).cast("tinyint"))
-    hashed = flagged.select("vec_id", "vec", "dim", "flag").mapInArrow(_hashed(dtype, trees, bits), "grp bigint, key binary, vec_id bigint, label bigint, flag tinyint, vec binary")
+    flagged = kept.join(asking, kept.vec_id == asking["query"], "left").withColumn("flag", (F.col("query").isNotNull() & (F.col("place") == 1)).cast("bigint"))
+    hashed = flagged.select("vec_id", "vec", "dim", "flag").mapInArrow(_hashed(dtype, trees, bits), "grp bigint, key binary, vec_id bigint, label bigint, flag bigint, vec binary")
     index, directory = key_blocks.pack(hashed, kept.count() * trees, scratch)
     found = scratch.write(index.mapInArrow(_descend(dtype, bits, k + 1), "query bigint, grp bigint, home bigint, key binary, ids array<bigint>, scores array<double>"), "descended")
     top = lambda own, ids, scores: key_blocks.best(ids, scores, k + 1)

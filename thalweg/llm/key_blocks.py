@@ -45,7 +45,7 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal count
         key = rows.column("key")
         keys = b"".join(key.to_pylist()) if pa.types.is_binary(key.type) else key.to_numpy().tobytes()
-        packed = [rows.column(c).to_numpy().astype(t).tobytes() for c, t in (("vec_id", "<i8"), ("label", "<i8"), ("flag", "u1"))]
+        packed = [rows.column(c).to_numpy().astype(t).tobytes() for c, t in (("vec_id", "<i8"), ("label", "<i8"), ("flag", "<i8"))]
         own = (TaskContext.get().partitionId() << 32) + count
         count += 1
         one = [rows.column("grp")[0].as_py(), own, key[0].as_py(), key[-1].as_py(), len(rows), keys, *packed, b"".join(rows.column("vec").to_pylist())]

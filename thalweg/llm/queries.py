@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, line_dedup, mixing, near_dup, prefix_trie, quality, secrets, token_counts, token_files, toxicity
+from . import ann, chat, decontam, hard_negatives, line_dedup, mixing, near_dup, prefix_trie, quality, secrets, token_counts, token_files, toxicity
 from .common import Scratch, table
 
 
@@ -70,12 +70,18 @@ def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_secret_spans, op4_rotate_perspectives, op5_decontaminate, op6_token_files, op7_token_counts, op8_near_duplicates, op9_toxicity, op10_quality_rules, op11_prefix_trie, op12_nearest_neighbours, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_secret_spans, op4_rotate_perspectives, op5_decontaminate, op6_token_files, op7_token_counts, op8_near_duplicates, op9_toxicity, op10_quality_rules, op11_prefix_trie, op12_nearest_neighbours, op13_hard_negatives, pipeline)}
 
-SQL = {"op1_mix_sources": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op4_rotate_perspectives": chat.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_nearest_neighbours": ann.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op4_rotate_perspectives": chat.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_nearest_neighbours": ann.SQL, "op13_hard_negatives": hard_negatives.SQL}
