@@ -139,3 +139,14 @@ def components(pairs: DataFrame) -> DataFrame:
         label = after.select("id", "component")
         if not some(after.where("component <> was")):
             return label
+
+
+def loops(df: DataFrame) -> DataFrame:
+    """(id, ring) over (id, next) made of loops alone: the smallest id on each id's loop, in log rounds."""
+    state = cut(df.select("id", "next", F.least("id", "next").alias("ring")))
+    while True:
+        far = state.select(F.col("id").alias("next"), F.col("next").alias("n2"), F.col("ring").alias("r2"))
+        after = cut(state.join(far, "next").select("id", F.col("n2").alias("next"), F.least("ring", "r2").alias("ring"), (F.col("r2") < F.col("ring")).alias("moved")))
+        if not some(after.where("moved")):
+            return after.select("id", "ring")
+        state = after.drop("moved")
