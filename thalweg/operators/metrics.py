@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.statistics import f_survival
 from ..plans.iterate import relax
 from ..sources.derived import load, sql
 from .vector import to_lines
@@ -108,6 +109,35 @@ def aggregate_features(series: DataFrame, dissolve: bool = False) -> DataFrame:
     return out.groupBy("axis", "ago").agg(F.count("*").alias("n"), F.avg("metric").alias("mean"), F.stddev_pop("metric").alias("std")) if dissolve else out
 
 
+def range_test(series: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(axis, ago, observed, p, differs) for series (axis, ago, metric): whether each segment's mean differs from the next one's.
+
+    observed is the difference of the means over its standard error, the variance being that of both together; it
+    is held against the F distribution with (segments - 1) and (values of both - segments) degrees of freedom; if
+    those are not above 0, their amount plus 0.01 stands for them. Constant segments have no p and don't differ.
+    The last segment of an axis has no row; nor has an axis of one segment.
+    """
+    parts = series.where("metric is not null").groupBy("axis", "ago").agg(F.count("*").alias("n"), F.avg("metric").alias("mean"), F.var_pop("metric").alias("var"))
+    order = Window.partitionBy("axis").orderBy("ago")
+    after = {f"{c}2": F.lead(c).over(order) for c in ("n", "mean", "var")}
+    pairs = parts.withColumns(after | {"k": F.count("*").over(Window.partitionBy("axis"))}).where("n2 is not null")
+    n = F.col("n") + F.col("n2")
+    gap = F.col("mean2") - F.col("mean")
+    var = (F.col("n") * F.col("var") + F.col("n2") * F.col("var2")) / n + F.col("n") * F.col("n2") / (n * n) * gap * gap
+    seen = F.abs(gap) / F.when(var > 0, F.sqrt(var * (1 / F.col("n") + 1 / F.col("n2"))))
+    left = (n - F.col("k")).cast("double")
+    tried = pairs.select("axis", "ago", seen.alias("observed"), (F.col("k") - 1).cast("double").alias("df1"), F.when(left > 0, left).otherwise(-left + 0.01).alias("df2"))
+    p = f_survival(F.col("observed"), F.col("df1"), F.col("df2"))
+    return tried.withColumn("p", p).select("axis", "ago", "observed", "p", F.coalesce(F.col("p") <= alpha, F.lit(False)).alias("differs"))
+
+
+def hubert_test(series: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(axis, segments, accepted): the segmentation of aggregate_features, accepted if it has two segments or more and each differs from the next."""
+    parts = aggregate_features(series)
+    tests = range_test(parts, alpha).groupBy("axis").agg(F.min("differs").alias("all"))
+    return parts.groupBy("axis").agg(F.countDistinct("ago").alias("segments")).join(tests, "axis", "left").select("axis", "segments", F.coalesce("all", F.lit(False)).alias("accepted"))
+
+
 def bends(verts: DataFrame) -> DataFrame:
     """(fid, bend, n, length, wave, sinuosity, amplitude): stretches of a line between changes of its turn's sign.
 
@@ -159,3 +189,9 @@ BENDS_SQL = """, b1 AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead
  round(max(CASE WHEN chord > 0 THEN abs((b6.x - ax) * (by_ - ay) - (b6.y - ay) * (bx - ax)) / chord ELSE sqrt((b6.x - ax) * (b6.x - ax) + (b6.y - ay) * (b6.y - ay)) END), 5) AS amplitude
  FROM b8 JOIN b6 ON b6.fid = b8.fid AND b6.bend = b8.bend GROUP BY b8.fid, b8.bend, n, length, chord"""
 _q("planform_bends", bends, ", b0 AS (SELECT fid, pos, x, y FROM verts)" + BENDS_SQL, "verts")
+# F has closed forms for two degrees above: (1 + 2x / df2) ** (-df2 / 2), which three segments give.
+_THREE = ", s AS (SELECT fid AS axis, CAST(floor((pos - 1) * 3 / count(*) OVER (PARTITION BY fid)) AS BIGINT) AS ago, y AS metric FROM verts), m AS (SELECT axis, ago, count(*) AS n, avg(metric) AS mean, var_pop(metric) AS v FROM s GROUP BY 1, 2)"
+_q("range_test", lambda v: range_test(v.selectExpr("fid axis", "y metric", "bigint(floor((pos - 1) * 3 / count(*) over (partition by fid))) ago")).withColumn("differs", F.col("differs").cast("int")), _THREE + """, q AS (SELECT *, lead(n) OVER w AS n2, lead(mean) OVER w AS m2, lead(v) OVER w AS v2, count(*) OVER (PARTITION BY axis) AS k FROM m WINDOW w AS (PARTITION BY axis ORDER BY ago)),
+ o AS (SELECT axis, ago, k, CASE WHEN n + n2 > k THEN n + n2 - k ELSE k - n - n2 + 1e-2 END AS df, abs(m2 - mean) / sqrt(((n * v + n2 * v2) / (n + n2) + n * n2 * pow(m2 - mean, 2) / pow(n + n2, 2)) * (1e0 / n + 1e0 / n2)) AS observed FROM q WHERE n2 IS NOT NULL)
+ SELECT axis, ago, round(observed, 5) AS observed, round(pow(1 + 2 * observed / df, -df / 2), 5) AS p, CAST(pow(1 + 2 * observed / df, -df / 2) <= 5e-2 AS INT) AS differs FROM o""", "verts")
+_q("hubert_test", lambda v: hubert_test(v.selectExpr("fid axis", "pos fid", "pos ord", "y metric")), None, "verts")

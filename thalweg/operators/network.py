@@ -85,8 +85,19 @@ def sources(links: DataFrame) -> DataFrame:
     return links.select(F.col("nodea").alias("node")).distinct().join(links.select(F.col("nodeb").alias("node")).distinct(), "node", "left_anti")
 
 
+def single_downstream(links: DataFrame) -> bool:
+    return not some(links.groupBy("nodea").agg(F.count("*").alias("n")).where("n > 1"))
+
+
 def distance_to_outlet(links: DataFrame) -> DataFrame:
-    """(node, value): the longest way to an outlet, by relaxation from the outlets. A cycle above an outlet raises ValueError."""
+    """(node, value): the longest way to an outlet. A cycle above an outlet raises ValueError.
+
+    Where every node has one link out, ways are followed by pointer jumping; else by relaxation from the outlets.
+    """
+    if single_downstream(links):
+        flow = links.select(F.col("nodea").alias("id"), F.col("nodeb").alias("next"), "length")
+        ends = outlets(links).select(F.col("node").alias("id"), F.lit(None).cast("long").alias("next"), F.lit(0.0).alias("length"))
+        return jump(flow.unionByName(ends), carry={"length": "sum"}).where("root is not null").select(F.col("id").alias("node"), F.col("length").alias("value"))
     steps = links.select(F.col("nodeb").alias("src"), F.col("nodea").alias("dst"), F.col("length").alias("cost"))
     return relax(outlets(links).withColumn("value", F.lit(0.0)), steps, "max")
 
@@ -234,7 +245,9 @@ def strahler_order(links: DataFrame, axis: str | None = None) -> DataFrame:
 
     The order is the same along a chain of links, so chains are followed by pointer jumping and levels are
     those of confluences: a chain is known when all chains into its first node are. What has arrived at a
-    node is kept as the greatest and the smallest axis of the highest order, and a count.
+    node is kept as the greatest and the smallest axis of the highest order, and a count. Where levels are
+    many, as on a stem with a tributary at every node, `_tree_orders` takes over: if an eighth of the chains is left
+    after four levels, every node has one link out, and there is neither a cycle nor an axis to heed.
     """
     edges = cut(links.select("fid", "nodea", "nodeb", (F.col(axis) if axis else F.col("fid")).alias("axis")))
     through = degrees(edges).where("din = 1 and dout = 1").select(F.col("gid").alias("node"))
@@ -244,8 +257,13 @@ def strahler_order(links: DataFrame, axis: str | None = None) -> DataFrame:
     segs = cut(parts.groupBy("root").agg(F.max_by("nodea", "ahead").alias("nodea"), F.min_by("nodeb", "ahead").alias("nodeb"), F.min_by("axis", "ahead").alias("axis")))
     into = edges.groupBy(F.col("nodeb").alias("node")).agg(F.count("*").alias("din"))
     frontier = cut(segs.join(into.select(F.col("node").alias("nodea")), "nodea", "left_anti").withColumn("o", F.lit(1)))
-    known, waiting = frontier, None
+    known, waiting, level = frontier, None, 0
     while some(frontier):
+        level += 1
+        if level == 4 and axis is None and 8 * (segs.count() - known.count()) > segs.count() and single_downstream(edges):
+            flow = edges.select(F.col("nodea").alias("id"), F.col("nodeb").alias("next")).unionByName(outlets(edges).select(F.col("node").alias("id"), F.lit(None).cast("long").alias("next")))
+            if not some(jump(flow).where("root is null")):
+                return links.join(_tree_orders(edges), "fid", "left")
         came = frontier.groupBy(F.col("nodeb").alias("node")).agg(F.max(F.struct("o", "axis")).alias("hi"), F.min(F.struct((-F.col("o")).alias("o"), "axis")).alias("lo"), F.count("*").alias("n"))
         came = came if waiting is None else waiting.unionByName(came).groupBy("node").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.sum("n").alias("n"))
         came = cut(came.join(into, "node"))
@@ -257,6 +275,26 @@ def strahler_order(links: DataFrame, axis: str | None = None) -> DataFrame:
     return links.join(orders, "fid", "left")
 
 
+def _tree_orders(links: DataFrame) -> DataFrame:
+    """(fid, strahler) of a tree without rounds for its confluences.
+
+    A link has an order above k where, at its first node or upstream of it, two links of order k or more meet. So
+    from k = 1 on the nodes where that happens are marked, and sums over the tree by doubling mark what is below
+    them. Orders are logarithmic in the number of links, and each step keeps half of the sources at most.
+    """
+    alive = cut(links.select("fid", "nodea", "nodeb"))
+    orders = alive.select("fid", F.lit(1).alias("strahler"))
+    k = 1
+    while True:
+        met = cut(alive.groupBy(F.col("nodeb").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(1.0).alias("w")))
+        if not some(met):
+            return orders.groupBy("fid").agg(F.max("strahler").alias("strahler"))
+        below = sum_upstream(alive.select(F.col("nodea").alias("id"), F.col("nodeb").alias("next")), met)
+        alive = cut(alive.join(below.where("total > 0").select(F.col("id").alias("nodea")), "nodea", "left_semi"))
+        k += 1
+        orders = orders.unionByName(alive.select("fid", F.lit(k).alias("strahler")))
+
+
 def hack_order(links: DataFrame) -> DataFrame:
     """Links of a tree with axis (the source of the longest branch), laxis (its length) and hack (its rank).
 
@@ -287,6 +325,9 @@ def hack_order(links: DataFrame) -> DataFrame:
 def reach_of_sources(measured: DataFrame, at: DataFrame) -> DataFrame:
     """(nodea, reach): the largest distance to the outlet of any source above a node, itself included."""
     heads = at.join(sources(measured), "node").select("node", "value")
+    if single_downstream(measured):
+        top = sum_upstream(measured.select(F.col("nodea").alias("id"), F.col("nodeb").alias("next")), heads.select(F.col("node").alias("id"), F.col("value").alias("w")), "max")
+        return top.where("total is not null").select(F.col("id").alias("nodea"), F.col("total").alias("reach"))
     steps = measured.select(F.col("nodea").alias("src"), F.col("nodeb").alias("dst"), F.lit(0.0).alias("cost"))
     return relax(heads, steps, "max").select(F.col("node").alias("nodea"), F.col("value").alias("reach"))
 
@@ -310,21 +351,23 @@ def total_upstream_channel_length(links: DataFrame, scale: float = 0.001) -> Dat
     return links.join(total.select("fid", (value * scale).alias("tucl")), "fid")
 
 
-def sum_upstream(steps: DataFrame, weights: DataFrame) -> DataFrame:
-    """(id, total): for each id the weights of all ids whose chain (id -> next) passes it, its own included.
+def sum_upstream(steps: DataFrame, weights: DataFrame, how: str = "sum") -> DataFrame:
+    """(id, total): for each id the sum (or the max) of the weights of all ids whose chain (id -> next) passes it, its own included.
 
-    Doubling: in round k an id's sum over the last 2**k steps above it is added at the id 2**k steps below, and the
+    Doubling: in round k an id's total over the last 2**k steps above it is added at the id 2**k steps below, and the
     pointers double; so rounds are the logarithm of the longest chain. Ids whose chain runs into a cycle have null.
     """
+    zero, gather = (F.lit(0.0), F.sum) if how == "sum" else (F.lit(None).cast("double"), F.max)
+    both = (lambda a, b: F.col(a) + F.coalesce(b, F.lit(0.0))) if how == "sum" else F.greatest
     ids = steps.select("id").union(steps.where("next is not null").select("next")).union(weights.select("id")).distinct()
-    state = ids.join(weights, "id", "left").join(steps, "id", "left").select("id", F.coalesce("w", F.lit(0.0)).cast("double").alias("total"), "next")
+    state = ids.join(weights, "id", "left").join(steps, "id", "left").select("id", F.coalesce(F.col("w").cast("double"), zero).alias("total"), "next")
     state = cut(state)
     for _ in range(math.ceil(math.log2(max(2, state.count()))) + 1):
         if not some(state.where("next is not null")):
             return state.select("id", "total")
-        sent = state.where("next is not null").groupBy(F.col("next").alias("id")).agg(F.sum("total").alias("more"))
+        sent = state.where("next is not null").groupBy(F.col("next").alias("id")).agg(gather("total").alias("more"))
         far = state.select(F.col("id").alias("next"), F.col("next").alias("n2"))
-        state = cut(state.join(far, "next", "left").join(sent, "id", "left").select("id", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), F.col("n2").alias("next")))
+        state = cut(state.join(far, "next", "left").join(sent, "id", "left").select("id", both("total", F.col("more")).alias("total"), F.col("n2").alias("next")))
     return state.select("id", F.when(F.col("next").isNull(), F.col("total")).alias("total"))
 
 
@@ -506,7 +549,7 @@ _HACK = """, w AS (SELECT nodea AS k, nodea AS below FROM links UNION ALL SELECT
  SELECT l.*, x.axis, h.hack, round(la.laxis, 6) AS laxis FROM links l JOIN x ON x.nodea = l.nodea JOIN h ON h.nodea = l.nodea JOIN la ON la.axis = x.axis"""
 _q("hack_order", lambda k: _rounded(hack_order(k), "laxis"), _HACK, "links", recursive=True)
 _q("merge_short_links", lambda k: merge_short_links(hack_order(k), 500.0).select("fid", "axis", "ugo"), None, "links")
-_q("fix_network_connectivity", lambda k: fix_network_connectivity(k, k.where("fid >= 10000000 or fid < 3000 and fid % 5 <> 1")), None, "links_dag")
+_q("fix_network_connectivity", lambda k: fix_network_connectivity(k, k.where("fid >= 10000000 or fid % 5 <> 1")), None, "links_dag")
 _q("identify_network_nodes", lambda k: identify_network_nodes(k)[0].select("fid", "nodea", "nodeb"), """, e AS (SELECT fid, 0 AS e, ax AS x, ay AS y FROM lines UNION ALL SELECT fid, 1, bx, by_ FROM lines), f AS (SELECT x, y, min(fid * 2 + e) AS seen FROM e GROUP BY x, y),
  g AS (SELECT x, y, row_number() OVER (ORDER BY seen) - 1 AS gid FROM f) SELECT l.fid, a.gid AS nodea, b.gid AS nodeb FROM lines l JOIN g a ON a.x = l.ax AND a.y = l.ay JOIN g b ON b.x = l.bx AND b.y = l.by_""", "lines")
 QUERIES["fix_link_orientation"] = lambda spark, sf_dir: (lambda k: fix_link_orientation(k, k.select(F.col("nodea").alias("id")).union(k.select("nodeb")).distinct().selectExpr("id node", "id * 37 % 101 z")))(load(spark, sf_dir, "links"))

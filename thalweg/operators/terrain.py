@@ -186,13 +186,64 @@ def land_cover_continuity(cover: DataFrame, stream: DataFrame, costs: dict[int,
 def fill_depressions(dem: DataFrame, delta: float = 0.0) -> DataFrame:
     """(row, col, value): the lowest surface at least as high as dem that drains over cells delta lower each to the border or to nodata.
 
-    Fixpoint: every inner cell starts high and takes max(own z, lowest neighbour + delta) until nothing changes;
-    only cells next to a change are looked at again.
+    Without delta: every cell belongs to the pit that steepest descent leads to; pits are joined by their lowest
+    passes, and a cell is filled to the height that its pit has to overflow on the way out (`spill_levels`). With
+    delta heights depend on the ways themselves: every inner cell starts high and takes max(own z, lowest
+    neighbour + delta) until nothing changes; only cells next to a change are looked at again.
     """
     known = dem.where("value is not null").select("row", "col", F.col("value").alias("z"))
-    pairs = cut(grid.neighbours(known.withColumn("id", grid.cell("row", "col")), "id").join(known.withColumn("me", grid.cell("row", "col")), KEYS).select("me", F.col("near").alias("other")))
-    inner = pairs.groupBy("me").agg(F.count("*").alias("n")).where("n = 8").select(F.col("me").alias("id"))
+    pairs = cut(grid.neighbours(known.withColumn("v", F.struct(F.col("z").alias("z"), grid.cell("row", "col").alias("id"))), "v").join(known.withColumn("me", F.struct(F.col("z").alias("z"), grid.cell("row", "col").alias("id"))), KEYS).select("me", F.col("near").alias("other")))
+    inner = pairs.groupBy(F.col("me.id").alias("id")).agg(F.count("*").alias("n")).where("n = 8").select("id")
     cells = cut(known.select(grid.cell("row", "col").alias("id"), "z").join(inner.withColumn("inner", F.lit(True)), "id", "left"))
+    if delta == 0:
+        lowest = pairs.groupBy("me").agg(F.min("other").alias("low")).where("low < me").select(F.col("me.id").alias("id"), F.col("low.id").alias("next"))
+        label = cut(jump(cells.select("id").join(lowest, "id", "left")).select("id", F.col("root").alias("label")))
+        of = lambda side: label.select(F.col("id").alias(f"{side}_id"), F.col("label").alias(side))
+        passes = pairs.where("me.id < other.id").select(F.col("me.id").alias("a_id"), F.col("other.id").alias("b_id"), F.greatest("me.z", "other.z").alias("z"))
+        passes = passes.join(of("a"), "a_id").join(of("b"), "b_id").where("a <> b").select("a", "b", "z")
+        exits = cells.where("inner is null").join(label, "id").select(F.col("label").alias("a"), F.lit(OUTSIDE).alias("b"), "z")
+        level = spill_levels(passes.union(exits))
+        filled = cells.join(label, "id").join(level, "label", "left").select("id", F.greatest("z", "level").alias("w"))
+    else:
+        filled = _raised(cells, pairs.select(F.col("me.id").alias("me"), F.col("other.id").alias("other")), delta)
+    filled = filled.select(grid.row_of(F.col("id")).alias("row"), grid.col_of(F.col("id")).alias("col"), F.col("w").alias("filled"))
+    return dem.join(filled, KEYS, "left").select("row", "col", F.col("filled").alias("value"))
+
+
+#: The label of all that is beyond the border and in nodata.
+OUTSIDE = -(1 << 62)
+
+
+def spill_levels(passes: DataFrame) -> DataFrame:
+    """(label, level): the height that water from each label has to reach on its lowest way to OUTSIDE over passes (a, b, z).
+
+    Boruvka's rounds: every group of labels takes its lowest pass out (ties: by the groups' numbers) and is joined
+    with the group beyond; a group's level is the higher of that pass and the level of the group it becomes part
+    of, nothing if that holds OUTSIDE. Groups at least halve in a round, so rounds are logarithmic in the labels.
+    """
+    edges = cut(passes.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("z").alias("z")))
+    rounds = []
+    while some(edges):
+        both = edges.select(F.col("a").alias("id"), F.col("b").alias("to"), "z", "a", "b").union(edges.select("b", "a", "z", "a", "b")).where(F.col("id") != OUTSIDE)
+        taken = cut(both.groupBy("id").agg(F.min(F.struct("z", "a", "b", "to")).alias("m")).select("id", "m.z", F.col("m.to").alias("next")))
+        back = taken.select(F.col("id").alias("next"), F.col("next").alias("again"))
+        # Two groups that take the same pass: the smaller number is the root.
+        steps = taken.join(back, "next", "left").select("id", F.when((F.col("again") == F.col("id")) & (F.col("id") < F.col("next")), F.lit(None)).otherwise(F.col("next")).alias("next"))
+        steps = steps.union(taken.where(F.col("next") == OUTSIDE).limit(1).select("next", F.lit(None).cast("long")))
+        root = cut(jump(steps).where(F.col("id") != OUTSIDE).select("id", "root"))
+        rounds.append(cut(taken.select("id", "z").join(root, "id")))
+        of = lambda side: root.select(F.col("id").alias(side), F.col("root").alias(f"{side}2"))  # noqa: E731, B023
+        moved = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), "z").where("a <> b")
+        edges = cut(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("z").alias("z")))
+    level = None
+    for part in reversed(rounds):
+        above = part.withColumn("level", F.lit(None).cast("double")) if level is None else part.join(level.select(F.col("label").alias("root"), "level"), "root", "left")
+        level = cut(above.select(F.col("id").alias("label"), F.greatest("z", "level").alias("level")))
+    return level if level is not None else passes.select(F.col("a").alias("label"), F.col("z").alias("level"))
+
+
+def _raised(cells: DataFrame, pairs: DataFrame, delta: float) -> DataFrame:
+    """(id, w): fill_depressions with a delta, by rounds of the cells next to a change."""
     state = cut(cells.select("id", "z", F.when(F.col("inner"), F.lit(float("inf"))).otherwise(F.col("z")).alias("w")))
     frontier = cut(state.where("w < double('infinity')").select("id", "w"))
     while some(frontier):
@@ -200,8 +251,7 @@ def fill_depressions(dem: DataFrame, delta: float = 0.0) -> DataFrame:
         better = state.join(offer, "id").withColumn("new", F.greatest("z", F.col("low") + delta)).where("new < w")
         frontier = cut(better.select("id", F.col("new").alias("w")))
         state = cut(state.join(frontier.withColumnRenamed("w", "new"), "id", "left").select("id", "z", F.coalesce("new", "w").alias("w")))
-    filled = state.select(grid.row_of(F.col("id")).alias("row"), grid.col_of(F.col("id")).alias("col"), F.col("w").alias("filled"))
-    return dem.join(filled, KEYS, "left").select("row", "col", F.col("filled").alias("value"))
+    return state.select("id", "w")
 
 
 def resolve_flats(filled: DataFrame, flow: DataFrame) -> DataFrame:
@@ -329,20 +379,21 @@ _segs = lambda s: s.selectExpr("fid", "int(fid * 7 % 40) r0", "int(fid * 11 % 50
 _q("distance_to_stream", lambda d, s: distance_to_stream(d, _segs(s)), _RAST + " SELECT d.row, d.col, CASE WHEN d.value IS NOT NULL THEN round(min(sqrt((d.row - c.row) * (d.row - c.row) + (d.col - c.col) * (d.col - c.col))), 6) END AS value FROM dem d, c GROUP BY d.row, d.col, d.value", "dem", "segs")
 _q("stream_to_raster_id", lambda d, s: stream_to_raster(d, _segs(s)), _RAST + " SELECT d.row, d.col, CAST(coalesce(c.fid, 0) AS DOUBLE) AS value FROM dem d LEFT JOIN c ON c.row = d.row AND c.col = d.col", "dem", "segs")
 _q("stream_to_raster_template", lambda d, s: stream_to_raster(d, _segs(s), "template", -1.0), _RAST + " SELECT d.row, d.col, CASE WHEN c.fid IS NOT NULL THEN d.value ELSE -1 END AS value FROM dem d LEFT JOIN c ON c.row = d.row AND c.col = d.col", "dem", "segs")
-# Chamfer distances by rounds of all cells; cells are near their origins on these grids.
-_SPREAD = """, s AS (SELECT 0 AS k, row, col, [0e0, {v}] AS b FROM {cells} WHERE {start} UNION ALL
- SELECT k + 1, row, col, min(b) FROM (SELECT k, row, col, b FROM s UNION ALL SELECT s.k, t.row, t.col, [round(s.b[1] + CASE WHEN o.k % 2 = 1 THEN sqrt(2) ELSE 1 END, 9), s.b[2]] FROM s, o, {cells} t WHERE t.row = s.row + dr AND t.col = s.col + dc{same}) WHERE k < 25 GROUP BY k, row, col), f AS (SELECT row, col, b FROM s WHERE k = 25)"""
+# Chamfer distances by rounds of all cells, until a round changes nothing. {also} names further columns that stay with a cell.
+_SPREAD = """, s AS (SELECT 0 AS k, row, col{also}, [0e0, {v}] AS b, true AS go FROM {cells} WHERE {start} UNION ALL
+ SELECT k + 1, row, col{also}, b, bool_or(b IS DISTINCT FROM was) OVER () FROM (SELECT k, row, col{also}, min(b) AS b, min(b) FILTER (own) AS was FROM (SELECT k, row, col{also}, b, true AS own FROM s WHERE go UNION ALL
+ SELECT s.k, t.row, t.col{t_also}, [round(s.b[1] + CASE WHEN o.k % 2 = 1 THEN sqrt(2) ELSE 1 END, 9), s.b[2]], false FROM s, o, {cells} t WHERE s.go AND t.row = s.row + dr AND t.col = s.col + dc{same}) GROUP BY k, row, col{also})), f AS (SELECT row, col, b FROM s WHERE k = (SELECT max(k) FROM s))"""
 _KNOWN = ", c AS (SELECT * FROM dem WHERE value IS NOT NULL)"
-_q("shortest_distance", lambda d: shortest_distance(d, _stream(d)), _KS + _KNOWN + _SPREAD.format(cells="c", v="0e0", start=_ON, same="") + " SELECT d.row, d.col, round(f.b[1], 6) AS value FROM dem d LEFT JOIN f ON f.row = d.row AND f.col = d.col", "dem", recursive=True)
-_q("shortest_distance_reference", lambda d: shortest_reference(d.withColumn("value", F.when(F.expr(_ON), F.col("value")).otherwise(-99999.0))), _KS + f", c AS (SELECT row, col, CASE WHEN {_ON} THEN value ELSE -99999e0 END AS value FROM dem), c2 AS (SELECT * FROM c WHERE value IS NOT NULL)" + _SPREAD.format(cells="c2", v="value", start="value <> -99999", same="") + " SELECT c.row, c.col, CASE WHEN c.value IS NOT NULL THEN coalesce(f.b[2], c.value) END AS value, round(f.b[1], 6) AS dist FROM c LEFT JOIN f ON f.row = c.row AND f.col = c.col", "dem", recursive=True)
+_q("shortest_distance", lambda d: shortest_distance(d, _stream(d)), _KS + _KNOWN + _SPREAD.format(cells="c", v="0e0", start=_ON, same="", also="", t_also="") + " SELECT d.row, d.col, round(f.b[1], 6) AS value FROM dem d LEFT JOIN f ON f.row = d.row AND f.col = d.col", "dem", recursive=True)
+_q("shortest_distance_reference", lambda d: shortest_reference(d.withColumn("value", F.when(F.expr(_ON), F.col("value")).otherwise(-99999.0))), _KS + f", c AS (SELECT row, col, CASE WHEN {_ON} THEN value ELSE -99999e0 END AS value FROM dem), c2 AS (SELECT * FROM c WHERE value IS NOT NULL)" + _SPREAD.format(cells="c2", v="value", start="value <> -99999", same="", also="", t_also="") + " SELECT c.row, c.col, CASE WHEN c.value IS NOT NULL THEN coalesce(f.b[2], c.value) END AS value, round(f.b[1], 6) AS dist FROM c LEFT JOIN f ON f.row = c.row AND f.col = c.col", "dem", recursive=True)
 _WS = _SHED.replace(" SELECT t.row, t.col, coalesce(w.v, 0) AS value FROM t LEFT JOIN w ON w.row = t.row AND w.col = t.col", ", ws AS (SELECT t.row, t.col, coalesce(w.v, 0) AS ws FROM t LEFT JOIN w ON w.row = t.row AND w.col = t.col), c AS (SELECT d.*, ws.ws FROM dem d JOIN ws ON ws.row = d.row AND ws.col = d.col WHERE d.value IS NOT NULL)")
-_q("hand_in_same_watershed", lambda d, f: hand_in_watershed(d, _stream(d), watershed(_target(f), f)), _WS + _KS.replace(", o AS", ", o AS") + _SPREAD.format(cells="c", v="value", start=_ON, same=" AND t.ws = s.ws").replace("s AS (SELECT 0 AS k, row, col,", "s AS (SELECT 0 AS k, row, col, ws,").replace("SELECT k + 1, row, col, min(b) FROM (SELECT k, row, col, b FROM s UNION ALL SELECT s.k, t.row, t.col,", "SELECT k + 1, row, col, ws, min(b) FROM (SELECT k, row, col, ws, b FROM s UNION ALL SELECT s.k, t.row, t.col, t.ws,").replace("GROUP BY k, row, col)", "GROUP BY k, row, col, ws)") + " SELECT d.row, d.col, round(d.value - f.b[2], 6) AS value FROM dem d LEFT JOIN f ON f.row = d.row AND f.col = d.col", "dem", "flow", recursive=True)
+_q("hand_in_same_watershed", lambda d, f: hand_in_watershed(d, _stream(d), watershed(_target(f), f)), _WS + _KS + _SPREAD.format(cells="c", v="value", start=_ON, same=" AND t.ws = s.ws", also=", ws", t_also=", t.ws") + " SELECT d.row, d.col, round(d.value - f.b[2], 6) AS value FROM dem d LEFT JOIN f ON f.row = d.row AND f.col = d.col", "dem", "flow", recursive=True)
 _q("hand_combined", lambda d, f, s: hand_combined(d, _stream(d), watershed(_target(f), f), f, s.withColumn("value", F.col("value") % 5)), None, "dem", "flow", "dem2")
 _q("land_cover_continuity", lambda d: land_cover_continuity(d.withColumn("value", (F.col("value") % 3 + 1).cast("int")), _stream(d)), None, "dem")
 _FILL = _KS + _KNOWN + """, p AS (SELECT a.row, a.col, b.row AS nr, b.col AS nc FROM c a, o, c b WHERE b.row = a.row + dr AND b.col = a.col + dc), i AS (SELECT row, col FROM p GROUP BY 1, 2 HAVING count(*) = 8),
- s AS (SELECT 0 AS k, c.row, c.col, CASE WHEN i.row IS NULL THEN c.value ELSE 1e300 END AS w FROM c LEFT JOIN i ON i.row = c.row AND i.col = c.col UNION ALL
- SELECT s.k + 1, s.row, s.col, CASE WHEN s.w = c.value THEN c.value ELSE greatest(c.value, least(s.w, min(coalesce(n.w, 1e300)))) END FROM s JOIN c ON c.row = s.row AND c.col = s.col LEFT JOIN p ON p.row = s.row AND p.col = s.col LEFT JOIN s n ON n.row = p.nr AND n.col = p.nc WHERE s.k < 100 GROUP BY s.k, s.row, s.col, s.w, c.value)
- SELECT d.row, d.col, s.w AS value FROM dem d LEFT JOIN s ON s.row = d.row AND s.col = d.col AND s.k = 100"""
+ s AS (SELECT 0 AS k, c.row, c.col, CASE WHEN i.row IS NULL THEN c.value ELSE 1e300 END AS w, true AS go FROM c LEFT JOIN i ON i.row = c.row AND i.col = c.col UNION ALL
+ SELECT k + 1, row, col, new, bool_or(new <> w) OVER () FROM (SELECT s.k, s.row, s.col, s.w, CASE WHEN s.w = c.value THEN c.value ELSE greatest(c.value, least(s.w, min(coalesce(n.w, 1e300)))) END AS new FROM s JOIN c ON c.row = s.row AND c.col = s.col LEFT JOIN p ON p.row = s.row AND p.col = s.col LEFT JOIN s n ON n.row = p.nr AND n.col = p.nc WHERE s.go GROUP BY s.k, s.row, s.col, s.w, c.value))
+ SELECT d.row, d.col, s.w AS value FROM dem d LEFT JOIN s ON s.row = d.row AND s.col = d.col AND s.k = (SELECT max(k) FROM s)"""
 _q("fill_depressions", fill_depressions, _FILL, "dem", recursive=True)
 _q("resolve_flats", lambda d: (lambda f: resolve_flats(f, flow_direction(f)))(cut(fill_depressions(d))), None, "dem")
 _q("stream_to_feature", lambda f: stream_to_feature(cut(flow_accumulation(f)), f, 5), None, "flow")

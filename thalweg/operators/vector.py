@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..plans.iterate import cut, some
-from ..plans.spatial_join import bucket, contains, nearest, within
+from ..plans.spatial_join import bucket, contains, nearest, nearest_k, within
 from ..sources.derived import load, sql
 
 
@@ -269,6 +269,11 @@ def distance_to_other_layer(points: DataFrame, others: DataFrame, radius: float
     return nearest(points.select("fid", "x", "y"), _as_segments(others, "other"), "fid", "other", radius).select("fid", "other", "dist")
 
 
+def distance_matrix(points: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """(fid, other, rank, dist): the k nearest other points of each point."""
+    return nearest_k(points.select("fid", "x", "y"), _as_segments(others, "other"), "fid", "other", k)
+
+
 def select_by_distance(points: DataFrame, segs: DataFrame, radius: float) -> DataFrame:
     """Points at most radius from any segment."""
     return points.join(within(points.select("fid", "x", "y"), segs, radius).select("fid").distinct(), "fid", "left_semi")
@@ -369,3 +374,5 @@ _q("simplify_lines", lambda v: simplify(v, 60.0), """, r AS (SELECT fid, min(pos
  greatest(0, least(1, ((v.x - a.x) * (b.x - a.x) + (v.y - a.y) * (b.y - a.y)) / (pow(b.x - a.x, 2) + pow(b.y - a.y, 2)))) AS t
  FROM r JOIN verts a ON a.fid = r.fid AND a.pos = r.lo JOIN verts b ON b.fid = r.fid AND b.pos = r.hi JOIN verts v ON v.fid = r.fid AND v.pos > r.lo AND v.pos < r.hi) w) GROUP BY fid, lo, hi) f, (SELECT unnest([0, 1]) AS side) s WHERE far > 60)
  SELECT v.fid, v.pos, round(v.x, 4) AS x, round(v.y, 4) AS y FROM verts v JOIN (SELECT fid, lo AS pos FROM r UNION SELECT fid, hi FROM r) k ON k.fid = v.fid AND k.pos = v.pos""", "verts", recursive=True)
+_q("distance_matrix", lambda p, s: distance_matrix(p.selectExpr("fid", "round(x / 8) x", "round(y / 8) y"), s.selectExpr("fid", "round(ax / 8) ax", "round(ay / 8) ay").selectExpr("fid", "ax x", "ay y"), 10), """, d AS (SELECT p.fid, s.fid AS other, sqrt(pow(round(p.x / 8) - round(ax / 8), 2) + pow(round(p.y / 8) - round(ay / 8), 2)) AS dist FROM points p, segs s)
+ SELECT fid, other, CAST(row_number() OVER (PARTITION BY fid ORDER BY dist, other) AS INT) AS rank, round(dist, 4) AS dist FROM d QUALIFY row_number() OVER (PARTITION BY fid ORDER BY dist, other) <= 10""", "points", "segs")

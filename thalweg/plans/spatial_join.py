@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import project
@@ -50,6 +50,27 @@ def nearest(points: DataFrame, segs: DataFrame, key: str, seg_key: str, radius:
     return out if out is not None else best(within(points, segs, start))
 
 
+def nearest_k(points: DataFrame, segs: DataFrame, key: str, seg_key: str, k: int, start: float = 50.0) -> DataFrame:
+    """(key, seg_key, rank, dist): the k features nearest to each point, ties by the smaller seg_key; fewer if there are no more.
+
+    A feature of several segments counts once. Rings widen fourfold for the points whose k-th distance isn't
+    certain yet: a list is certain when k features, or all there are, are within reach.
+    """
+    there = min(k, segs.select(seg_key).distinct().count())
+    reach, rest, out = start, cut(points), None
+    while True:
+        near = within(rest, segs, reach).groupBy(key, seg_key).agg(F.min("dist").alias("dist"))
+        order = Window.partitionBy(key).orderBy("dist", seg_key)
+        got = cut(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, seg_key, "rank", "dist"))
+        sure = got.where(F.col("rank") == there).select(key)
+        got = got.join(sure, key, "left_semi")
+        out = got if out is None else out.unionByName(got)
+        rest = cut(rest.join(sure, key, "left_anti")) if there else rest.limit(0)
+        if not some(rest):
+            return out
+        reach *= 4
+
+
 def contains(polygons: DataFrame, points: DataFrame, size: float, inside) -> DataFrame:
     """(polygons.*, points.*) for points in polygons; polygons have minx, miny, maxx, maxy; inside(x, y) is the exact test."""
     boxed = polygons.withColumn("__cell", F.explode(covering(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), size)))
