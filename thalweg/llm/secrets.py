@@ -17,7 +17,7 @@ whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from math import log2
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +41,6 @@ PATH, SEPARATOR, SEPARATORS = r"^[A-Za-z][A-Za-z/_-]*[A-Za-z][0-9]{0,4}$", r"[/_
 #: What suppresses the windows around it.
 ALLOWED, NEAR = r"(?i)example|sample|dummy|placeholder|changeme|(?<![a-z])test(?![a-z])|(.)\1{7}", 8
 BLOCK = 256
-#: Codes of token characters lie between these.
-LOW, HIGH = ord("+"), ord("z")
 
 
 def _bind(value: Column, use) -> Column:
@@ -89,41 +87,55 @@ def _spans(found: str, kind: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _window_starts(codes: Column, inside, threshold: float) -> Column:
-    """Where a window of codes starts that are all `inside` a class and whose entropy reaches the threshold.
+#: Thresholds of the entropy in bits for the two character classes: windows of hexadecimal digits alone, and any.
+HEX_BITS, ANY_BITS = 2.9, 3.7
+HEX_DIGIT = "^[0-9a-fA-F]$"
+#: What c * log2(c) grows by from c to c + 1.
+GROWTH = tuple((c + 1) * log2(c + 1) - (c * log2(c) if c else 0.0) for c in range(WINDOW + 1))
 
-    The state holds a count for each code and the sum of c * log2(c); a character in and a character out
-    change two counts. Entropy is log2(WINDOW) - sum / WINDOW. A block's fold begins a window before it.
+
+def _window_starts(chars: Column) -> Column:
+    """Where windows start that reach the threshold of each class: an array for hexadecimal windows and one for any.
+
+    A window and the next share all but one character of each. How often the character that comes in, and the one
+    that goes out, occurs among the shared ones gives what the sum of c * log2(c) over all characters changes by;
+    entropy is log2(WINDOW) - sum / WINDOW. A block's fold begins a window before it; blocks with too few different
+    characters for either threshold are passed over.
     """
-    start = F.struct(F.array_repeat(F.lit(0), HIGH - LOW + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("run"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
+    least = ceil(2 ** min(HEX_BITS, ANY_BITS))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("run"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("hex"), F.array().cast("array<int>").alias("any"))
 
-    def weigh(c: Column) -> Column:
-        return F.when(c > 1, c * F.log2(c)).otherwise(0.0)
+    def grows(shared: Column, one: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, GROWTH)), F.length(shared) - F.length(F.replace(shared, one, F.lit(""))) + 1)
 
     def of(block: Column) -> Column:
         ahead = F.least(block * BLOCK, F.lit(WINDOW - 1))
 
-        def folded(part: Column) -> Column:
-            def step(acc: Column, x: Column) -> Column:
-                i = acc["at"]
-                out = F.when(i >= WINDOW, F.element_at(part, F.greatest(i - WINDOW + 1, F.lit(1)))).otherwise(-1)
-                had, leaves = F.element_at(acc["counts"], x - LOW + 1), F.coalesce(F.try_element_at(acc["counts"], F.greatest(out - LOW + 1, F.lit(1))), F.lit(0)) + F.when(out == x, 1).otherwise(0)
-                total = acc["sum"] + weigh(had + 1) - weigh(had) + F.when(out >= 0, weigh(leaves - 1) - weigh(leaves)).otherwise(0.0)
-                counts = F.when(x == out, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, j: c + F.when(j == x - LOW, 1).when(j == out - LOW, -1).otherwise(0)))
-                run = F.when(inside(x), acc["run"] + 1).otherwise(0)
-                ok = (run >= WINDOW) & (F.lit(log2(WINDOW)) - total / WINDOW >= threshold)
-                hits = F.when(ok, F.array_append(acc["hits"], block * BLOCK - ahead + i + 1 - WINDOW)).otherwise(acc["hits"])
-                return F.struct(counts.alias("counts"), total.alias("sum"), run.alias("run"), (i + 1).alias("at"), hits.alias("hits"))
+        def changes(part: Column) -> Column:
+            """For each character of a block what the sum changes by, and whether it is a hexadecimal digit."""
 
-            return F.aggregate(part, start, step, lambda acc: acc["hits"])
+            def change(one: Column, i: Column) -> Column:
+                shared = F.substring(part, F.greatest(i - WINDOW + 2, F.lit(1)), F.least(i, F.lit(WINDOW - 1)))
+                out = F.substring(part, F.greatest(i - WINDOW + 1, F.lit(1)), F.lit(1))
+                gone = F.when(i >= WINDOW, grows(shared, out)).otherwise(0.0)
+                return F.struct((grows(shared, one) - gone).alias("by"), one.rlike(HEX_DIGIT).alias("hex"))
 
-        return _bind(F.slice(codes, block * BLOCK - ahead + 1, ahead + BLOCK), folded)
+            return F.transform(F.slice(chars, block * BLOCK - ahead + 1, ahead + BLOCK), change)
 
-    return F.flatten(F.transform(_blocks(F.size(codes)), of))
+        def step(acc: Column, x: Column) -> Column:
+            total, i = acc["sum"] + x["by"], acc["at"]
+            run = F.when(x["hex"], acc["run"] + 1).otherwise(0)
+            bits = F.lit(log2(WINDOW)) - total / WINDOW
+            place = block * BLOCK - ahead + i + 1 - WINDOW
+            added = lambda name, ok: F.when(ok, F.array_append(acc[name], place)).otherwise(acc[name]).alias(name)
+            return F.struct(total.alias("sum"), run.alias("run"), (i + 1).alias("at"), added("hex", (run >= WINDOW) & (bits >= HEX_BITS)), added("any", (i + 1 >= WINDOW) & (bits >= ANY_BITS)))
 
+        part = F.slice(chars, block * BLOCK - ahead + 1, ahead + BLOCK)
+        folded = F.aggregate(_bind(F.array_join(part, ""), changes), start, step)
+        return F.when(F.size(F.array_distinct(part)) >= least, folded)
 
-#: Character classes: which codes, and the threshold of the entropy in bits.
-CLASSES = ((lambda x: x.between(ord("0"), ord("9")) | x.between(ord("a"), ord("f")) | x.between(ord("A"), ord("F")), 2.9), (lambda x: x >= LOW, 3.7))
+    hits = F.filter(F.transform(_blocks(F.size(chars)), of), lambda b: b.isNotNull())
+    return _bind(hits, lambda bs: F.array(*(F.flatten(F.transform(bs, lambda b: b[name])) for name in ("hex", "any"))))  # noqa: B023
 
 
 def _merged(starts: Column) -> Column:
@@ -150,7 +162,7 @@ def _entropy_spans(text: Column) -> Column:
                 begin = F.greatest(at + 1 - NEAR, F.lit(1))
                 return F.array_join(F.slice(chars, begin, at + 1 + WINDOW + NEAR - begin), "").rlike(ALLOWED)
 
-            starts = _bind(F.transform(chars, lambda c: F.ascii(c)), lambda codes: F.array(*(F.filter(_window_starts(codes, own, limit), lambda at: ~allowed(at)) for own, limit in CLASSES)))
+            starts = F.transform(_window_starts(chars), lambda own: F.filter(own, lambda at: ~allowed(at)))
             return F.flatten(F.transform(starts, _merged))
 
         hits = _bind(F.split(x["text"], ""), spans)
