@@ -399,3 +399,32 @@ def test_pipeline_stages(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns, name
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_templated_texts_make_few_pairs(spark):
+    """Texts of one fixed part and 3 of 30 shared sentences, many just below the threshold: few pairs are written, and links are those of brute force."""
+    rng = random.Random(6)
+    fixed = " ".join(f"f{k}" for k in range(44))
+    sentences = [" ".join(f"s{k}x{j}" for j in range(5)) for k in range(30)]
+    for n in (500, 1500):
+        rows = [(i, " ".join([fixed, *(sentences[k] for k in rng.sample(range(30), 3))])) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        scratch = Scratch(spark, "pairs")
+        own = scratch.write(df.mapInArrow(near_dup._packed, "id bigint, packed binary"), "own")
+        label = spark.createDataFrame([], "id long, component long")
+        pairs = near_dup.prefix_pairs(near_dup.prefix_groups(own, 85), label, 85, scratch)
+        sets = {i: shingles(t) for i, t in rows}
+        close = sum(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a in range(n) for b in range(a))
+        made = {tuple(r) for r in pairs.collect()}
+        assert len(made) - close < n / 2
+        want = brute_components(sets, 85)
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 85).collect()} == want
+
+
+def test_parity_maps_bound_differences():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 200)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 20)).astype(np.uint64)]))
+        bits = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in near_dup.parity_map(a) ^ near_dup.parity_map(b))
+        assert bits <= len(np.setxor1d(a, b))

@@ -216,11 +216,22 @@ def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], ["part", "counts"])
 
 
+#: Words of 64 bits in the parity map of a set.
+MAP = 8
+MAPS = [f"map{k}" for k in range(MAP)]
+
+
+def parity_map(s: np.ndarray) -> np.ndarray:
+    """64 * MAP bits, each the parity of how many hashes of a set fall on it: two maps differ in as many bits at most as the sets in hashes."""
+    bits = np.bincount((_mixed(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * MAP)).astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(shared, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            tokens, places, ids, sizes = [], [], [], []
+            tokens, places, ids, sizes, maps = [], [], [], [], [np.empty((0, MAP), np.int64)]
             for doc, packed in zip(batch.column("id").to_pylist(), batch.column("packed"), strict=True):
                 s = np.frombuffer(packed.as_py(), np.uint64)
                 n = len(s)
@@ -231,36 +242,40 @@ def _prefixes(shared, percent: int):
                 places.append(place)
                 ids += [doc] * len(place)
                 sizes += [n] * len(place)
+                maps.append(np.repeat(parity_map(s)[None, :], len(place), axis=0))
             flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
             at = np.concatenate(places) if places else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["token", "place", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, np.concatenate(maps).T)], ["token", "place", "id", "n", *MAPS])
 
     return run
 
 
 def prefix_groups(own: DataFrame, percent: int) -> DataFrame:
-    """(token, place, id, n): groups by shingle such that any two of the sets own (id, packed) at the threshold meet in one; place is the shingle's rank by rarity in its set."""
+    """(token, place, id, n, maps): groups by shingle such that any two of the sets own (id, packed) at the threshold meet in one; place is the shingle's rank by rarity in its set, maps its parity map."""
     parts = own.mapInArrow(_counted, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary")
     counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
     for r in parts.collect():  # the sketch, of fixed size
         counts[r.part] = np.frombuffer(r.counts, np.uint8)
-    return own.mapInArrow(_prefixes(own.sparkSession.sparkContext.broadcast(counts.tobytes()), percent), "token bigint, place bigint, id bigint, n bigint")
+    return own.mapInArrow(_prefixes(own.sparkSession.sparkContext.broadcast(counts.tobytes()), percent), ", ".join(["token bigint, place bigint, id bigint, n bigint", *(f"{m} bigint" for m in MAPS)]))
 
 
 def prefix_pairs(groups: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that share a prefix shingle and can reach the threshold.
 
-    Of two sets whose first common shingle has places p and q, at most min(n - p, m - q) shingles are common.
+    Of two sets whose first common shingle has places p and q, at most min(n - p, m - q) shingles are common; and
+    sets at the threshold differ in few shingles, so in few bits of their parity maps. Both tests are part of the
+    join, so that pairs that fail them are never written and their sets don't travel.
     Documents of the component that the group's most central document has meet only those outside of it.
     """
-    placed = scratch.write(groups.join(label, "id", "left").select("token", "place", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
+    placed = scratch.write(groups.join(label, "id", "left").select("token", "place", "id", "n", *MAPS, F.coalesce("component", "id").alias("component")), "placed")
     heads = placed.groupBy("token").agg(F.min(F.struct((F.col("place") / F.col("n")).alias("share"), "component")).alias("head"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"))
     room = F.expr(f"(100 + {percent}) * (n - place) >= {percent} * (n + greatest(least, {percent} * n / 100))")
-    mixed = placed.join(heads.where("x <> y"), "token").where(room).select("token", "place", "id", "n", "component", (F.col("component") != F.col("head.component")).alias("outer"))
+    mixed = placed.join(heads.where("x <> y"), "token").where(room).select("token", "place", "id", "n", *MAPS, "component", (F.col("component") != F.col("head.component")).alias("outer"))
     mixed = scratch.write(mixed, "mixed")
-    left = mixed.where("outer").selectExpr("token", "place p", "id a", "n a_n", "component a_c")
-    right = mixed.selectExpr("token", "place q", "id b", "n b_n", "component b_c")
-    fits = F.expr(f"a_c <> b_c and (100 + {percent}) * least(a_n - p, b_n - q) >= {percent} * (a_n + b_n)")
+    left = mixed.where("outer").selectExpr("token", "place p", "id a", "n a_n", "component a_c", *(f"{m} a_{m}" for m in MAPS))
+    right = mixed.selectExpr("token", "place q", "id b", "n b_n", "component b_c", *(f"{m} b_{m}" for m in MAPS))
+    differ = " + ".join(f"bit_count(a_{m} ^ b_{m})" for m in MAPS)
+    fits = F.expr(f"a_c <> b_c and (100 + {percent}) * least(a_n - p, b_n - q) >= {percent} * (a_n + b_n) and (100 + {percent}) * ({differ}) <= (100 - {percent}) * (a_n + b_n)")
     return left.join(right, (left["token"] == right["token"]) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
