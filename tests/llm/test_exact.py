@@ -166,6 +166,35 @@ def test_templates(spark):
     assert got[(10, 1)].changed_slots == 4
 
 
+def test_tables_of_numbers(spark):
+    """Rows of numbers meet verbatim copies alone, and cost what the texts' lengths ask for."""
+    rng = random.Random(9)
+    numbers = lambda n: " ".join(str(rng.randrange(10_000)) for _ in range(n))
+    items = [(i, numbers(12)) for i in range(100)] + [(500, "given are " + numbers(10) + " as the series of the year, what comes next in it")]
+    changed = " ".join("7" if w.isdigit() else w for w in items[-1][1].split())
+    docs = [(1, numbers(4000)), (2, numbers(300) + " " + items[7][1] + " " + numbers(300)), (3, "text before " + items[-1][1] + " and after"), (4, changed), (5, numbers(9))]
+    began = time.time()
+    got = {(r.doc_id, r.item_id, r.changed_slots) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(2, 7, 0), (3, 500, 0), (4, 500, 10)} and time.time() - began < 90
+
+
+def test_slot_consistency_against_brute_force(spark):
+    """Questions with numbers changed: found if, and only if, each value of the item stands for one value of the text."""
+    rng = random.Random(12)
+    item = "a tank of 40 holds water for 40 plants and 15 pots when 8 pumps and 15 taps run at the same time every morning"
+    docs = []
+    for k in range(60):
+        put = lambda w: str(rng.choice([40, 15, 8, 21])) if w.isdigit() else w
+        docs.append((k, "so " + " ".join(map(put, item.split())) + " then stop"))
+    want = set()
+    for k, text in docs:
+        pairs = {(a, b) for a, b in zip(item.split(), text.split()[1:-2], strict=True) if a.isdigit()}
+        if len(pairs) == len({a for a, _ in pairs}):
+            want.add((k, sum(a != b for a, b in zip(item.split(), text.split()[1:-2], strict=True))))
+    got = {(r.doc_id, r.changed_slots) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {k for k, _ in got} == {k for k, _ in want} and want
+
+
 @pytest.fixture(scope="module")
 def untouched():
     from tokenizers import Tokenizer
