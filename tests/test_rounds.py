@@ -95,6 +95,24 @@ def test_fill_of_a_long_valley(spark, cuts):
     assert terrain.fill_depressions(dem.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["chain", "ring", "braid"])
+def test_closure_of_long_ways(spark, cuts, shape):
+    n = 600
+    rows = [(k, k + 1) for k in range(n)] + [(n + 50, 20), (n + 60, n + 61)] * (shape != "ring") + [(n, 0)] * (shape == "ring") + [(k, k + 2) for k in range(0, 40, 5)] * (shape == "braid")
+    if shape == "braid":
+        rows = [r for r in rows if r[0] < 60 or r[0] > n]
+    steps = spark.createDataFrame(rows, "src long, dst long")
+    for seeds in ([3], [3, n + 60]):
+        for way in (steps, steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))):
+            edges = [tuple(r) for r in way.collect()]
+            want = set(seeds)
+            while more := {b for a, b in edges if a in want} - want:
+                want |= more
+            cuts.clear()
+            assert {r.node for r in iterate.closure(spark.createDataFrame([(k,) for k in seeds], "node long"), way).collect()} == want
+            assert shape == "braid" or len(cuts) < 45
+
+
 def test_update_axis(spark):
     """A main stem 5-3-1-0 of hack 1, a tributary 4-3 of hack 2, and a braid 3-2-1 of hack 1 beside the stem."""
     rows = [(1, 5, 3, 1, 3.0, 2.0), (2, 3, 1, 1, 1.0, 2.0), (3, 1, 0, 1, 0.0, 1.0), (4, 4, 3, 2, 3.0, 1.5), (5, 3, 2, 1, 2.0, 1.5), (6, 2, 1, 1, 1.0, 1.5)]

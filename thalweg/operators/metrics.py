@@ -67,21 +67,36 @@ def maximum_on_shortest_path(edges: DataFrame, targets: DataFrame, cap: float =
     return nodes.join(far, "node", "left").select("node", F.col("value").alias("distance"), F.coalesce(F.col("worst"), F.lit(cap)).alias("max_cost"))
 
 
+#: Ends of segments that are looked at together.
+WIDE = 256
+
+
 def segment_breaks(x: np.ndarray, kmax: int) -> list[int]:
     """Starts of the optimal piecewise-constant segments of x, their number by the Bayesian criterion."""
     n = len(x)
     if n < 3 or kmax < 2:
         return [0]
     s, q = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
-    i = np.arange(n + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cost = q[None, :] - q[:, None] - (s[None, :] - s[:, None]) ** 2 / (i[None, :] - i[:, None])
-    cost[i[:, None] >= i[None, :]] = np.inf
-    best, back, scores = [cost[0]], [], []
-    for _ in range(1, min(kmax + 1, n)):
-        total = best[-1][:, None] + cost
-        back.append(np.argmin(total, axis=0))
-        best.append(np.min(total, axis=0))
+
+    def cost(low: int, high: int) -> np.ndarray:
+        """The errors of segments from each start to the ends low to high - 1."""
+        i, j = np.arange(high)[:, None], np.arange(low, high)[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i)
+        out[i >= j] = np.inf
+        return out
+
+    levels = min(kmax + 1, n)
+    best, back, scores = np.full((levels, n + 1), np.inf), np.zeros((levels - 1, n + 1), np.int32), []
+    # Ends go in blocks, so that memory is that of a block's errors and of the levels.
+    for low in range(0, n + 1, WIDE):
+        high = min(low + WIDE, n + 1)
+        errors = cost(low, high)
+        best[0, low:high] = errors[0]
+        for k in range(1, levels):
+            total = best[k - 1, :high, None] + errors
+            back[k - 1, low:high] = np.argmin(total, axis=0)
+            best[k, low:high] = np.min(total, axis=0)
     for k, c in enumerate(best, 1):
         scores.append(n * np.log(max(c[n], 1e-12) / (n - 1)) + 2 * k * np.log(n))
     k, at, cuts = int(np.argmin(scores)), n, []

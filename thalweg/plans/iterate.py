@@ -34,14 +34,43 @@ def some(df: DataFrame) -> bool:
 
 
 def closure(seeds: DataFrame, steps: DataFrame) -> DataFrame:
-    """The nodes that steps (src, dst) reach from seeds (node), seeds included. Cycles are allowed."""
+    """The nodes that steps (src, dst) reach from seeds (node), seeds included. Cycles are allowed.
+
+    What isn't reached after PATIENCE rounds is found by pointer jumping where steps are a tree's: every node is
+    entered by one step, or left by one. Elsewhere rounds are the steps of the longest way.
+    """
     seen = frontier = cut(seeds.select("node").distinct())
+    rounds = 0
     while True:
         ahead = steps.join(frontier, steps.src == frontier.node).select(F.col("dst").alias("node")).distinct()
         frontier = cut(ahead.join(seen, "node", "left_anti"))
         if not some(frontier):
             return seen
         seen = seen.union(frontier)
+        rounds += 1
+        if rounds == PATIENCE:
+            many = lambda c: some(steps.select("src", "dst").distinct().groupBy(c).agg(F.count("*").alias("n")).where("n > 1"))
+            if not many("dst"):
+                # A node is reached if the way back from it meets a node seen.
+                held = seen.select(F.col("node").alias("id"), F.lit(True).alias("held"))
+                back = steps.select(F.col("dst").alias("id"), F.col("src").alias("next")).distinct().join(held, "id", "left")
+                tops = seen.join(steps.select(F.col("dst").alias("node")), "node", "left_anti").select(F.col("node").alias("id"), F.lit(None).cast(dict(back.dtypes)["next"]).alias("next"), F.lit(True).alias("held"))
+                root = jump(back.unionByName(tops), stop=F.col("held").isNotNull())
+                return cut(root.join(seen.select(F.col("node").alias("root")), "root", "left_semi").select(F.col("id").alias("node")).union(seen).distinct())
+            if not many("src"):
+                return cut(_along(frontier, steps).union(seen).distinct())
+
+
+def _along(seeds: DataFrame, steps: DataFrame) -> DataFrame:
+    """(node): what is on the ways from seeds where each node has one step out: marks go 2**k steps on in round k."""
+    nodes = steps.select(F.col("src").alias("id")).union(steps.select("dst")).distinct()
+    marked = seeds.select(F.col("node").alias("id"), F.lit(True).alias("on"))
+    state = cut(nodes.join(steps.select(F.col("src").alias("id"), F.col("dst").alias("next")).distinct(), "id", "left").join(marked, "id", "left").select("id", "next", F.coalesce("on", F.lit(False)).alias("on")))
+    for _ in range(math.ceil(math.log2(max(2, state.count()))) + 1):
+        sent = state.where("on and next is not null").select(F.col("next").alias("id"), F.lit(True).alias("new")).distinct()
+        far = state.select(F.col("id").alias("next"), F.col("next").alias("n2"))
+        state = cut(state.join(far, "next", "left").join(sent, "id", "left").select("id", F.col("n2").alias("next"), (F.col("on") | F.col("new").isNotNull()).alias("on")))
+    return state.where("on").select(F.col("id").alias("node"))
 
 
 #: Rounds after which `relax` looks for chains to contract.
