@@ -190,8 +190,16 @@ _q("line_z_slope", lambda v: line_z_slope(v).select("fid", "pos", "z"), """, a A
  b AS (SELECT *, (z0 - z1) / (d0 + lead(d0) OVER w) AS s, count(*) OVER (PARTITION BY fid) AS n FROM a WINDOW w AS (PARTITION BY fid ORDER BY pos)), c AS (SELECT *, lead(s) OVER w AS sn, lag(s) OVER w AS sp FROM b WINDOW w AS (PARTITION BY fid ORDER BY pos))
  SELECT fid, pos, round(CASE WHEN n <= 2 THEN 0 ELSE coalesce(s, CASE WHEN z0 IS NULL THEN sn ELSE sp END) END, 5) AS z FROM c""", "verts")
 _q("orthogonal_transects", lambda s: orthogonal_transects(s, 40), ", c AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS d FROM segs) SELECT fid, round((ax + bx) / 2 - (by_ - ay) / d * 20, 5) AS ax, round((ay + by_) / 2 + (bx - ax) / d * 20, 5) AS ay, round((ax + bx) / 2 + (by_ - ay) / d * 20, 5) AS bx, round((ay + by_) / 2 - (bx - ax) / d * 20, 5) AS by_ FROM c", "segs")
-_q("knick_points", lambda v: knick_points(to_lines(v.withColumn("z", F.lit(1000.0) - F.col("x") / 10 - F.col("z") / 20)), 2.0, 1.0, 0.5), None, "verts")
-_q("maximum_on_shortest_path", lambda k: maximum_on_shortest_path(k.withColumn("cost", F.expr("fid % 61")), k.where("nodea % 500 = 3").select(F.col("nodea").alias("node"))), None, "links")
+_KNICK = """, v AS (SELECT fid, pos, x, y, 1000 - x / 10 - z / 20 AS z, count(*) OVER (PARTITION BY fid) AS n FROM verts), t AS (SELECT fid, (arg_min(z, pos) - arg_max(z, pos)) / greatest(1e-4, ln(sum(d))) AS rset FROM (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM v WINDOW w AS (PARTITION BY fid ORDER BY pos)) GROUP BY fid),
+ r AS (SELECT fid, pos, x, y, z, 0e0 AS far, false AS hit, 0e0 AS dz, 0e0 AS dl FROM v WHERE pos = 1 UNION ALL SELECT fid, pos, CASE WHEN hit THEN vx ELSE x END, CASE WHEN hit THEN vy ELSE y END, CASE WHEN hit THEN vz ELSE z END, CASE WHEN hit THEN far + dl ELSE far END, hit, dz, dl FROM
+ (SELECT *, dz >= 2 AND dl > 0 AS hit FROM (SELECT v.fid, v.pos, r.x, r.y, r.z, r.far, v.x AS vx, v.y AS vy, v.z AS vz, r.z - v.z AS dz, sqrt(pow(v.x - r.x, 2) + pow(v.y - r.y, 2)) AS dl FROM r JOIN v ON v.fid = r.fid AND v.pos = r.pos + 1 WHERE v.pos < v.n)))
+ SELECT r.fid, x, round(y, 5) AS y, round(z, 5) AS z, round(dz, 5) AS dz, round(dz / dl * far / rset, 5) AS rse FROM r JOIN t ON t.fid = r.fid WHERE hit AND rset >= 5e-1 AND dz / dl * far / rset >= 5e-1"""
+_q("knick_points", lambda v: knick_points(to_lines(v.withColumn("z", F.lit(1000.0) - F.col("x") / 10 - F.col("z") / 20)), 2.0, 1.0, 0.5), _KNICK.replace("rset >= 5e-1 AND dz / dl * far / rset >= 5e-1", "rset >= 5e-1 AND dz / dl * far / rset >= 1"), "verts", recursive=True)
+# The links are a tree, so ways from a target never meet again.
+_SHORT = """, e AS (SELECT nodea AS a, nodeb AS b, length, CAST(fid % 61 AS DOUBLE) AS cost FROM links WHERE fid % 61 < 60), u AS (SELECT a, b, length, cost FROM e UNION ALL SELECT b, a, length, cost FROM e), t AS (SELECT nodea AS node FROM links WHERE nodea % 500 = 3),
+ p AS (SELECT node, node AS prev, 0e0 AS dist, -1e0 AS worst FROM t UNION ALL SELECT u.b, p.node, p.dist + u.length, greatest(p.worst, u.cost) FROM p JOIN u ON u.a = p.node AND u.b <> p.prev), n AS (SELECT nodea AS node FROM links UNION SELECT nodeb FROM links)
+ SELECT n.node, round(min(dist), 5) AS distance, coalesce(arg_min(worst, dist), 60) AS max_cost FROM n LEFT JOIN p ON p.node = n.node WHERE n.node NOT IN (SELECT node FROM t) GROUP BY n.node"""
+_q("maximum_on_shortest_path", lambda k: maximum_on_shortest_path(k.withColumn("cost", F.expr("fid % 61")), k.where("nodea % 500 = 3").select(F.col("nodea").alias("node"))), _SHORT, "links", recursive=True)
 _q("aggregate_features", lambda v: aggregate_features(v.selectExpr("fid axis", "pos fid", "pos ord", "y metric")).select("axis", "fid", "ago"), None, "verts")
 _q("aggregate_features_dissolve", lambda v: aggregate_features(v.selectExpr("fid axis", "pos fid", "pos ord", "y metric"), True), None, "verts")
 #: Bends of the vertices of a table b0 (fid, pos, x, y).

@@ -549,7 +549,11 @@ _HACK = """, w AS (SELECT nodea AS k, nodea AS below FROM links UNION ALL SELECT
  SELECT l.*, x.axis, h.hack, round(la.laxis, 6) AS laxis FROM links l JOIN x ON x.nodea = l.nodea JOIN h ON h.nodea = l.nodea JOIN la ON la.axis = x.axis"""
 _q("hack_order", lambda k: _rounded(hack_order(k), "laxis"), _HACK, "links", recursive=True)
 _q("merge_short_links", lambda k: merge_short_links(hack_order(k), 500.0).select("fid", "axis", "ugo"), None, "links")
-_q("fix_network_connectivity", lambda k: fix_network_connectivity(k, k.where("fid >= 10000000 or fid % 5 <> 1")), None, "links_dag")
+_JOINED = """, sub AS (SELECT * FROM links_dag WHERE fid >= 10000000 OR fid % 5 <> 1), lo AS (SELECT DISTINCT nodeb AS node FROM sub WHERE nodeb NOT IN (SELECT nodea FROM sub) AND nodeb IN (SELECT nodea FROM links_dag)),
+ en AS (SELECT nodea AS node FROM sub UNION SELECT nodeb FROM links_dag WHERE nodeb NOT IN (SELECT nodea FROM links_dag)), p AS (SELECT node AS start, node, 0e0 AS dist, []::BIGINT[] AS way FROM lo UNION ALL
+ SELECT p.start, l.nodeb, p.dist + l.length, list_append(p.way, l.fid) FROM p JOIN links_dag l ON l.nodea = p.node WHERE p.node NOT IN (SELECT node FROM en)), b AS (SELECT start, arg_min(way, dist) AS way FROM p WHERE node IN (SELECT node FROM en) GROUP BY start)
+ SELECT * FROM sub UNION SELECT l.* FROM links_dag l WHERE l.fid IN (SELECT unnest(way) FROM b)"""
+_q("fix_network_connectivity", lambda k: fix_network_connectivity(k, k.where("fid >= 10000000 or fid % 5 <> 1")), _JOINED, "links_dag", recursive=True)
 _q("identify_network_nodes", lambda k: identify_network_nodes(k)[0].select("fid", "nodea", "nodeb"), """, e AS (SELECT fid, 0 AS e, ax AS x, ay AS y FROM lines UNION ALL SELECT fid, 1, bx, by_ FROM lines), f AS (SELECT x, y, min(fid * 2 + e) AS seen FROM e GROUP BY x, y),
  g AS (SELECT x, y, row_number() OVER (ORDER BY seen) - 1 AS gid FROM f) SELECT l.fid, a.gid AS nodea, b.gid AS nodeb FROM lines l JOIN g a ON a.x = l.ax AND a.y = l.ay JOIN g b ON b.x = l.bx AND b.y = l.by_""", "lines")
 QUERIES["fix_link_orientation"] = lambda spark, sf_dir: (lambda k: fix_link_orientation(k, k.select(F.col("nodea").alias("id")).union(k.select("nodeb")).distinct().selectExpr("id node", "id * 37 % 101 z")))(load(spark, sf_dir, "links"))

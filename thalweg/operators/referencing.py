@@ -93,7 +93,7 @@ _ref = lambda s: s.withColumnRenamed("fid", "seg")
 _SIDE = "CAST(sign((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) AS INT)"
 _q("locate_point_along_network", lambda p, s: locate_point_along_network(p, _ref(s)), _NEAR + f" SELECT fid, seg AS axis, round(am + (bm - am) * t, 5) AS locm, round(dist, 5) AS distance, {_SIDE} AS side FROM n", "points", "segs")
 _q("point_axis_transform", lambda p, s: point_axis_transform(p, _ref(s)), _NEAR + f" SELECT fid, seg AS axis, round(am + (bm - am) * t, 5) AS rx, round(dist * {_SIDE}, 5) AS ry FROM n", "points", "segs")
-_q("axis_transform", lambda v, s: axis_transform(v, _ref(s)), None, "verts", "segs")
+_q("axis_transform", lambda v, s: axis_transform(v, _ref(s)), ", points AS (SELECT fid * 100000 + pos AS fid, x, y FROM verts)" + _NEAR + f" SELECT fid // 100000 AS fid, CAST(fid % 100000 AS INT) AS pos, seg AS axis, round(am + (bm - am) * t, 5) AS x, round(dist * {_SIDE}, 5) AS y FROM n", "verts", "segs")
 _q("locate_polygon_along_network", lambda q, s: locate_polygon_along_network(q.selectExpr("fid", "cx x", "cy y", "cx - rx minx", "cy - ry miny", "cx + rx maxx", "cy + ry maxy"), _ref(s)), """, e AS (SELECT fid AS seg, ax AS vx, ay AS vy, * EXCLUDE (fid) FROM segs UNION ALL SELECT fid, bx, by_, * EXCLUDE (fid) FROM segs),
  i AS (SELECT q.fid, cx, cy, e.*, row_number() OVER (PARTITION BY q.fid ORDER BY hack, sqrt((vx - cx) * (vx - cx) + (vy - cy) * (vy - cy)), seg) AS rn FROM quads q JOIN e ON vx BETWEEN cx - rx AND cx + rx AND vy BETWEEN cy - ry AND cy + ry)
  SELECT fid, seg AS axis, round(am + (bm - am) * greatest(0, least(1, ((cx - ax) * (bx - ax) + (cy - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))), 5) AS locm FROM i WHERE rn = 1""", "quads", "segs")

@@ -104,7 +104,8 @@ _q("smooth_lines", lambda v: vector.to_vertices(smooth(vector.to_lines(v))).sele
 QUERIES["densify_lines"] = lambda spark, sf_dir: _round(vector.to_vertices(densify(vector.to_lines(load(spark, sf_dir, "verts")), 4.0)).select("fid", "pos", "x", "y"), 8)
 SQL["densify_lines"] = sql(_PAIRS + """, d AS (SELECT *, CASE WHEN bx IS NULL THEN 1 ELSE greatest(1, CAST(ceil(sqrt((bx - x) * (bx - x) + (by_ - y) * (by_ - y)) / 4) AS BIGINT)) END AS parts FROM e), u AS (SELECT *, unnest(generate_series(0, parts - 1)) AS i FROM d)
  SELECT fid, CAST(row_number() OVER (PARTITION BY fid ORDER BY pos, i) AS INT) AS pos, round(CASE WHEN bx IS NULL THEN x ELSE x + (bx - x) * (i / parts) END, 8) AS x, round(CASE WHEN bx IS NULL THEN y ELSE y + (by_ - y) * (i / parts) END, 8) AS y FROM u""", "verts")
-_q("disaggregate_network", lambda v: disaggregate_network(vector.to_lines(v), v.selectExpr("pos + fid * 100000L fid", "fid axis", "x + 3 x", "y + 2 y"), 100.0), None, "verts")
+_q("disaggregate_network", lambda v: disaggregate_network(vector.to_lines(v), v.selectExpr("pos + fid * 100000L fid", "fid axis", "x + 3 x", "y + 2 y"), 100.0), vector._CUM + """, k AS (SELECT s.*, unnest(generate_series(CAST(ceil(start / 100) AS BIGINT), CAST(ceil((start + len) / 100) AS BIGINT) - 1)) AS k FROM s), st AS (SELECT fid AS axis, k, x + (nx - x) * (k * 100 - start) / len AS sx, y + (ny - y) * (k * 100 - start) / len AS sy FROM k),
+ d AS (SELECT v.pos + v.fid * 100000 AS fid, v.fid AS axis, st.k, sqrt(pow(v.x + 3 - sx, 2) + pow(v.y + 2 - sy, 2)) AS dist FROM verts v JOIN st ON st.axis = v.fid) SELECT fid, axis, k AS dgo, k * 100e0 AS position FROM d QUALIFY row_number() OVER (PARTITION BY fid ORDER BY dist, k) = 1""", "verts")
 _q("valley_bottom", lambda d: valley_bottom(terrain.relative_dem(d, d.where(terrain._ON).select("row", "col")), -60, 60), None, "dem")
 _q("sequencing", lambda s, d: sequencing(_lines(s), d), None, "segs", "dem")
 _q("elevation_and_slope", lambda s, d: elevation_and_slope(_lines(s), d), """, l AS (SELECT fid, fid * 7 % 40 + 3e-1 AS ax, fid * 11 % 40 + 6e-1 AS ay, fid * 13 % 40 + 4e-1 AS bx, fid * 17 % 40 + 1e-1 AS by_ FROM segs)

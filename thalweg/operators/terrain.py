@@ -388,7 +388,9 @@ _q("shortest_distance", lambda d: shortest_distance(d, _stream(d)), _KS + _KNOWN
 _q("shortest_distance_reference", lambda d: shortest_reference(d.withColumn("value", F.when(F.expr(_ON), F.col("value")).otherwise(-99999.0))), _KS + f", c AS (SELECT row, col, CASE WHEN {_ON} THEN value ELSE -99999e0 END AS value FROM dem), c2 AS (SELECT * FROM c WHERE value IS NOT NULL)" + _SPREAD.format(cells="c2", v="value", start="value <> -99999", same="", also="", t_also="") + " SELECT c.row, c.col, CASE WHEN c.value IS NOT NULL THEN coalesce(f.b[2], c.value) END AS value, round(f.b[1], 6) AS dist FROM c LEFT JOIN f ON f.row = c.row AND f.col = c.col", "dem", recursive=True)
 _WS = _SHED.replace(" SELECT t.row, t.col, coalesce(w.v, 0) AS value FROM t LEFT JOIN w ON w.row = t.row AND w.col = t.col", ", ws AS (SELECT t.row, t.col, coalesce(w.v, 0) AS ws FROM t LEFT JOIN w ON w.row = t.row AND w.col = t.col), c AS (SELECT d.*, ws.ws FROM dem d JOIN ws ON ws.row = d.row AND ws.col = d.col WHERE d.value IS NOT NULL)")
 _q("hand_in_same_watershed", lambda d, f: hand_in_watershed(d, _stream(d), watershed(_target(f), f)), _WS + _KS + _SPREAD.format(cells="c", v="value", start=_ON, same=" AND t.ws = s.ws", also=", ws", t_also=", t.ws") + " SELECT d.row, d.col, round(d.value - f.b[2], 6) AS value FROM dem d LEFT JOIN f ON f.row = d.row AND f.col = d.col", "dem", "flow", recursive=True)
-_q("hand_combined", lambda d, f, s: hand_combined(d, _stream(d), watershed(_target(f), f), f, s.withColumn("value", F.col("value") % 5)), None, "dem", "flow", "dem2")
+_DOWN = f""", ds AS (SELECT row, col, value, {_ON} AS s FROM dem), dn AS (SELECT row, col, value AS ref FROM ds WHERE s UNION ALL SELECT st.row, st.col, dn.ref FROM dn JOIN st ON st.nr = dn.row AND st.nc = dn.col JOIN ds ON ds.row = st.row AND ds.col = st.col WHERE NOT ds.s)"""
+_q("hand_combined", lambda d, f, s: hand_combined(d, _stream(d), watershed(_target(f), f), f, s.withColumn("value", F.col("value") % 5)), _WS + _DOWN + _KS + _SPREAD.format(cells="c", v="value", start=_ON, same=" AND t.ws = s.ws", also=", ws", t_also=", t.ws") + """
+ SELECT d.row, d.col, round(CASE WHEN e.value % 5 > 2 AND d.value - dn.ref IS NOT NULL THEN d.value - dn.ref ELSE d.value - f.b[2] END, 6) AS value FROM dem d LEFT JOIN f ON f.row = d.row AND f.col = d.col LEFT JOIN dn ON dn.row = d.row AND dn.col = d.col LEFT JOIN dem2 e ON e.row = d.row AND e.col = d.col""", "dem", "flow", "dem2", recursive=True)
 _q("land_cover_continuity", lambda d: land_cover_continuity(d.withColumn("value", (F.col("value") % 3 + 1).cast("int")), _stream(d)), None, "dem")
 _FILL = _KS + _KNOWN + """, p AS (SELECT a.row, a.col, b.row AS nr, b.col AS nc FROM c a, o, c b WHERE b.row = a.row + dr AND b.col = a.col + dc), i AS (SELECT row, col FROM p GROUP BY 1, 2 HAVING count(*) = 8),
  s AS (SELECT 0 AS k, c.row, c.col, CASE WHEN i.row IS NULL THEN c.value ELSE 1e300 END AS w, true AS go FROM c LEFT JOIN i ON i.row = c.row AND i.col = c.col UNION ALL

@@ -364,7 +364,8 @@ _q("hex_samples", lambda q: hex_samples(diamonds(q), 9.0), f""", r AS (SELECT *,
  p AS (SELECT *, i * 9.0 + CASE WHEN j % 2 <> 0 THEN 4.5 ELSE 0 END AS x, j * (9 * sqrt(3) / 2) AS y FROM c) SELECT fid, x::DOUBLE AS x, round(y, 4) AS y FROM p WHERE {_IN}""", "quads")
 _q("poisson_disc_samples", lambda q: poisson_disc_samples(diamonds(q), 8.0), None, "quads")
 _q("line_buffer_by_m", lambda v: buffer_by_m(set_m(to_lines(v), F.lit(5.0))).select("fid", g.ring_area(F.element_at("rings", 1)).alias("area")), None, "verts")
-_q("cut_and_rotate_ring", lambda q, p: cut_and_rotate_ring(diamonds(q), p, 30.0).select("fid", F.element_at(F.element_at("rings", 1), 1)["x"].alias("x"), F.element_at(F.element_at("rings", 1), 1)["y"].alias("y")), None, "quads", "points")
+_q("cut_and_rotate_ring", lambda q, p: cut_and_rotate_ring(diamonds(q), p, 30.0).select("fid", F.element_at(F.element_at("rings", 1), 1)["x"].alias("x"), F.element_at(F.element_at("rings", 1), 1)["y"].alias("y")), """, v AS (SELECT fid, unnest([0, 1, 2, 3]) AS i, unnest([cx + rx, cx, cx - rx, cx]) AS x, unnest([cy, cy + ry, cy, cy - ry]) AS y FROM quads), d AS (SELECT v.fid, v.i, p.fid AS other, sqrt(pow(p.x - v.x, 2) + pow(p.y - v.y, 2)) AS dist FROM v, points p),
+ b AS (SELECT fid, i FROM d WHERE dist <= 30 QUALIFY row_number() OVER (PARTITION BY fid ORDER BY dist, other, i) = 1) SELECT v.fid, round(v.x, 4) AS x, round(v.y, 4) AS y FROM v LEFT JOIN b ON b.fid = v.fid WHERE v.i = coalesce(b.i, 0)""", "quads", "points")
 _q("voronoi_transects", lambda v: voronoi_transects(v.selectExpr("fid axis", "pos seq", "x", "y"), 20.0), """, p AS (SELECT fid AS axis, pos AS seq, (x + nx) / 2 AS ox, (y + ny) / 2 AS oy, atan2(ny - y, nx - x) AS a FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM verts WINDOW w AS (PARTITION BY fid ORDER BY pos)) WHERE nx IS NOT NULL)
  SELECT axis, seq, round(ox, 4) AS ox, round(oy, 4) AS oy, round(ox - sin(a) * 10, 4) AS ax, round(oy + cos(a) * 10, 4) AS ay, round(ox + sin(a) * 10, 4) AS bx, round(oy - cos(a) * 10, 4) AS by_ FROM p""", "verts")
 _q("reverse_lines", lambda v: to_vertices(to_lines(v).withColumn("geom", F.reverse("geom"))).select("fid", "pos", "x", "y"), " SELECT fid, CAST(count(*) OVER (PARTITION BY fid) - pos + 1 AS INT) AS pos, x, y FROM verts", "verts")
