@@ -125,7 +125,7 @@ _SNAP = """, l AS (SELECT fid, fid * 2 + 1 AS nodea, fid * 2 + 2 AS nodeb, ax, a
  d AS (SELECT *, sqrt(pow(ax + (bx - ax) * t - x, 2) + pow(ay + (by_ - ay) * t - y, 2)) AS dist FROM p), b AS (SELECT * FROM d WHERE dist <= 60 QUALIFY row_number() OVER (PARTITION BY node ORDER BY dist, fid) = 1),
  s AS (SELECT *, row_number() OVER (ORDER BY fid, t, node) - 1 AS rank, (SELECT max(node) FROM n) + row_number() OVER (ORDER BY fid, t, node) AS new FROM b), c AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY t, node) - 1 AS part FROM s WHERE t > 0),
  pc AS (SELECT fid, part, coalesce(lag(node) OVER w, nodea) AS nodea, new AS nodeb, (t - coalesce(lag(t) OVER w, 0)) * sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS length FROM c WINDOW w AS (PARTITION BY fid ORDER BY part)
-   UNION ALL SELECT fid, part + 1, node, nodeb, (1 - t) * sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) FROM c WHERE t < 1 QUALIFY part = max(part) OVER (PARTITION BY fid))
+   UNION ALL SELECT fid, part + 1, node, nodeb, (1 - t) * sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) FROM (SELECT * FROM c QUALIFY part = max(part) OVER (PARTITION BY fid)) WHERE t < 1)
  SELECT fid, 'line' AS kind, 0 AS part, nodea, nodeb, round(sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)), 6) AS length FROM l WHERE fid NOT IN (SELECT fid FROM c) UNION ALL SELECT fid, 'piece', part, nodea, nodeb, round(length, 6) FROM pc UNION ALL SELECT fid, 'connector', rank, node, new, round(dist, 6) FROM s WHERE dist > 0"""
 _two = lambda s: to_lines(s.select("fid", F.explode(F.expr("array(struct(1 pos, ax x, ay y), struct(2 pos, bx x, by_ y))")).alias("v")).select("fid", "v.*")).select("fid", (F.col("fid") * 2 + 1).alias("nodea"), (F.col("fid") * 2 + 2).alias("nodeb"), "geom")
 _q("connect_lines", lambda s: connect_lines(_two(s), 60.0).select("fid", "kind", "part", "nodea", "nodeb", F.round(g.length(F.col("geom")), 6).alias("length")), _SNAP, "segs")
