@@ -1,6 +1,7 @@
 """Rounds of operators that follow graphs and grids: logarithmic where the shape is deep; axes, connected lines, pits and statistics."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -176,3 +177,28 @@ def test_hubert_test(spark):
     assert got[2] == (1, False)
     flat = metrics.range_test(spark.createDataFrame([(1, 1, 2.0), (1, 1, 2.0), (1, 2, 2.0), (2, 1, 5.0)], "axis long, ago long, metric double")).collect()
     assert [(r.axis, r.ago, r.p, r.differs) for r in flat] == [(1, 1, None, False)]
+
+
+def test_tables_of_past_rounds_are_deleted(spark):
+    """What rounds leave in the shared folder doesn't grow with them, and results can still be read."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+
+    def left(work):
+        before = set(os.listdir(folder))
+        found = work()
+        return len(set(os.listdir(folder)) - before), found.count()
+
+    for n in (5, 12):
+        chain = spark.range(n).selectExpr("id", "case when id > 0 then id - 1 end next", "1.0D w")
+        steps = spark.range(1, n).selectExpr("id - 1 src", "id dst", "1.0D cost")
+        start = spark.range(1).selectExpr("id", "id node", "0.0D value")
+        pairs = spark.range(1, n).selectExpr("id a", "id - 1 b")
+        assert left(lambda: iterate.jump(chain, carry={"w": "sum"})) == (1, n)  # noqa: B023
+        assert left(lambda: iterate.relax(start, steps, "min", contract=False)) == (2, n)  # noqa: B023
+        assert left(lambda: iterate.components(pairs)) == (1, n)  # noqa: B023
+        assert left(lambda: iterate.loops(chain.selectExpr("id", f"(id + 1) % {n} next"))) == (1, n)  # noqa: B023
+        assert left(lambda: terrain.spread(steps, start)) == (2, n)  # noqa: B023
+        assert left(lambda: network.sum_upstream(chain.select("id", "next"), chain.select("id", "w"))) == (1, n)  # noqa: B023
+    plain = iterate.cut(start)
+    iterate.drop(plain.select("id"))
+    assert plain.count() == 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..plans.iterate import cut, some
+from ..plans.iterate import cut, drop, some
 from ..plans.spatial_join import within
 from ..sources.derived import load, sql
 from .network import numbered, sum_upstream
@@ -45,8 +45,10 @@ def update_axis(links: DataFrame) -> DataFrame:
         went = frontier.select("source", "order", "node", "dist").join(steps, "node").where(F.col("hack") >= F.col("order"))
         tried = went.groupBy("source", "order", F.col("to").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("length")).alias("dist"), "by")).alias("new"))
         old = state.select("source", "node", F.col("dist").alias("old"))
+        past = state, frontier
         frontier = cut(tried.join(old, ["source", "node"], "left").where("old is null or new.dist < old").select("source", "order", "node", "new.dist", "new.by"))
         state = cut(state.join(frontier.select("source", "node"), ["source", "node"], "left_anti").unionByName(frontier))
+        drop(*past)
     lowest = links.groupBy(F.col("nodea").alias("node")).agg(F.min("hack").alias("lowest"))
     ends = state.join(lowest, "node", "left").where("lowest is null or lowest < order").groupBy("source").agg(F.min(F.struct("dist", "node")).alias("end")).select("source", "end.*")
     ends = cut(ends)

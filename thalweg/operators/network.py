@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid
-from ..plans.iterate import closure, components, cut, jump, relax, some
+from ..plans.iterate import closure, components, cut, drop, jump, relax, some
 from ..sources.derived import load, sql
 
 # Node types by (links in, links out), 2 standing for two or more.
@@ -177,7 +177,8 @@ def _trimmed(links: DataFrame) -> DataFrame:
     n = rest.count()
     while n:
         kept = rest.join(rest.select(F.col("nodeb").alias("nodea")).distinct(), "nodea", "left_semi").join(rest.select(F.col("nodea").alias("nodeb")).distinct(), "nodeb", "left_semi")
-        rest = cut(kept)
+        past, rest = rest, cut(kept)
+        drop(past)
         m = rest.count()
         if m == n:
             break
@@ -205,11 +206,12 @@ def strong_components(links: DataFrame) -> DataFrame:
 
 def _lowest(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     """(id, label): the smallest id that reaches each node."""
-    label = cut(nodes.select("id", F.col("id").alias("label")))
+    label = held = cut(nodes.select("id", F.col("id").alias("label")))
     while True:
         near = steps.join(label.toDF("src", "theirs"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("theirs").alias("theirs"))
         after = cut(label.join(near, "id", "left").select("id", F.least("label", "theirs").alias("label"), F.col("label").alias("was")))
-        label = after.select("id", "label")
+        drop(held)
+        held, label = after, after.select("id", "label")
         if not some(after.where("label <> was")):
             return label
 
@@ -367,7 +369,8 @@ def sum_upstream(steps: DataFrame, weights: DataFrame, how: str = "sum") -> Data
             return state.select("id", "total")
         sent = state.where("next is not null").groupBy(F.col("next").alias("id")).agg(gather("total").alias("more"))
         far = state.select(F.col("id").alias("next"), F.col("next").alias("n2"))
-        state = cut(state.join(far, "next", "left").join(sent, "id", "left").select("id", both("total", F.col("more")).alias("total"), F.col("n2").alias("next")))
+        past, state = state, cut(state.join(far, "next", "left").join(sent, "id", "left").select("id", both("total", F.col("more")).alias("total"), F.col("n2").alias("next")))
+        drop(past)
     return state.select("id", F.when(F.col("next").isNull(), F.col("total")).alias("total"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid
-from ..plans.iterate import cut, jump, relax, some
+from ..plans.iterate import cut, drop, jump, relax, some
 from ..sources.derived import load, sql
 from .network import sum_upstream
 from .raster import KEYS, rasterize
@@ -79,7 +79,8 @@ def nearest_cells(cells: DataFrame, targets: DataFrame, block: int = 16) -> Data
         best = here.join(sent, ["br", "bc"]).groupBy(*KEYS).agg(F.min(F.struct(d.alias("dist"), "trow", "tcol")).alias("b")).where(F.col("b.dist") <= reach)
         got = cut(best.select("row", "col", "b.trow", "b.tcol", "b.dist"))
         out = got if out is None else out.unionByName(got)
-        rest = cut(rest.join(got.select(*KEYS), KEYS, "left_anti"))
+        past, rest = rest, cut(rest.join(got.select(*KEYS), KEYS, "left_anti"))
+        drop(past)
         reach *= 4
     return out if out is not None else rest.select("row", "col", F.lit(0).alias("trow"), F.lit(0).alias("tcol"), F.lit(0.0).alias("dist"))
 
@@ -135,8 +136,11 @@ def spread(steps: DataFrame, origins: DataFrame) -> DataFrame:
         offer = F.struct((F.round(F.col("dist") + F.col("cost"), 9)).alias("dist"), "value")
         tried = steps.join(frontier, steps.src == frontier.id).groupBy(F.col("dst").alias("id")).agg(F.min(offer).alias("new"))
         old = state.select("id", F.struct("dist", "value").alias("old"))
+        past = state, frontier
         frontier = cut(tried.join(old, "id", "left").where(F.col("old").isNull() | (F.col("new") < F.col("old"))).select("id", "new.*"))
         state = cut(state.join(frontier.select("id"), "id", "left_anti").unionByName(frontier))
+        drop(*past)
+    drop(steps)
     return state
 
 
@@ -234,11 +238,13 @@ def spill_levels(passes: DataFrame) -> DataFrame:
         rounds.append(cut(taken.select("id", "z").join(root, "id")))
         of = lambda side: root.select(F.col("id").alias(side), F.col("root").alias(f"{side}2"))  # noqa: E731, B023
         moved = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), "z").where("a <> b")
-        edges = cut(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("z").alias("z")))
+        past, edges = edges, cut(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("z").alias("z")))
+        drop(past, taken, root)
     level = None
     for part in reversed(rounds):
         above = part.withColumn("level", F.lit(None).cast("double")) if level is None else part.join(level.select(F.col("label").alias("root"), "level"), "root", "left")
-        level = cut(above.select(F.col("id").alias("label"), F.greatest("z", "level").alias("level")))
+        past, level = level, cut(above.select(F.col("id").alias("label"), F.greatest("z", "level").alias("level")))
+        drop(part, *([] if past is None else [past]))
     return level if level is not None else passes.select(F.col("a").alias("label"), F.col("z").alias("level"))
 
 
@@ -249,8 +255,10 @@ def _raised(cells: DataFrame, pairs: DataFrame, delta: float) -> DataFrame:
     while some(frontier):
         offer = pairs.join(frontier, pairs.other == frontier.id).groupBy(F.col("me").alias("id")).agg(F.min("w").alias("low"))
         better = state.join(offer, "id").withColumn("new", F.greatest("z", F.col("low") + delta)).where("new < w")
+        past = state, frontier
         frontier = cut(better.select("id", F.col("new").alias("w")))
         state = cut(state.join(frontier.withColumnRenamed("w", "new"), "id", "left").select("id", "z", F.coalesce("new", "w").alias("w")))
+        drop(*past)
     return state.select("id", "w")
 
 

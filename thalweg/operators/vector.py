@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..plans.iterate import cut, some
+from ..plans.iterate import cut, drop, some
 from ..plans.spatial_join import bucket, contains, nearest, nearest_k, within
 from ..sources.derived import load, sql
 
@@ -62,7 +62,8 @@ def simplify(verts: DataFrame, tolerance: float) -> DataFrame:
         kept = kept.unionByName(top.select("fid", "mid.*"))
         left = F.col("pos") < F.col("mid.pos")
         split = state.withColumn("lo", F.col("a.pos")).join(top, ["fid", "lo"]).where("pos <> mid.pos")
-        state = cut(split.select("fid", "pos", "x", "y", F.when(left, F.col("a")).otherwise(F.col("mid")).alias("a"), F.when(left, F.col("mid")).otherwise(F.col("b")).alias("b")))
+        past, state = state, cut(split.select("fid", "pos", "x", "y", F.when(left, F.col("a")).otherwise(F.col("mid")).alias("a"), F.when(left, F.col("mid")).otherwise(F.col("b")).alias("b")))
+        drop(past)
     return kept
 
 

@@ -1,7 +1,8 @@
 """Plans that need rounds: reachability, relaxation, pointer jumping and components.
 
 Every round is a join and an aggregate over DataFrames; `cut` writes its result to the folder that
-spark.checkpoint.dir names, so that plans stay short and executors may be lost.
+spark.checkpoint.dir names, so that plans stay short and executors may be lost. Once a round is written, `drop`
+deletes the tables of the round before, which nothing reads any more: what is kept does not grow with the rounds.
 """
 
 from __future__ import annotations
@@ -10,11 +11,16 @@ import math
 import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The folder of each table that `cut` returned.
+FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again."""
     spark = df.sparkSession
@@ -26,7 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    FOLDERS[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that `cut` returned and no pending result reads; other tables are left alone."""
+    for path in {FOLDERS.pop(t) for t in tables if t in FOLDERS}:
+        spark = tables[0].sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def some(df: DataFrame) -> bool:
@@ -69,7 +85,8 @@ def _along(seeds: DataFrame, steps: DataFrame) -> DataFrame:
     for _ in range(math.ceil(math.log2(max(2, state.count()))) + 1):
         sent = state.where("on and next is not null").select(F.col("next").alias("id"), F.lit(True).alias("new")).distinct()
         far = state.select(F.col("id").alias("next"), F.col("next").alias("n2"))
-        state = cut(state.join(far, "next", "left").join(sent, "id", "left").select("id", F.col("n2").alias("next"), (F.col("on") | F.col("new").isNotNull()).alias("on")))
+        past, state = state, cut(state.join(far, "next", "left").join(sent, "id", "left").select("id", F.col("n2").alias("next"), (F.col("on") | F.col("new").isNotNull()).alias("on")))
+        drop(past)
     return state.where("on").select(F.col("id").alias("node"))
 
 
@@ -101,6 +118,7 @@ def relax(start: DataFrame, steps: DataFrame, best: str, extra: str | None = Non
         if rounds == PATIENCE and contract and limit is None:
             inner = cut(_inner(start, steps))
             if 4 * inner.count() > steps.count():
+                drop(state, frontier)
                 return _relax_contracted(start, steps, inner, best, extra)
         if best == "max" and rounds > PATIENCE and rounds > state.count():
             raise ValueError("the steps hold a cycle")
@@ -108,8 +126,10 @@ def relax(start: DataFrame, steps: DataFrame, best: str, extra: str | None = Non
         cost = F.struct((F.col("value") + F.col("cost")).alias("value"), *worst)
         tried = steps.join(frontier, steps.src == frontier.node).groupBy(F.col("dst").alias("node")).agg(pick(cost).alias("new"))
         old = state.select("node", F.col("value").alias("old"))
+        past = state, frontier
         frontier = cut(tried.join(old, "node", "left").where(F.col("old").isNull() | better(F.col("new.value"), F.col("old"))).select("node", "new.*"))
         state = cut(state.join(frontier, "node", "left_anti").unionByName(frontier))
+        drop(*past)
         rounds += 1
     return state
 
@@ -149,7 +169,8 @@ def jump(df: DataFrame, stop: Column | None = None, carry: dict[str, str] | None
         own = state.join(far, "root", "left")
         moved = ~F.col("done") & F.col("r2").isNotNull()
         cols = [F.when(moved, join[k](c, f"{c}2")).otherwise(F.col(c)).alias(c) for c, k in carry.items()]
-        state = cut(own.select("id", F.when(moved, F.col("r2")).otherwise(F.col("root")).alias("root"), (F.col("done") | F.col("d2").isNull() | F.col("d2")).alias("done"), *cols))
+        past, state = state, cut(own.select("id", F.when(moved, F.col("r2")).otherwise(F.col("root")).alias("root"), (F.col("done") | F.col("d2").isNull() | F.col("d2")).alias("done"), *cols))
+        drop(past)
         if not some(state.where("not done")):
             break
         if not left:
@@ -160,22 +181,25 @@ def jump(df: DataFrame, stop: Column | None = None, carry: dict[str, str] | None
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component) of the graph of pairs (a, b): the smallest id reachable."""
     both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct().toDF("id", "other"))
-    label = cut(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component")))
+    label = held = cut(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component")))
     while True:
         near = both.join(label.toDF("other", "theirs"), "other").groupBy("id").agg(F.min("theirs").alias("theirs"))
         step = label.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "theirs").alias("component"))
         after = cut(step.join(label.toDF("component", "further"), "component", "left").select("id", F.coalesce(F.least("further", "component"), "component").alias("component"), "was"))
-        label = after.select("id", "component")
+        drop(held)
+        held, label = after, after.select("id", "component")
         if not some(after.where("component <> was")):
+            drop(both)
             return label
 
 
 def loops(df: DataFrame) -> DataFrame:
     """(id, ring) over (id, next) made of loops alone: the smallest id on each id's loop, in log rounds."""
-    state = cut(df.select("id", "next", F.least("id", "next").alias("ring")))
+    state = held = cut(df.select("id", "next", F.least("id", "next").alias("ring")))
     while True:
         far = state.select(F.col("id").alias("next"), F.col("next").alias("n2"), F.col("ring").alias("r2"))
         after = cut(state.join(far, "next").select("id", F.col("n2").alias("next"), F.least("ring", "r2").alias("ring"), (F.col("r2") < F.col("ring")).alias("moved")))
+        drop(held)
         if not some(after.where("moved")):
             return after.select("id", "ring")
-        state = after.drop("moved")
+        held, state = after, after.drop("moved")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import project
-from .iterate import cut, some
+from .iterate import cut, drop, some
 
 
 def bucket(v: Column, size: float) -> Column:
@@ -45,7 +45,8 @@ def nearest(points: DataFrame, segs: DataFrame, key: str, seg_key: str, radius:
     while some(rest):
         got = cut(best(within(rest, segs, reach)))
         out = got if out is None else out.unionByName(got)
-        rest = cut(rest.join(got.select(key), key, "left_anti"))
+        past, rest = rest, cut(rest.join(got.select(key), key, "left_anti"))
+        drop(past)
         reach *= 4
     return out if out is not None else best(within(points, segs, start))
 
@@ -65,7 +66,8 @@ def nearest_k(points: DataFrame, segs: DataFrame, key: str, seg_key: str, k: int
         sure = got.where(F.col("rank") == there).select(key)
         got = got.join(sure, key, "left_semi")
         out = got if out is None else out.unionByName(got)
-        rest = cut(rest.join(sure, key, "left_anti")) if there else rest.limit(0)
+        past, rest = rest, cut(rest.join(sure, key, "left_anti")) if there else rest.limit(0)
+        drop(past)
         if not some(rest):
             return out
         reach *= 4
