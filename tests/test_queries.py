@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from thalweg.operators import metrics, network, terrain, vector
+from thalweg.operators import spatial as entry_spatial
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("orders", "customer", "supplier", "part", "events")
@@ -140,3 +141,29 @@ def test_scratch_needs_a_shared_folder_on_clusters():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="checkpoint"):
         iterate.cut(SimpleNamespace(sparkSession=session))
+
+
+def test_areas_at_a_limit_far_from_the_origin_stay(spark):
+    quads = spark.createDataFrame([(k, k * 71 % 1009 + 0.37, k * 43 % 1013 + 0.41, 25.0, 30.0, 1) for k in range(400)], "fid long, cx double, cy double, rx double, ry double, kind int")
+    assert vector.remove_small_objects(vector.diamonds(quads), "kind", 1, 1500.0, 10.0).count() == 400
+
+
+def test_stations_of_axes_with_large_numbers(spark):
+    verts = spark.createDataFrame([(axis, pos, pos * 10.0, float(pos * 7919 % 97)) for axis in (0, 90001) for pos in range(1, 60)], "fid long, pos int, x double, y double")
+    lines = vector.to_lines(verts)
+    points = verts.selectExpr("pos + fid * 100 fid", "fid axis", "x + 3.00001D x", "y + 2 y")
+    got = {(r.axis, r.fid % 100): r.position for r in entry_spatial.disaggregate_network(lines, points, 30.0).collect()}
+    assert all(got[90001, (90001 * 100 + p) % 100] == got[0, p] for p in range(1, 60))
+
+
+def test_points_in_polygon_with_holes_and_copies(spark):
+    ring = lambda a, b: [(a, a, None, None), (b, a, None, None), (b, b, None, None), (a, b, None, None), (a, a, None, None)]
+    polygons = spark.createDataFrame([(1, [ring(0.5, 40.5), ring(10.5, 20.5)]), (2, [ring(100.5, 101.5)])], f"fid long, rings array<array<{vector.g.VERTEX}>>")
+    points = spark.range(2500).selectExpr("id % 50 * 1D x", "id div 50 * 1D y").union(spark.range(5).selectExpr("3D x", "3D y"))
+    assert {(r.fid, r.n) for r in vector.points_in_polygon(polygons, points).collect()} == {(1, 1600 - 100 + 5), (2, 0)}
+
+
+def test_midpoint_of_a_long_line(spark):
+    line = spark.range(6001).selectExpr("1L fid", "int(id) pos", "id * 1D x", "0D y")
+    assert vector.line_midpoints(vector.to_lines(line)).first()[1:] == (3000.0, 0.0)
+    assert vector.to_vertices(vector.set_m(vector.to_lines(line), F.lit(5.0))).where("m <> x + 5").count() == 0

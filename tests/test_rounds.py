@@ -202,3 +202,17 @@ def test_tables_of_past_rounds_are_deleted(spark):
     plain = iterate.cut(start)
     iterate.drop(plain.select("id"))
     assert plain.count() == 1
+
+
+def test_candidates_stay_few_where_segments_and_points_are_dense_or_far(spark):
+    segs = spark.range(4000).selectExpr("id seg", "id * 37 % 1009 * 1D ax", "id * 91 % 1013 * 1D ay").selectExpr("*", "ax + 30 bx", "ay - 9 by_")
+    points = spark.range(3000).selectExpr("id fid", "id * 53 % 1009 + if(id % 2 = 0, 0, 40000) + 0.5D x", "id * 29 % 1013 + 0.25D y")
+    tried = spatial_join.candidates(points, segs, "seg").selectExpr("sum(size(segs)) n").first().n
+    assert tried < 3000 * 60
+
+
+def test_nearest_within_groups_far_from_the_origin(spark):
+    segs = spark.createDataFrame([(1, 1, 3000000000.1), (1, 2, 3000000000.3), (2, 3, 3000000000.1)], "axis long, seg long, ax double").selectExpr("*", "0D ay", "ax bx", "0D by_")
+    points = spark.createDataFrame([(7, 1, 3000000000.22), (8, 2, 3000000000.3), (9, 3, 0.0)], "fid long, axis long, x double").withColumn("y", F.lit(0.0))
+    got = {(r.fid, r.seg) for r in spatial_join.nearest(points, segs, "fid", "seg", on=["axis"]).collect()}
+    assert got == {(7, 2), (8, 3)}
