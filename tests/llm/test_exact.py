@@ -256,6 +256,13 @@ def test_token_counts(spark, texts):
     assert got == want
 
 
+def test_known_characters_need_matches_alone():
+    counter = token_counts.Counter({"a": -1.0, "b": -2.0, "ab": -3.0, "ba": -2.5, "aba": -4.0, "▁": -1.5, "▁a": -2.5})
+    rng = random.Random(5)
+    for text in ("".join(rng.choices("ab▁", k=rng.randint(0, 40))) for _ in range(2000)):
+        assert counter.known(text) == counter.viterbi(text), text
+
+
 def test_token_counts_ties(spark):
     """Equal scores: the earlier start wins, as in the library."""
     from tokenizers import Tokenizer, models

@@ -18,6 +18,7 @@ columns other than doc_id and text are ignored, whatever their names; an empty t
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -54,9 +55,10 @@ class Counter(dict):
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
         self.longest = max(map(len, pieces), default=1)
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
+        self.singles = {p for p in pieces if len(p) == 1}
 
     def __missing__(self, stretch: str) -> int:
-        n = self.viterbi(stretch)
+        n = self.known(stretch) if len(stretch) <= 4096 and self.singles.issuperset(stretch) else self.viterbi(stretch)
         if len(stretch) <= 64:
             if len(self) > 400_000:
                 self.clear()
@@ -67,6 +69,17 @@ class Counter(dict):
         flat = normalised(text)
         return sum(map(self.__getitem__, stretches(flat) if self.cuts else [flat]))
 
+    def known(self, text: str) -> int:
+        """viterbi of a text whose characters are all pieces: no end is without a match, so matches alone are gone through."""
+        scores, counts = [0.0] + [-math.inf] * len(text), [0] * (len(text) + 1)
+        for last, (size, worth) in self.automaton.iter(text):  # of one end the longest comes first and wins ties
+            e = last + 1
+            got = scores[e - size] + worth
+            if got > scores[e]:
+                scores[e] = got
+                counts[e] = counts[e - size] + 1
+        return counts[-1]
+
     def viterbi(self, text: str) -> int:
         """Pieces on the best path; scores and counts hold (for ends modulo their length) the best way to each end."""
         room = self.longest + 1
