@@ -65,6 +65,16 @@ def test_items_rich_in_numbers_are_found(spark):
     assert _leaks(spark, docs, items) == {(1, 1), (2, 2), (3, 3), (11, 1), (12, 2)}
 
 
+def test_windows_of_placeholders_alone_need_the_whole_template(spark):
+    """The windows with words of an item match in all; only the placeholders before them, or their number, differ."""
+    items = [(1, "It took 12 kg, 15 kg, 18 kg, 21 kg, 24 kg, 12 kg and 30 kg")]
+    docs = [
+        (1, "so: it took 10 kg, 11 kg, 13 kg, 14 kg, 16 kg, 10 kg and 19 kg please"), (2, "it gave 10 kg, 11 kg, 13 kg, 14 kg, 16 kg, 17 kg and 19 kg"),
+        (3, "10 kg, 11 kg, 13 kg, 14 kg, 16 kg, 17 kg and 19 kg"), (4, "it took 10 kg, 11 kg, 13 kg, 14 kg, 16 kg, 17 kg and 19 kg"),
+    ]
+    assert _leaks(spark, docs, items) == {(1, 1)}
+
+
 def test_short_items_match_whole_documents(spark):
     items = [(1, "Yes"), (2, "42 apples"), (3, "Red, green, blue"), (4, "")]
     docs = [(1, "yes!"), (2, "42 apples."), (3, "43 apples"), (4, "red green\nblue"), (5, "yes we saw red green blue and 42 apples"), (6, "")]
