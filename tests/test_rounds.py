@@ -216,3 +216,28 @@ def test_nearest_within_groups_far_from_the_origin(spark):
     points = spark.createDataFrame([(7, 1, 3000000000.22), (8, 2, 3000000000.3), (9, 3, 0.0)], "fid long, axis long, x double").withColumn("y", F.lit(0.0))
     got = {(r.fid, r.seg) for r in spatial_join.nearest(points, segs, "fid", "seg", on=["axis"]).collect()}
     assert got == {(7, 2), (8, 3)}
+
+
+def test_signs_go_down_a_long_raster_by_tiles(spark, monkeypatch):
+    tables, cut = [], terrain.cut
+
+    def counted(df):
+        tables.append(1)
+        assert len(tables) < 60, "rounds grow with the rows"
+        return cut(df)
+
+    monkeypatch.setattr(terrain, "cut", counted)
+    distance = spark.range(4000).selectExpr("int(id div 2) row", "int(id % 2) col", "double(id div 2) value")
+    segs = spark.createDataFrame([(1, 0, 0, 0, 1)], "fid long, r0 int, c0 int, r1 int, c1 int")
+    got = terrain.signed_shortest_distance(distance, segs, 3.0).collect()
+    assert len(got) == 4000 and all(r.value == -r.row for r in got if r.row), got[:5]
+
+
+def test_tiles_spread_as_rounds_of_cells_do(spark, monkeypatch):
+    cells = spark.createDataFrame([(r, c, (r * c) % 2) for r in range(24) for c in range(17) if (r * 7 + c * 5) % 4], "row int, col int, ws int")
+    origins = cells.where("(row * 17 + col) % 37 = 3").select(terrain.grid.cell("row", "col").alias("id"), (F.col("row") % 3).cast("double").alias("value"))
+    for same in (None, "ws"):
+        want = {tuple(r) for r in terrain.spread(terrain.grid_steps(cells, same=same), origins).select("id", "dist", "value").collect()}
+        for places in (1 << 17, 64):
+            monkeypatch.setattr(terrain, "TILE", places)
+            assert {tuple(r) for r in terrain.spread_tiles(cells, origins, same).collect()} == want
