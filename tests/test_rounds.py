@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thalweg.functions.statistics import f_survival, log_gamma
-from thalweg.operators import axes, metrics, network, terrain
+from thalweg.operators import axes, metrics, network, referencing, terrain
 from thalweg.plans import iterate, spatial_join
 
 
@@ -241,3 +241,16 @@ def test_tiles_spread_as_rounds_of_cells_do(spark, monkeypatch):
         for places in (1 << 17, 64):
             monkeypatch.setattr(terrain, "TILE", places)
             assert {tuple(r) for r in terrain.spread_tiles(cells, origins, same).collect()} == want
+
+
+def test_polygons_on_dense_networks_are_held_against_few_places(spark):
+    """300 boxes over 20,000 segments hold millions of vertices together; few may be the best."""
+    segs = spark.range(20000).selectExpr("id seg", "double(id * 53 % 1009) ax", "double(id * 29 % 1013) ay", "id * 53 % 1009 + 5.5D bx", "id * 29 % 1013 + 3.5D by_", "1D am", "0D bm", "int(id % 9973 % 4) hack").withColumn("hack", F.when(F.col("hack") > 0, F.col("hack")))
+    boxes = spark.range(300).selectExpr("id fid", "double(id * 71 % 1009) x", "double(id * 43 % 1013) y").selectExpr("*", "x - 90 minx", "y - 70 miny", "x + 60 maxx", "y + 80 maxy")
+    ends = segs.selectExpr("ax vx", "ay vy", "hack p", "seg").union(segs.selectExpr("bx", "by_", "hack", "seg"))
+    tried = referencing._in_box(boxes, ends)
+    assert tried.count() < 300 * 100
+    want = boxes.join(ends, F.expr("vx between minx and maxx and vy between miny and maxy")).groupBy("fid").agg(F.min_by("seg", F.struct("p", F.hypot(F.col("vx") - F.col("x"), F.col("vy") - F.col("y")).alias("d"), "seg")).alias("axis"))
+    got = referencing.locate_polygon_along_network(boxes, segs)
+    assert {(r.fid, r.axis) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    assert referencing.locate_polygon_along_network(boxes, segs.limit(0)).count() == 0
