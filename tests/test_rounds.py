@@ -254,3 +254,11 @@ def test_polygons_on_dense_networks_are_held_against_few_places(spark):
     got = referencing.locate_polygon_along_network(boxes, segs)
     assert {(r.fid, r.axis) for r in got.collect()} == {tuple(r) for r in want.collect()}
     assert referencing.locate_polygon_along_network(boxes, segs.limit(0)).count() == 0
+
+
+def test_components_with_labels_that_many_have(spark, monkeypatch):
+    pairs = spark.range(600).selectExpr("id a", "id + 3 b")
+    want = {(k, k % 3) for k in range(603)}
+    for many in (1 << 16, 20, 0):
+        monkeypatch.setattr(iterate, "MANY", many)
+        assert {tuple(r) for r in iterate.components(pairs).collect()} == want
