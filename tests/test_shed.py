@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thalweg.operators import metrics, network
+from thalweg.operators import axes, metrics, network
 from thalweg.plans import iterate
 
 
@@ -92,3 +92,39 @@ def test_hack_order_without_leaves(spark, monkeypatch):
     monkeypatch.setattr(iterate, "FEW", 24)
     assert {tuple(r) for r in network.hack_order(links).collect()} == kept
     assert all(math.isfinite(r[-1]) for r in kept)
+
+
+def test_connect_lines_by_brute_force(spark):
+    """Lines of three vertices that share nodes, against all pairs; candidates don't follow from the lines in reach."""
+    rng = np.random.default_rng(2)
+    at = {k: (float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 60, (70, 2)))}
+    rows = []
+    for fid in range(60):
+        a, b = (int(v) for v in rng.choice(70 if fid % 3 else 12, 2, replace=False))
+        mid = tuple(float(v) for v in rng.integers(0, 60, 2))
+        rows.append((fid, a, b, [(*p, None, None) for p in (at[a], mid, at[b])]))
+    lines = spark.createDataFrame(rows, "fid long, nodea long, nodeb long, geom array<struct<x:double,y:double,z:double,m:double>>")
+    want = {}
+    for node in {n for r in rows for n in r[1:3]}:
+        x, y = at[node]
+        tried = []
+        for fid, a, b, geom in rows:
+            for i, (p, q) in enumerate(zip(geom, geom[1:])):
+                dx, dy = q[0] - p[0], q[1] - p[1]
+                t = max(0.0, min(1.0, ((x - p[0]) * dx + (y - p[1]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+                if node not in (a, b):
+                    tried.append((round(math.hypot(p[0] + dx * t - x, p[1] + dy * t - y), 9), fid, i))
+        if tried and min(tried)[0] <= 9:
+            want[node] = min(tried)
+    got = {r.nodea: (r.fid, r.geom) for r in axes.connect_lines(lines, 9.0).where("kind = 'connector'").collect()}
+    assert {n: w[1] for n, w in want.items() if w[0] > 0} == {n: g[0] for n, g in got.items()}
+    assert axes.connect_lines(lines.limit(1), 9.0).count() == 1 and axes.connect_lines(lines.limit(0), 9.0).count() == 0
+
+
+def test_connect_lines_looks_at_few_lines(spark, monkeypatch):
+    """300 lines within reach of each node."""
+    segs = spark.range(300).selectExpr("id fid", "id * 2 + 1 nodea", "id * 2 + 2 nodeb", "array(struct(double(id) x, 0D y, double(null) z, double(null) m), struct(double(id) x, 9D y, double(null) z, double(null) m)) geom")
+    seen, plain = [], axes.placed
+    monkeypatch.setattr(axes, "placed", lambda df: seen.append(df.count()) or plain(df))
+    assert axes.connect_lines(segs, 1000.0).where("kind = 'connector'").count() == 600
+    assert sum(seen) < 100 * 600

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..plans.iterate import cut, drop, some
-from ..plans.spatial_join import within
+from ..plans.spatial_join import candidates, placed
 from ..sources.derived import load, sql
 from .network import numbered, sum_upstream
 from .vector import to_lines, to_segments
@@ -76,9 +76,17 @@ def connect_lines(lines: DataFrame, distance: float) -> DataFrame:
     """
     last = F.element_at("geom", -1)
     ends = lines.select("fid", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("nodea").alias("node"), F.element_at("geom", 1)["x"].alias("x"), F.element_at("geom", 1)["y"].alias("y")), F.struct(F.lit(1).alias("end"), F.col("nodeb").alias("node"), last["x"].alias("x"), last["y"].alias("y")))).alias("e")).select("fid", "e.*")
-    nodes = cut(ends.groupBy("node").agg(F.min_by(F.struct("x", "y"), F.struct("fid", "end")).alias("p")).select("node", "p.*"))
-    segs = to_segments(lines).select("fid", "nodea", "nodeb", "at", "ax", "ay", "bx", "by_")
-    near = within(nodes, segs, distance).where("node <> nodea and node <> nodeb")
+    nodes = cut(ends.groupBy("node").agg(F.min_by(F.struct("x", "y"), F.struct("fid", "end")).alias("p"), F.countDistinct("fid").alias("lines")).select("node", "p.*", "lines"))
+    segs = to_segments(lines).select("fid", "nodea", "nodeb", "at", "ax", "ay", "bx", "by_").where("nodea is not null and nodeb is not null")
+    # The nearest line that a node doesn't end is among one more than it ends; nodes go by that number, to the power of two.
+    class_ = F.ceil(F.log2("lines")).cast("int")
+    near = None
+    for row in nodes.where("node is not null").select(class_.alias("c")).distinct().collect():
+        found = candidates(nodes.where((class_ == row.c) & F.col("node").isNotNull()).select("node", "x", "y"), segs, "fid", 2**row.c + 1, distance)
+        if found is not None:
+            each = found.select("node", "x", "y", F.explode("segs").alias("s")).select("node", "x", "y", "s.*").where("node <> nodea and node <> nodeb")
+            near = each if near is None else near.unionByName(each)
+    near = placed(nodes.select("node", "x", "y").crossJoin(segs).limit(0) if near is None else near).where(F.col("dist") <= distance)
     best = near.groupBy("node").agg(F.min_by(F.struct("x", "y", "fid", "at", "t", "px", "py", "dist"), F.struct("dist", "fid", "at")).alias("r")).select("node", "r.*")
     largest = nodes.agg(F.max("node").alias("largest"))
     snaps = cut(numbered(cut(best), ["fid", "at", "t", "node"], "rank").crossJoin(F.broadcast(largest)).withColumn("new", F.col("largest") + 1 + F.col("rank")))  # one row
