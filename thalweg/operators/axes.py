@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..plans.iterate import cut, drop, some
+from ..plans.iterate import LIGHT, cut, drop, some
 from ..plans.spatial_join import candidates, placed
 from ..sources.derived import load, sql
-from .network import numbered, sum_upstream
+from .network import numbered
 from .vector import to_lines, to_segments
 
 
@@ -23,46 +25,181 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     return ranked.withColumn("__inner", inner).join(bases, "__range").withColumn(name, F.col("__base") + F.col("__inner")).drop("__place", "__range", "__base", "__inner")
 
 
+def levelled(links: DataFrame) -> tuple[DataFrame, list[int], bool]:
+    """(links with level and to_level, the largest to_level of each level, whether the last level holds cycles).
+
+    A node's level is the number of links on the longest way down to it, to_level that of nodeb, null where no link
+    leaves it. Nodes that no link enters are taken off with their links level by level, so what is written is a
+    multiple of the links in a network that branches. Cycles, and what is below them, stay and are the last level.
+    """
+    held = rest = cut(links.where("nodea is not null"))
+    n, parts, loops = rest.count(), [], False
+    while n or not parts:
+        entered = rest.select(F.col("nodeb").alias("nodea"), F.lit(True).alias("held")).distinct()
+        level = cut(rest.join(entered, "nodea", "left"))
+        taken, n = n, level.where("held").count()
+        loops = 0 < n == taken
+        if loops:
+            parts.append((level, level.where("held").drop("held")))
+            break
+        parts.append((level, level.where("held is null").drop("held")))
+        rest = level.where("held").drop("held")
+    rows = reduce(DataFrame.unionByName, (part.withColumn("level", F.lit(k)) for k, (_, part) in enumerate(parts)))
+    nodes = rows.groupBy(F.col("nodea").alias("nodeb")).agg(F.min("level").alias("to_level"))
+    out = cut(rows.join(nodes, "nodeb", "left").sortWithinPartitions("level"))
+    drop(held, *(level for level, _ in parts))
+    reach = {r.level: r.to for r in out.groupBy("level").agg(F.max("to_level").alias("to")).collect()}
+    return out, [-1 if reach.get(k) is None else reach[k] for k in range(len(parts))], loops
+
+
 def update_axis(links: DataFrame) -> DataFrame:
     """(fid, source, axis, laxis, main) for links (fid, nodea, nodeb, hack, measure, length).
 
     A source is a node that no link of its own order enters, its order being the least hack about it. From every
     source links of that order or a higher number are followed down; its axis ends at the nearest node where a
-    link of a lower number goes out, or none does. Links on the shortest way there are main. Axes are numbered by
-    order, then by the source's measure from above (ties: the node); links beside the way take the number after
-    it. A link that several sources reach has a row for each. All sources are relaxed at once by (source, node).
-    Cycles may be reached; an axis without an end has a null length.
+    link of a lower number goes out, or none does. Links on the shortest way there are main (ties: the smaller end,
+    then the smaller fid at each node from the source on). Axes are numbered by order, then by the source's measure
+    from above (ties: the node); links beside the way take the number after it. A link that several sources reach has
+    a row for each. Cycles may be reached; an axis without an end has a null length.
+
+    What is below a node is the same for all sources of an order. So ends and ways are worked out for each node and
+    order that reaches it, level by level from below, and rows of sources then pass each level once, from above.
     """
-    links = cut(links.select("fid", "nodea", "nodeb", "hack", "measure", "length"))
+    links = cut(links.select("fid", "nodea", "nodeb", "hack", F.col("length").cast("double").alias("length"), (F.col("measure") + F.col("length")).alias("from")))
     about = links.select(F.col("nodea").alias("node"), "hack").union(links.select("nodeb", "hack"))
     order = about.groupBy("node").agg(F.min("hack").alias("order"))
     entered = links.select(F.col("nodeb").alias("node"), F.col("hack").alias("order")).distinct()
-    top = links.groupBy(F.col("nodea").alias("node")).agg(F.max_by(F.col("measure") + F.col("length"), "fid").alias("from"))
-    sources = cut(order.join(entered, ["node", "order"], "left_anti").join(top, "node").select(F.col("node").alias("source"), "order", "from"))
-    state = frontier = cut(sources.select("source", "order", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("by")))
-    steps = links.select(F.col("nodea").alias("node"), F.col("nodeb").alias("to"), "hack", "length", F.col("fid").alias("by"))
+    flow, reach, loops = levelled(links)
+    top = flow.groupBy(F.col("nodea").alias("node")).agg(F.max_by("from", "fid").alias("from"), F.min("level").alias("level"))
+    sources = cut(order.where("order is not null").join(entered, ["node", "order"], "left_anti").join(top, "node").select("node", "order", F.lit(True).alias("source"), "from", "level").sortWithinPartitions("level"))
+    last = len(reach) - 1
+    # Pairs of nodes and orders that reach them, with the links on from there.
+    arcs: list[DataFrame] = []
+    for k in range(last + 1):
+        came = [arcs[j].where(f"ok and to_level = {k}").select(F.col("to").alias("node"), "order").distinct() for j in range(k) if reach[j] >= k]
+        pairs = sources.where(f"level = {k}").drop("level")
+        step = flow.where(f"level = {k}").select(F.col("nodea").alias("node"), "fid", F.col("nodeb").alias("to"), "to_level", "hack", "length")
+        if loops and k == last:
+            came = [_closed(reduce(DataFrame.union, came, pairs.select("node", "order")).distinct(), step)]
+        if came:
+            blank = [F.lit(False).alias("source"), F.lit(None).cast(dict(pairs.dtypes)["from"]).alias("from")]
+            pairs = reduce(DataFrame.unionByName, (c.select("node", "order", *blank) for c in came), pairs).groupBy("node", "order").agg(F.max("source").alias("source"), F.max("from").alias("from"))
+        arcs.append(cut(pairs.join(step, "node").withColumn("ok", F.coalesce(F.col("hack") >= F.col("order"), F.lit(False)))))
+    ways: list[DataFrame] = [None] * (last + 1)
+    for k in range(last, -1, -1):
+        if loops and k == last:
+            ways[k] = _ways_in_loops(arcs[k])
+            continue
+        below = [ways[j].select(F.col("node").alias("to"), "order", "dist", "end", "more", "found") for j in range(k + 1, reach[k] + 1)]
+        ways[k] = cut(_ways(arcs[k], reduce(DataFrame.union, below) if below else None))
+    drop(*arcs)
+    ends = reduce(DataFrame.union, (w.where("source and n > 0").select(F.col("node").alias("source"), "order", "from", "dist", "more") for w in ways))
+    ranked = ends.select("source", "order", (-F.col("from")).alias("__from"), F.col("dist").alias("laxis"), (F.col("more").cast("long") + 1).alias("taken"))
+    named = cut(running_sum(ranked, ["order", "__from", "source"], "taken", "earlier").select("source", "earlier", "laxis"))
+    rows: list[DataFrame] = []
+    for k in range(last + 1):
+        state = ways[k].where("source and n > 0").select(F.col("node").alias("source"), "node", "order", F.col("found").alias("main"), F.lit(False).alias("split"))
+        came = [rows[j].where(f"to_level = {k}").select("source", F.col("to").alias("node"), "order", "main", "split") for j in range(k) if reach[j] >= k]
+        if came:
+            both = reduce(DataFrame.union, came)
+            # Only what has parted can meet again.
+            met = both.where("split").groupBy("source", "node", "order").agg(F.max("main").alias("main")).withColumn("split", F.lit(True))
+            state = state.union(both.where("not split")).union(met)
+        if loops and k == last:
+            rows.append(_rows_in_loops(state, ways[k]))
+        else:
+            rows.append(cut(_onward(state, ways[k])))
+    drop(*ways, sources, flow)
+    out = reduce(DataFrame.union, (r.select("source", "fid", "main") for r in rows))
+    # The smaller table is hashed, so that the rows aren't sorted.
+    out = out.join(named.hint("shuffle_hash"), "source")
+    main = F.col("main").cast("int")
+    return out.select("fid", "source", (F.col("earlier") + 2 - main).alias("axis"), "laxis", main.alias("main"))
+
+
+def _ways(arcs: DataFrame, below: DataFrame | None) -> DataFrame:
+    """For each node and order the nearest end's distance, the end, the first link there (best), whether links lie beside the way, and the links on."""
+    if below is None:
+        below = arcs.select("to", "order", F.lit(0.0).alias("dist"), F.col("to").alias("end"), F.lit(False).alias("more"), F.lit(False).alias("found")).limit(0)
+    far = arcs.join(below, ["to", "order"], "left")
+    way = F.when(F.col("ok") & F.col("to_level").isNull(), F.struct(F.col("length").alias("dist"), F.col("to").alias("end"), "fid", F.lit(False).alias("more")))
+    way = way.when(F.col("ok") & F.col("found"), F.struct((F.col("length") + F.col("dist")).alias("dist"), "end", "fid", "more"))
+    out = far.groupBy("node", "order").agg(
+        F.min(way).alias("way"), F.coalesce(F.max(F.col("hack") < F.col("order")), F.lit(True)).alias("ended"), F.count_if("ok").alias("n"),
+        F.collect_list(F.when(F.col("ok"), F.struct("fid", "to", "to_level"))).alias("on"), F.max("source").alias("source"), F.max("from").alias("from"),
+    )
+    here = F.when(F.col("ended"), F.struct(F.lit(0.0).alias("dist"), F.col("node").alias("end"), F.lit(None).cast(dict(arcs.dtypes)["fid"]).alias("fid"), F.lit(False).alias("more")))
+    out = out.withColumn("way", F.least("way", here))
+    beside = F.when(F.col("way.fid").isNull(), F.col("n") > 0).otherwise((F.col("n") > 1) | F.col("way.more"))
+    return out.select("node", "order", "way.dist", "way.end", F.col("way.fid").alias("best"), beside.alias("more"), F.col("way").isNotNull().alias("found"), "n", "on", "source", "from")
+
+
+def _onward(state: DataFrame, ways: DataFrame) -> DataFrame:
+    """The links on from the nodes of state (source, node, order, main, split), a row for each source."""
+    on = ways.select("node", "order", "best", "on")
+    went = state.join(F.broadcast(on) if ways in LIGHT else on, ["node", "order"])
+    went = went.select("source", "order", "main", "best", (F.col("split") | (F.size("on") > 1)).alias("split"), F.explode("on").alias("on"))
+    return went.select("source", "order", "on.*", F.coalesce(F.col("main") & (F.col("on.fid") == F.col("best")), F.lit(False)).alias("main"), "split")
+
+
+def _closed(pairs: DataFrame, step: DataFrame) -> DataFrame:
+    """pairs (node, order) and those that links of the order or a higher number reach from them; rounds are the links of the longest way."""
+    seen = frontier = cut(pairs)
+    while some(frontier):
+        ahead = frontier.join(step, "node").where("hack >= order and to_level is not null").select(F.col("to").alias("node"), "order").distinct()
+        frontier = cut(ahead.join(seen, ["node", "order"], "left_anti"))
+        past, seen = seen, cut(seen.union(frontier))
+        drop(past)
+    return seen
+
+
+def _ways_in_loops(arcs: DataFrame) -> DataFrame:
+    """_ways where links may lead back: only what gets nearer changes its way, so that ways don't run in circles."""
+    low = lambda c: F.struct(F.col(f"{c}dist"), F.col(f"{c}end"))
+    at = cut(_ways(arcs, None))
+    while True:
+        new = _ways(arcs, at.select(F.col("node").alias("to"), "order", "dist", "end", "more", "found")).select("node", "order", *(F.col(c).alias(f"new_{c}") for c in ("dist", "end", "best", "found")))
+        nearer = F.col("new_found") & (~F.col("found") | F.coalesce(low("new_") < low(""), F.lit(False)))
+        names = ("dist", "end", "best", "found")
+        moved = at.join(new, ["node", "order"]).withColumn("moved", nearer)
+        after = cut(moved.select("node", "order", *(F.when(F.col("moved"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in names), "more", "n", "on", "source", "from", "moved"))
+        drop(at)
+        at = after.drop("moved")
+        if not some(after.where("moved")):
+            break
+        at = cut(at)
+        drop(after)
+    at = cut(at.withColumn("more", F.when(F.col("best").isNull(), F.col("n") > 0).otherwise(F.col("n") > 1)))
+    drop(after)
+    nexts = arcs.where("ok").select("node", "order", F.col("fid").alias("best"), "to")
+    while True:
+        ahead = at.join(nexts, ["node", "order", "best"]).select("node", "order", F.col("to"))
+        sent = ahead.join(at.where("more").select(F.col("node").alias("to"), "order"), ["to", "order"]).select("node", "order", F.lit(True).alias("sent")).distinct()
+        after = cut(at.join(sent, ["node", "order"], "left").withColumn("moved", ~F.col("more") & F.col("sent").isNotNull()).withColumn("more", F.col("more") | F.col("moved")).drop("sent"))
+        drop(at)
+        at = after.drop("moved")
+        if not some(after.where("moved")):
+            return after
+        at = cut(at)
+        drop(after)
+
+
+def _rows_in_loops(state: DataFrame, ways: DataFrame) -> DataFrame:
+    """_onward until nothing new is reached; a link on the main way is main, however it is reached besides."""
+    keys = ["source", "node", "order", "main"]
+    seen = frontier = cut(state.select(*keys, F.lit(False).alias("split")).distinct())
+    found = []
     while some(frontier):
-        went = frontier.select("source", "order", "node", "dist").join(steps, "node").where(F.col("hack") >= F.col("order"))
-        tried = went.groupBy("source", "order", F.col("to").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("length")).alias("dist"), "by")).alias("new"))
-        old = state.select("source", "node", F.col("dist").alias("old"))
-        past = state, frontier
-        frontier = cut(tried.join(old, ["source", "node"], "left").where("old is null or new.dist < old").select("source", "order", "node", "new.dist", "new.by"))
-        state = cut(state.join(frontier.select("source", "node"), ["source", "node"], "left_anti").unionByName(frontier))
-        drop(*past)
-    lowest = links.groupBy(F.col("nodea").alias("node")).agg(F.min("hack").alias("lowest"))
-    ends = state.join(lowest, "node", "left").where("lowest is null or lowest < order").groupBy("source").agg(F.min(F.struct("dist", "node")).alias("end")).select("source", "end.*")
-    ends = cut(ends)
-    # The way from the end back to the source, marked by sums over the chains of predecessors.
-    reached = state.join(links.select(F.col("fid").alias("by"), F.col("nodea").alias("before")), "by", "left").select(F.struct("source", "node").alias("id"), F.when(F.col("before").isNotNull(), F.struct("source", F.col("before").alias("node"))).alias("next"), "by")
-    reached = cut(reached)
-    marked = sum_upstream(reached.select("id", "next"), ends.select(F.struct("source", "node").alias("id"), F.lit(1.0).alias("w")))
-    way = reached.where("by is not null").join(marked.where("total > 0"), "id").select("id.source", F.col("by").alias("fid"), F.lit(1).alias("main"))
-    of = cut(state.select("source", "order", F.col("node").alias("nodea")).join(links.select("fid", "nodea", "hack"), "nodea").where(F.col("hack") >= F.col("order")).select("source", "fid").join(way, ["source", "fid"], "left").select("source", "fid", F.coalesce("main", F.lit(0)).alias("main")))
-    wide = of.groupBy("source").agg((F.min("main") == 0).cast("long").alias("more"))
-    ranked = sources.join(wide, "source").withColumns({"taken": F.col("more") + 1, "__from": -F.col("from")})
-    named = running_sum(ranked, ["order", "__from", "source"], "taken", "earlier").join(ends.select("source", F.col("dist").alias("laxis")), "source", "left")
-    out = of.join(named.select("source", "earlier", "laxis"), "source")
-    return out.select("fid", "source", (F.col("earlier") + 2 - F.col("main")).alias("axis"), "laxis", "main")
+        found.append(cut(_onward(frontier, ways)))
+        ahead = found[-1].where("to_level is not null").select("source", F.col("to").alias("node"), "order", "main").distinct()
+        frontier = cut(ahead.join(seen, keys, "left_anti").withColumn("split", F.lit(False)))
+        past, seen = seen, cut(seen.union(frontier))
+        drop(past)
+    names = ["source", "order", "fid", "to", "to_level"]
+    empty = _onward(seen.limit(0), ways)
+    out = cut(reduce(DataFrame.union, found, empty).groupBy(*names).agg(F.max("main").alias("main")).withColumn("split", F.lit(False)))
+    drop(*found, seen)
+    return out
 
 
 def connect_lines(lines: DataFrame, distance: float) -> DataFrame:
