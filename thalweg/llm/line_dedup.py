@@ -40,6 +40,11 @@ def bit_positions(hashes: np.ndarray, bits: int) -> np.ndarray:
         return ((a + np.arange(PROBES, dtype=np.uint64)[:, None] * b) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & np.uint64(bits - 1)
 
 
+def bits_at(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits with these numbers are set, as np.packbits has them."""
+    return packed[at >> np.uint64(3)] >> (~at & np.uint64(7)).astype(np.uint8) & np.uint8(1) != 0
+
+
 def _hashes(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,8 +101,8 @@ def _suspects(shared, bits: int, min_chars: int, with_text: bool):
     """Rows: a document's suspected keys, the digest it has without dropping, and the text where a line may go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {k: np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for k, v in shared.value.items()}
-        none = np.zeros(bits, bool)
+        filters = {k: np.frombuffer(v, np.uint8) for k, v in shared.value.items()}  # as they came: unpacked bits would be eight times as much
+        none = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             keys: list[str] = []
             owner: list[int] = []
@@ -113,7 +118,7 @@ def _suspects(shared, bits: int, min_chars: int, with_text: bool):
             hit = np.zeros(len(keys), bool)
             for s in np.unique(segment):
                 mine = np.flatnonzero(segment == s)
-                hit[mine] = filters.get(int(s), none)[at[:, mine]].all(axis=0)
+                hit[mine] = bits_at(filters.get(int(s), none), at[:, mine]).all(axis=0)
             if with_text:
                 some = np.zeros(len(texts), bool)
                 some[np.array(owner, np.int64)[hit]] = True
@@ -171,7 +176,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max_fil
     shared = spark.sparkContext.broadcast(found)
     scratch = Scratch(spark, "lines")
     gone = scratch.write(repeated_lines(docs, shared, bits, min_chars, min_docs), "gone")
-    lists = gone.groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
+    # Keys repeat, so the table is a small file, but its lists would go through the driver in full if they were broadcast.
+    lists = gone.groupBy("doc_id").agg(F.collect_list("key").alias("gone")).hint("merge")
     rows = docs.mapInArrow(_suspects(shared, bits, min_chars, True), "doc_id bigint, n_lines bigint, kept_sha256 string, text string, suspect boolean")
     sure = rows.where("not suspect").selectExpr("doc_id", "n_lines", "0L n_dropped", "kept_sha256", "cast(null as string) kept_text")
     unsure = rows.where("suspect").join(lists, "doc_id", "left").select("doc_id", "n_lines", "text", "gone")
